@@ -1,0 +1,8 @@
+"""Streaming.
+
+The modelled application has no streaming path: no watermark, event-time
+window, state store or late-data handling exists in it. Its refresh model is a
+full rebuild of the weekly base and the media master ("create or replace").
+Those rebuilds are batch jobs in ``upshelf.operators`` written with
+``upshelf.sources.sinks``; nothing is provided here on purpose.
+"""
