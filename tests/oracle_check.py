@@ -43,6 +43,30 @@ def _norm_val(v):
     return str(v)
 
 
+def _kind(s: pd.Series) -> str:
+    if s.isna().all():
+        return "null"
+    dt = str(s.dtype)
+    if dt.startswith("int") or dt.startswith("Int"):
+        return dt.lower()
+    if dt.startswith("float"):
+        return dt
+    if dt == "bool":
+        return "bool"
+    if dt.startswith("datetime"):
+        return "date"
+    v = s.dropna().iloc[0]
+    if hasattr(v, "isoformat"):
+        return "date"
+    if isinstance(v, bool):
+        return "bool"
+    if isinstance(v, int):
+        return "int64"
+    if isinstance(v, float):
+        return "float64"
+    return type(v).__name__
+
+
 def normalise(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
     rows = []
@@ -71,6 +95,13 @@ def compare(spark, key: str, sf_dir: str, con=None, verbose: bool = True) -> dic
         res["status"] = "schema"
         res["detail"] = (sorted(set(sdf.columns) - set(ddf.columns)), sorted(set(ddf.columns) - set(sdf.columns)))
         return res
+    kinds = {}
+    for c in sdf.columns:
+        ks, kd = _kind(sdf[c]), _kind(ddf[c])
+        if ks != kd and "null" not in (ks, kd):
+            kinds[c] = (ks, kd)
+    if kinds:
+        res["types"] = kinds
     a, b = normalise(sdf), normalise(ddf)
     if len(a) != len(b):
         res["status"] = "rows"
@@ -101,7 +132,7 @@ def main(argv):
     con = duck(sf_dir)
     keys = keys or list(E.queries())
     out = [compare(spark, k, sf_dir, con) for k in keys]
-    bad = [r for r in out if r.get("status") not in ("ok", "no-oracle")]
+    bad = [r for r in out if r.get("status") not in ("ok", "no-oracle") or r.get("types")]
     print("SUMMARY", len(out), "checked,", len(bad), "failing:", [r["key"] for r in bad])
     return 1 if bad else 0
 

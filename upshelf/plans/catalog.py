@@ -41,12 +41,17 @@ def oracle_sql() -> dict[str, str]:
 
 
 def tidy(df: DataFrame, rounded: tuple[str, ...] | list[str] = (), digits: int = 6) -> DataFrame:
-    """Output hygiene: decimals -> double, listed columns rounded."""
+    """Output hygiene: decimals -> double, small ints -> bigint, arrays -> text,
+    listed columns rounded."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("long")
+        elif isinstance(f.dataType, T.ArrayType):
+            c = F.array_join(c, ",")
         if f.name in rounded:
             c = F.round(c.cast("double"), digits)
         cols.append(c.alias(f.name))

@@ -32,8 +32,8 @@ def q_competitor_metrics(spark, sf_dir):
 @register("internal_competitor_features", O.with_(*O.BASE_CTES) + """,
 ic_keys AS (SELECT DISTINCT week_start, store_id, brand, category, price_family FROM base)
 SELECT k.week_start, k.store_id, k.brand, k.category,
-       max(CASE WHEN lower(p.brochure) LIKE '%not%' OR p.brochure IS NULL THEN 0 ELSE 1 END) AS internal_competitor_brochure,
-       max(CASE WHEN lower(p.multibuy) LIKE '%not%' OR p.multibuy IS NULL THEN 0 ELSE 1 END) AS internal_competitor_multibuy,
+       CAST(max(CASE WHEN lower(p.brochure) LIKE '%not%' OR p.brochure IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS internal_competitor_brochure,
+       CAST(max(CASE WHEN lower(p.multibuy) LIKE '%not%' OR p.multibuy IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS internal_competitor_multibuy,
        max(COALESCE(p.discountpercent, 0.0)) AS max_internal_competitor_discount_percent
 FROM ic_keys k LEFT JOIN fx_promo p
   ON p.week_start = k.week_start AND p.price_family = k.price_family
