@@ -24,7 +24,8 @@ def clip_upper(x, hi: float = 1.0) -> Column:
 def cap_child(child, parent) -> Column:
     """sign(child) * min(|child|, |parent|); a null parent leaves the child."""
     c, p = _c(child), _c(parent)
-    return F.when(p.isNull() | F.isnan(p), c).otherwise(F.signum(c) * F.least(F.abs(c), F.abs(p)))
+    m = F.least(F.abs(c), F.abs(p))
+    return F.when(p.isNull(), c).otherwise(F.when(c < 0, -m).otherwise(m))
 
 
 def smaller_abs(a, b) -> Column:

@@ -17,7 +17,7 @@ FROM base"""
 
 @register("weekly_base", O.with_(*O.BASE_CTES) + _BASE_OUT)
 def q_weekly_base(spark, sf_dir):
-    return tidy(I.weekly_base(spark, sf_dir), rounded=["avg_cheaper_gap"])
+    return tidy(I.weekly_base_lazy(spark, sf_dir), rounded=["avg_cheaper_gap"])
 
 
 @register("competitor_metrics", O.with_(O.FX_COMP, O.COMP_METRICS) + """
