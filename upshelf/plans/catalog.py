@@ -53,7 +53,7 @@ def tidy(df: DataFrame, rounded: tuple[str, ...] | list[str] = (), digits: int =
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c, ",")
         if f.name in rounded:
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double"), digits) + F.lit(0.0)   # also turns -0.0 into 0.0
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -13,7 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from upshelf.operators import exposure as EX
 from upshelf.operators import forecast as FC
+from upshelf.operators import insights as IN
+from upshelf.operators import market as MK
 from upshelf.operators import media as M
 from upshelf.operators import nodes as N
 from upshelf.operators import reconcile as R
@@ -79,6 +82,35 @@ class Campaigns:
     def grid(self) -> DataFrame:
         return R.uplift_grid(R.cap_hierarchy(R.uplift_totals(self.compare())))
 
+    # ---- insights -------------------------------------------------------
+    @property
+    def dim(self) -> DataFrame:
+        return self._m("product_dim", lambda: S.product_dim(self.base))
+
+    def exposure_calendar(self, weights: DataFrame | None = None) -> DataFrame:
+        return self._m("exposure_calendar", lambda: EX.exposure_calendar(
+            self.media, self.dim, EX.fleet_size(self.base), weights, self.p))
+
+    def exposure_doses(self, weights: DataFrame | None = None) -> DataFrame:
+        return self._m("exposure_doses", lambda: EX.exposure_doses(
+            self.media, self.dim, EX.fleet_size(self.base), weights, self.p))
+
+    def share(self) -> DataFrame:
+        return self._m("preperiod_share", lambda: MK.preperiod_share(self.base, self.windows, self.p))
+
+    def sov(self) -> DataFrame:
+        return self._m("sov_esov", lambda: EX.sov_esov(self.exposure_calendar(), self.share()))
+
+    def exposure_by_grain(self, grain: str) -> DataFrame:
+        return EX.exposure_by_grain(self.sov(), self.promo_dim, grain)
+
+    def depth(self, grain: str) -> DataFrame:
+        return MK.discount_depth(self.base, grain, self.p)
+
+    def hypothesis(self, grain: str) -> DataFrame:
+        return self._m(f"hypothesis_{grain}", lambda: IN.hypothesis_table(
+            self.compare(), self.exposure_by_grain(grain), self.depth(grain), grain))
+
 
 _CACHE: dict = {}
 
