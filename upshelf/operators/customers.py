@@ -86,10 +86,15 @@ def _in_lookback(prev: Column, lookback_start: Column) -> Column:
     return F.when(prev >= lookback_start, prev)
 
 
-def flag_days(wlines: DataFrame, key: list[str], grain: list[str], mode: str, p: Params = DEFAULT) -> DataFrame:
+def flag_days(wlines: DataFrame, key: list[str], grain: list[str], mode: str, p: Params = DEFAULT,
+              history: DataFrame | None = None) -> DataFrame:
     """Lines of the window (columns min_d, max_d, lookback_start present),
-    pre-aggregated to (grain, customer, day) and flagged new or not."""
-    plane = purchase_days(wlines.select("customer_id", *key, "d"), key)
+    pre-aggregated to (grain, customer, day) and flagged new or not.
+
+    ``history``: the lines the lookback reads (all stores, all campaigns,
+    once); defaults to ``wlines`` for the campaign-free form."""
+    src = wlines if history is None else history
+    plane = purchase_days(src.select("customer_id", *key, "d"), key)
     extra = [c for c in ["booking_number"] if c in wlines.columns and c not in grain]
     cols = list(dict.fromkeys(extra + grain + key + ["min_d", "max_d", "lookback_start"]))
     inwin = (wlines.where(F.col("customer_id").isNotNull() & F.col("d").between(F.col("min_d"), F.col("max_d")))
@@ -106,14 +111,14 @@ def flag_days(wlines: DataFrame, key: list[str], grain: list[str], mode: str, p:
 
 
 def new_to(lines_w: DataFrame, key_name: str, grain: list[str], mode: str = "lag",
-           prefix: str | None = None, p: Params = DEFAULT) -> DataFrame:
+           prefix: str | None = None, p: Params = DEFAULT, history: DataFrame | None = None) -> DataFrame:
     """New-to-key shoppers and sales at ``grain``.
 
     ``lines_w`` are customer lines with window columns attached (see
     ``global_window``); groups are those with at least one valid customer."""
     key = KEYS[key_name]
     prefix = prefix or f"new_to_{key_name}"
-    f = flag_days(lines_w, key, grain, mode, p)
+    f = flag_days(lines_w, key, grain, mode, p, history)
     extra = [c for c in ["booking_number"] if c in f.columns and c not in grain]
     return (f.groupBy(*extra, *grain).agg(
         F.count_distinct(F.when(F.col("is_new"), F.col("customer_id"))).alias(f"{prefix}_shoppers_13m"),
@@ -128,7 +133,7 @@ def shoppers(lines_w: DataFrame, grain: list[str], name: str = "shoppers") -> Da
 
 
 def new_to_week(lines_w: DataFrame, key_name: str, grain: list[str], cohort: DataFrame | None = None,
-                prefix: str | None = None, p: Params = DEFAULT) -> DataFrame:
+                prefix: str | None = None, p: Params = DEFAULT, history: DataFrame | None = None) -> DataFrame:
     """Weekly new-to flags on distinct customer-weeks; spend is the whole
     customer-week spend on the key inside the cohort (store-scoped) lines.
 
@@ -139,7 +144,8 @@ def new_to_week(lines_w: DataFrame, key_name: str, grain: list[str], cohort: Dat
     prefix = prefix or f"new_to_{key_name}"
     cohort = lines_w if cohort is None else cohort
     extra = [c for c in ["booking_number"] if c in cohort.columns and c not in grain]
-    plane = purchase_weeks(lines_w.select("customer_id", *key, "d", "week_start"), key)
+    src = lines_w if history is None else history
+    plane = purchase_weeks(src.select("customer_id", *key, "d", "week_start"), key)
     cw = (cohort.where(F.col("customer_id").isNotNull() & F.col("d").between(F.col("min_d"), F.col("max_d")))
           .groupBy(*dict.fromkeys(extra + grain + key + ["lookback_start", "customer_id", "week_start"]))
           .agg(F.sum("sales_amount").alias("amount")))
@@ -149,3 +155,14 @@ def new_to_week(lines_w: DataFrame, key_name: str, grain: list[str], cohort: Dat
     return (j.withColumn("is_new", new).groupBy(*extra, *grain).agg(
         F.count_distinct(F.when(F.col("is_new"), F.col("customer_id"))).alias(f"{prefix}_shoppers_13m"),
         F.sum(F.when(F.col("is_new"), F.col("amount")).otherwise(F.lit(0))).alias(f"{prefix}_sales_13m")))
+
+
+def scoped_lines(lines: DataFrame, articles: DataFrame, windows: DataFrame, stores: DataFrame | None) -> DataFrame:
+    """Campaign lines: articles of each booking (``articles``: booking,
+    article_id), inside [min_d, max_d], in the cohort stores (``stores`` None
+    keeps all stores), with the booking's window columns attached."""
+    from upshelf.operators.scope import cohort_filter
+    w = windows.select("booking_number", "min_d", "max_d", "lookback_start")
+    j = (lines.join(articles, "article_id").join(w, "booking_number")
+         .where(F.col("d").between(F.col("min_d"), F.col("max_d"))))
+    return j if stores is None else cohort_filter(j, windows, stores)

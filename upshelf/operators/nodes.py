@@ -56,13 +56,28 @@ def expand_levels(rows: DataFrame, measures: list[str]) -> DataFrame:
     return rows.select("booking_number", "week_start", *measures, F.inline(cands))
 
 
-def weekly_panel(slice_rows: DataFrame, registry: DataFrame, target: str = "sales") -> DataFrame:
-    """Y per (booking, level, node, week) over the booking's slice rows.
+ARTICLE_WEEK = ["booking_number", "week_start", "article_id", "brand", "category", "subcategory"]
 
-    Rows are pre-aggregated to (booking, week, article hierarchy) before the
-    six-way expansion, so store detail never crosses the join."""
-    pre = (slice_rows.groupBy("booking_number", "week_start", "article_id", "brand", "category", "subcategory")
-           .agg(F.sum(target).alias("y")))
+
+def slice_article_week(slice_rows: DataFrame) -> DataFrame:
+    """Slice rows summed to (booking, week, article hierarchy): sales plus the
+    sales-weighted sums the regressors need (A13/A14), so one pass over the
+    store-grain rows serves both the panel and the regressors."""
+    s = F.col("sales")
+    return slice_rows.groupBy(*ARTICLE_WEEK).agg(
+        F.sum(s).alias("sales"), F.count(F.lit(1)).alias("n_rows"),
+        *[F.sum(F.coalesce(F.col(c), F.lit(0)) * s).alias(f"ws_{c}") for c in NUMERIC_REGRESSORS if c in
+          slice_rows.columns],
+        F.sum(F.when(F.col("brochure") == "Not on brochure", s).otherwise(F.lit(0))).alias("ws_brochure_not_on_brochure"),
+        F.sum(F.when(F.col("multibuy") == "Not on Multibuy", s).otherwise(F.lit(0))).alias("ws_multibuy_not_on_multibuy"))
+
+
+def weekly_panel(slice_agg: DataFrame, registry: DataFrame, target: str = "sales") -> DataFrame:
+    """Y per (booking, level, node, week) over the booking's slice.
+
+    Input is the slice at (booking, week, article) grain, so store detail
+    never crosses the six-way expansion and registry join."""
+    pre = slice_agg.select(*ARTICLE_WEEK, F.col(target).alias("y"))
     x = expand_levels(pre, ["y"])
     return (x.join(registry, ["booking_number", "level", "k1", "k2"])
             .groupBy("booking_number", "level", "node", "week_start").agg(F.sum("y").alias("y")))

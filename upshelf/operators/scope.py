@@ -66,39 +66,50 @@ def promo_hierarchy(base: DataFrame, skus: DataFrame, windows: DataFrame) -> Dat
 
 
 def sku_universe(base: DataFrame, skus: DataFrame, windows: DataFrame, mode: str = "wide",
-                 promo: DataFrame | None = None) -> DataFrame:
+                 promo: DataFrame | None = None, dim: DataFrame | None = None) -> DataFrame:
     """(booking, article_id) of the analysis universe.
 
     wide: promoted SKUs ∪ whole brands ∪ brand×category ∪ brand×subcategory ∪
     categories ∪ subcategories; narrow: promoted SKUs ∪ brand×subcategory.
-    Only articles selling inside the booking's window count (J18 + U1).
-    ``promo`` may be passed pre-computed (``promo_dim`` rows)."""
-    levels = list(UNIVERSE_LEVELS) if mode == "wide" else NARROW_LEVELS
-    dw = dim_weeks(base)
+    Only articles selling inside the booking's window count (J18 + U1)."""
     promo = promo_dim(base, skus, windows) if promo is None else promo
-    parts = []
-    for lv in levels:
-        keys = UNIVERSE_LEVELS[lv]
-        src = skus if lv == "sku" else promo.select("booking_number", *keys).distinct()
-        parts.append(in_window(dw.join(src, keys), windows).select("booking_number", "article_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    dim = product_dim(base) if dim is None else dim
+    cand = candidates(skus, promo, dim, mode)
+    active = base.select("week_start", "article_id").distinct()
+    return in_window(active.join(cand, "article_id"), windows).select("booking_number", "article_id").distinct()
 
 
 def cohort_filter(df: DataFrame, windows: DataFrame, stores: DataFrame) -> DataFrame:
     """Keep rows (booking, store_id, ...) whose store is in the booking's cohort;
-    bookings flagged ``all_stores`` keep every store (P16, chosen by a join,
-    never ``OR IN``)."""
-    allw = windows.where(F.col("all_stores")).select("booking_number")
-    listed = df.join(stores, ["booking_number", "store_id"], "left_semi")
-    everyone = df.join(allw, "booking_number", "left_semi")
-    return listed.unionByName(everyone)
+    bookings flagged ``all_stores`` keep every store (P16). One left join on
+    (booking, store) plus a filter — never ``OR IN`` and never two passes."""
+    flag = windows.select("booking_number", F.col("all_stores").alias("_all"))
+    st = stores.select("booking_number", "store_id", F.lit(True).alias("_in"))
+    return (df.join(flag, "booking_number").join(st, ["booking_number", "store_id"], "left")
+            .where(F.col("_all") | F.col("_in").isNotNull()).drop("_all", "_in"))
+
+
+def candidates(skus: DataFrame, promo: DataFrame, dim: DataFrame, mode: str = "wide") -> DataFrame:
+    """(booking, article) members of the universe by hierarchy alone, from the
+    article-level dimension (no weeks). brand ⊇ brand×category and
+    brand×subcategory, so the wide universe needs four joins, not six."""
+    d = dim.select("article_id", "brand", "category", "subcategory").distinct()
+    parts = [skus.select("booking_number", "article_id")]
+    levels = [["brand"], ["category"], ["subcategory"]] if mode == "wide" else [["brand", "subcategory"]]
+    for keys in levels:
+        src = promo.select("booking_number", *keys).distinct()
+        parts.append(d.join(src, keys).select("booking_number", "article_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def slice_rows(base: DataFrame, universe: DataFrame, windows: DataFrame, stores: DataFrame) -> DataFrame:
-    """Base rows of each booking: universe articles, cohort stores, window weeks."""
+    """Base rows of each booking: universe articles, cohort stores, window weeks.
+
+    ``universe`` may be the hierarchy candidates: a base row inside the window
+    proves the article sells there, so no separate activity check is needed."""
     j = base.join(universe, "article_id")
     return cohort_filter(in_window(j, windows), windows, stores)
 

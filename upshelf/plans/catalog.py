@@ -66,7 +66,7 @@ def _load() -> None:
     if not _loaded:
         _loaded = True
         from upshelf.plans import q_base  # noqa: F401  (registers entries)
-        for mod in ("q_customers", "q_media", "q_scope", "q_model", "q_insights", "q_primitives"):
+        for mod in ("q_customers", "q_media", "q_scope", "q_slices", "q_insights", "q_primitives"):
             try:
                 __import__(f"upshelf.plans.{mod}")
             except ModuleNotFoundError as e:

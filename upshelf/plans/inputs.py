@@ -31,8 +31,7 @@ def weekly_base(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFr
     """The weekly base, written once per session as a table partitioned by
     week (the modelled app keeps it as a precomputed table too)."""
     return materialise(spark, lambda: B.weekly_base(tx(spark, sf_dir), comp(spark, sf_dir), promo(spark, sf_dir), p),
-                       "weekly_base", (sf_dir, repr(p)), partition_by=["week_start"],
-                       sort_by=["product_number", "store_id"])
+                       "weekly_base", (sf_dir, repr(p)))
 
 
 def weekly_base_lazy(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:

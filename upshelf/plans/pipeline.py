@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from upshelf.operators import cohort as CO
+from upshelf.operators import customers as CU
 from upshelf.operators import exposure as EX
 from upshelf.operators import forecast as FC
 from upshelf.operators import insights as IN
@@ -64,17 +66,25 @@ class Campaigns:
 
     def universe(self, mode: str = "wide") -> DataFrame:
         return self._m(f"universe_{mode}",
-                       lambda: S.sku_universe(self.base, self.skus, self.windows, mode, self.promo_dim))
+                       lambda: S.sku_universe(self.base, self.skus, self.windows, mode, self.promo_dim, self.dim))
+
+    def candidates(self, mode: str = "wide") -> DataFrame:
+        return self._m(f"candidates_{mode}", lambda: S.candidates(self.skus, self.promo_dim, self.dim, mode))
 
     def slice_rows(self, mode: str = "wide") -> DataFrame:
-        return self._m(f"slice_{mode}",
-                       lambda: S.slice_rows(self.base, self.universe(mode), self.windows, self.stores))
+        """Store-grain slice rows (lazy; used where stores matter)."""
+        return S.slice_rows(self.base, self.candidates(mode), self.windows, self.stores)
+
+    def slice_agg(self, mode: str = "wide") -> DataFrame:
+        """The slice summed to (booking, week, article hierarchy): store detail
+        is dropped before anything is written."""
+        return self._m(f"slice_agg_{mode}", lambda: N.slice_article_week(self.slice_rows(mode)))
 
     def registry(self) -> DataFrame:
         return self._m("registry", lambda: N.node_registry(self.skus, self.promo_dim))
 
     def panel(self, target: str = "sales") -> DataFrame:
-        return self._m(f"panel_{target}", lambda: N.weekly_panel(self.slice_rows(), self.registry(), target))
+        return self._m(f"panel_{target}", lambda: N.weekly_panel(self.slice_agg(), self.registry(), target))
 
     def compare(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel(), self.windows)
@@ -82,6 +92,23 @@ class Campaigns:
     def grid(self) -> DataFrame:
         return R.uplift_grid(R.cap_hierarchy(R.uplift_totals(self.compare())))
 
+    # ---- slices ---------------------------------------------------------
+    def lines(self, validator: str = "regex") -> DataFrame:
+        """Eligible customer lines, all stores: the global lookback history."""
+        return self._m(f"lines_{validator}", lambda: CU.customer_lines(I.tx(self.spark, self.sf_dir), self.p, validator))
+
+    def cohort_week_totals(self) -> DataFrame:
+        return self._m("cohort_week_totals", lambda: CO.cohort_week_totals(
+            self.base, I.promo(self.spark, self.sf_dir), self.lines("cast"), self.skus, self.windows, self.stores,
+            self.p))
+
+    def exog_cohort_week(self) -> DataFrame:
+        return CO.exog_cohort_week(CO.base_cohort(self.base, self.skus, self.windows, self.stores), self.p)
+
+    def scoped_slice(self, variant: str = "lag") -> DataFrame:
+        return CO.scoped_slice(self.base, I.promo(self.spark, self.sf_dir), self.lines(), self.candidates(),
+                               self.windows, self.stores, variant, self.p)
+
     # ---- insights -------------------------------------------------------
     @property
     def dim(self) -> DataFrame:
