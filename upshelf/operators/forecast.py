@@ -39,17 +39,16 @@ def micro(x):
     return (F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).cast("decimal(38,6)")
 
 
-def counterfactual_mean(panel: DataFrame, windows: DataFrame) -> DataFrame:
+def counterfactual_mean(panel: DataFrame, windows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """D24 with the ``mean`` learner, D25 uplift = y - yhat.
 
     yhat is the training mean in micro-units (exact decimal); uplift is then
     exact, so totals and caps do not depend on summation order."""
     train, test = _split(panel, windows)
-    yhat = train.groupBy("booking_number", "level", "node").agg(
-        micro(F.sum("y").cast("double") / F.count("y")).alias("yhat"))
-    return (test.join(yhat, ["booking_number", "level", "node"], "left")
-            .select("booking_number", "level", "node", F.col("week_start").alias("ds"),
-                    "y", "yhat", (F.col("y") - F.col("yhat")).alias("uplift")))
+    g = ["booking_number", *keys, "level", "node"]
+    yhat = train.groupBy(*g).agg(micro(F.sum("y").cast("double") / F.count("y")).alias("yhat"))
+    return (test.join(yhat, g, "left")
+            .select(*g, F.col("week_start").alias("ds"), "y", "yhat", (F.col("y") - F.col("yhat")).alias("uplift")))
 
 
 def _ridge_group(alpha: float, features: list[str]):

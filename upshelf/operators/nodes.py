@@ -102,3 +102,54 @@ def weekly_regressors(slice_rows: DataFrame, weighting: str = "sales", p: Params
                   F.avg(F.when(F.col("multibuy") == p.no_multibuy_label, 1.0).otherwise(0.0)).alias(
                       "multibuy_not_on_multibuy")]
     return slice_rows.groupBy("booking_number", "week_start").agg(*num, *shares)
+
+
+# The ten counterfactual metrics and the new-to keys behind them.
+NEW_TO_KEYS = {"sku": ["product_number"], "brand": ["brand"], "category": ["category"],
+               "subcategory": ["subcategory"]}
+METRICS = ["sales", "shoppers"] + [f"new_to_{k}_{m}" for k in NEW_TO_KEYS for m in ("sales", "shoppers")]
+
+
+def customer_panel(scoped: DataFrame, history: DataFrame, registry: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """D23/D29 customer metrics per (booking, level, node, week): distinct
+    shoppers and new-to-{sku, brand, category, subcategory} shoppers and
+    sales, recomputed at every node from lines (decision 16; never summed
+    over SKUs or stores).
+
+    Distinct counts avoid the Expand blow-up of several conditional
+    ``count_distinct``: rows are first reduced to one per customer and node,
+    then flags are summed."""
+    from upshelf.functions.weeks import month_diff
+    from upshelf.operators.customers import purchase_days
+    x = scoped.where(F.col("customer_id").isNotNull())
+    for name, key in NEW_TO_KEYS.items():
+        plane = purchase_days(history.select("customer_id", *key, "d"), key) \
+            .withColumnRenamed("prev_d", f"prev_{name}")
+        x = x.join(plane, ["customer_id", *key, "d"], "left")
+        prev = F.when(F.col(f"prev_{name}") >= F.col("lookback_start"), F.col(f"prev_{name}"))
+        x = x.withColumn(f"new_{name}", prev.isNull() | (month_diff(F.col("d"), prev) >= p.new_to_months))
+    per = (x.groupBy("booking_number", "week_start", "article_id", "brand", "category", "subcategory",
+                     "customer_id")
+           .agg(*[F.max(f"new_{k}").cast("int").alias(f"has_{k}") for k in NEW_TO_KEYS],
+                *[F.sum(F.when(F.col(f"new_{k}"), F.col("sales_amount")).otherwise(F.lit(0))).alias(f"amt_{k}")
+                  for k in NEW_TO_KEYS]))
+    meas = [f"has_{k}" for k in NEW_TO_KEYS] + [f"amt_{k}" for k in NEW_TO_KEYS] + ["customer_id"]
+    e = expand_levels(per, meas).join(registry, ["booking_number", "level", "k1", "k2"])
+    cust = e.groupBy("booking_number", "level", "node", "week_start", "customer_id").agg(
+        *[F.max(f"has_{k}").alias(f"has_{k}") for k in NEW_TO_KEYS],
+        *[F.sum(f"amt_{k}").alias(f"amt_{k}") for k in NEW_TO_KEYS])
+    return cust.groupBy("booking_number", "level", "node", "week_start").agg(
+        F.count(F.lit(1)).alias("shoppers"),
+        *[F.sum(f"has_{k}").cast("long").alias(f"new_to_{k}_shoppers") for k in NEW_TO_KEYS],
+        *[F.sum(f"amt_{k}").alias(f"new_to_{k}_sales") for k in NEW_TO_KEYS])
+
+
+def long_panel(sales_panel: DataFrame, cust_panel: DataFrame) -> DataFrame:
+    """(booking, metric, level, node, week, y) for the ten metrics. Node-weeks
+    with sales but no valid customer get 0 for the customer metrics."""
+    j = sales_panel.withColumnRenamed("y", "sales").join(
+        cust_panel, ["booking_number", "level", "node", "week_start"], "left")
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"),
+                               F.coalesce(F.col(m).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).alias("y"))
+                      for m in METRICS])
+    return j.select("booking_number", "level", "node", "week_start", F.inline(pairs))

@@ -89,6 +89,17 @@ class Campaigns:
     def compare(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel(), self.windows)
 
+    def scoped_lines(self, mode: str = "wide") -> DataFrame:
+        return CU.scoped_lines(self.lines(), self.candidates(mode), self.windows, self.stores)
+
+    def panel_full(self) -> DataFrame:
+        """D29 panel: ten metrics per (booking, level, node, week)."""
+        return self._m("panel_full", lambda: N.long_panel(
+            self.panel(), N.customer_panel(self.scoped_lines(), self.lines(), self.registry(), self.p)))
+
+    def compare_full(self) -> DataFrame:
+        return FC.counterfactual_mean(self.panel_full(), self.windows, keys=("metric",))
+
     def grid(self) -> DataFrame:
         return R.uplift_grid(R.cap_hierarchy(R.uplift_totals(self.compare())))
 

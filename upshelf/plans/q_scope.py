@@ -91,3 +91,22 @@ def q_counterfactual_ridge(spark, sf_dir):
     """Ridge learner (grouped map); no SQL oracle, checked by properties in tests."""
     c = campaigns(spark, sf_dir)
     return FC.counterfactual_ridge(c.panel(), c.windows, alpha=1.0)
+
+
+@register("counterfactual_full", O.with_(*O.FULL_CTES) + """SELECT booking_number, metric, level, node, ds,
+       CAST(y AS DOUBLE) AS y, CAST(yhat AS DOUBLE) AS yhat, CAST(uplift AS DOUBLE) AS uplift FROM fcmp""")
+def q_counterfactual_full(spark, sf_dir):
+    """Ten metrics × six levels in one plan."""
+    return tidy(campaigns(spark, sf_dir).compare_full())
+
+
+@register("uplift_totals_full", O.with_(*O.FULL_CTES) + """SELECT booking_number, metric,
+       CAST(COALESCE(sum(CASE WHEN level = 'sku' THEN uplift END), 0) AS DOUBLE) AS promo_sku_total,
+       CAST(COALESCE(sum(CASE WHEN level = 'brand_category' THEN uplift END), 0) AS DOUBLE) AS brand_category_total,
+       CAST(COALESCE(sum(CASE WHEN level = 'brand_subcategory' THEN uplift END), 0) AS DOUBLE) AS brand_subcategory_total,
+       CAST(COALESCE(sum(CASE WHEN level = 'brand' THEN uplift END), 0) AS DOUBLE) AS brand_total,
+       CAST(COALESCE(sum(CASE WHEN level = 'category' THEN uplift END), 0) AS DOUBLE) AS category_total,
+       CAST(COALESCE(sum(CASE WHEN level = 'subcategory' THEN uplift END), 0) AS DOUBLE) AS subcategory_total
+FROM fcmp GROUP BY booking_number, metric""")
+def q_uplift_totals_full(spark, sf_dir):
+    return tidy(R.uplift_totals(campaigns(spark, sf_dir).compare_full(), keys=("booking_number", "metric")))
