@@ -153,3 +153,16 @@ def long_panel(sales_panel: DataFrame, cust_panel: DataFrame) -> DataFrame:
                                F.coalesce(F.col(m).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).alias("y"))
                       for m in METRICS])
     return j.select("booking_number", "level", "node", "week_start", F.inline(pairs))
+
+
+def label_mode(df: DataFrame, keys: list[str], label: str, default: str) -> DataFrame:
+    """Most frequent non-null label per group; ties -> smallest; a group
+    with no label gets ``default``."""
+    return df.groupBy(*keys).agg(F.coalesce(F.mode(label, True), F.lit(default)).alias(label))
+
+
+def one_hot(df: DataFrame, col: str, values: list[str], prefix: str | None = None) -> DataFrame:
+    """one 0/1 column per explicit label value."""
+    prefix = prefix or col
+    return df.select("*", *[F.when(F.col(col) == v, 1.0).otherwise(0.0).alias(
+        f"{prefix}_" + "".join(ch if ch.isalnum() else "_" for ch in v.lower())) for v in values])
