@@ -44,7 +44,11 @@ def promotions_unique(promo: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def competitor_best_offers(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """A2 + U5: per (product, week, competitor) the lowest unit price among the
     shelf price and two offers, its hurdle quantity (tie -> lowest quantity),
-    and the lowest shelf price."""
+    and the lowest shelf price.
+
+    Each price row is first reduced to its own best option with ``least``
+    (nulls skipped), so the (sort-based) struct minimum sees one row per price
+    row instead of three exploded options."""
     c = comp.where(F.col("fw_end_date") >= history_start(p))
     shelf = F.col("shelf_price").cast("double")
 
@@ -54,17 +58,17 @@ def competitor_best_offers(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
     def hurdle(qty):
         return F.when(F.col(qty).isNull() | (F.col(qty) == 1), F.lit(1)).otherwise(F.col(qty))
 
-    options = F.array(
-        F.struct(shelf.alias("unit"), F.lit(1).alias("qty")),
-        F.struct(unit("offer1_price", "offer1_qty").alias("unit"), hurdle("offer1_qty").alias("qty")),
-        F.struct(unit("offer2_price", "offer2_qty").alias("unit"), hurdle("offer2_qty").alias("qty")),
-    )
-    x = (c.select("product_number", week_start("fw_end_date").alias("week_start"), "competitor",
-                  shelf.alias("shelf_unit"), F.explode(options).alias("o"))
-         .where(F.col("o.unit").isNotNull()))
-    best = F.min(F.col("o"))
+    opts = [(shelf, F.lit(1)), (unit("offer1_price", "offer1_qty"), hurdle("offer1_qty")),
+            (unit("offer2_price", "offer2_qty"), hurdle("offer2_qty"))]
+    x = c.select("product_number", week_start("fw_end_date").alias("week_start"), "competitor",
+                 shelf.alias("shelf_unit"), *[u.alias(f"u{i}") for i, (u, _) in enumerate(opts)],
+                 *[q.alias(f"q{i}") for i, (_, q) in enumerate(opts)])
+    bu = F.least(F.col("u0"), F.col("u1"), F.col("u2"))
+    bq = F.least(*[F.when(F.col(f"u{i}") == bu, F.col(f"q{i}")) for i in range(3)])
+    x = x.select("product_number", "week_start", "competitor", "shelf_unit",
+                 F.struct(bu.alias("unit"), bq.alias("qty")).alias("o")).where(F.col("o.unit").isNotNull())
     return (x.groupBy("product_number", "week_start", "competitor")
-            .agg(best.alias("best"), F.min("shelf_unit").alias("shelf_unit"))
+            .agg(F.min("o").alias("best"), F.min("shelf_unit").alias("shelf_unit"))
             .select("product_number", "week_start", "competitor",
                     F.col("best.unit").alias("best_unit_price"), F.col("best.qty").alias("hurdle_qty"),
                     "shelf_unit"))

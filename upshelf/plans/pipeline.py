@@ -48,17 +48,19 @@ class Campaigns:
     def media(self) -> DataFrame:
         return self._m("media_master", lambda: M.media_master(I.bookings(self.spark, self.sf_dir), self.p))
 
+    # Booking-level tables derive cheaply from the (written) media master, so
+    # they stay lazy; tables derived from the fact-sized base are written.
     @property
     def skus(self) -> DataFrame:
-        return self._m("booking_skus", lambda: M.booking_skus(self.media))
+        return M.booking_skus(self.media)
 
     @property
     def stores(self) -> DataFrame:
-        return self._m("booking_stores", lambda: M.booking_stores(self.media))
+        return M.booking_stores(self.media)
 
     @property
     def windows(self) -> DataFrame:
-        return self._m("campaign_windows", lambda: M.campaign_windows(self.media, self.p))
+        return M.campaign_windows(self.media, self.p)
 
     @property
     def promo_dim(self) -> DataFrame:
@@ -106,7 +108,7 @@ class Campaigns:
     # ---- slices ---------------------------------------------------------
     def lines(self, validator: str = "regex") -> DataFrame:
         """Eligible customer lines, all stores: the global lookback history."""
-        return self._m(f"lines_{validator}", lambda: CU.customer_lines(I.tx(self.spark, self.sf_dir), self.p, validator))
+        return CU.customer_lines(I.tx(self.spark, self.sf_dir), self.p, validator)
 
     def cohort_week_totals(self) -> DataFrame:
         return self._m("cohort_week_totals", lambda: CO.cohort_week_totals(
