@@ -58,10 +58,18 @@ def internal_discount_week(base: DataFrame, promo: DataFrame, skus: DataFrame, w
 
 
 def cohort_week_totals(base: DataFrame, promo: DataFrame, lines: DataFrame, skus: DataFrame, windows: DataFrame,
-                       stores: DataFrame, p: Params = DEFAULT) -> DataFrame:
+                       stores: DataFrame, p: Params = DEFAULT, guard: bool = True) -> DataFrame:
     """One row per (booking, week) with constant hierarchy keys, the
     regressors and six targets. ``lines``: customer lines with the cast
-    validator (P6), all stores — the global lookback history."""
+    validator (P6), all stores — the global lookback history.
+
+    ``guard`` applies the exactly-one-brand rule (P22): bookings whose
+    promoted SKUs span several brands in scope are skipped (see
+    ``scope.preflight`` for the reasons)."""
+    if guard:
+        from upshelf.operators.scope import preflight
+        ok = preflight(base, skus, windows, stores).where(F.col("ok")).select("booking_number")
+        skus = skus.join(ok, "booking_number", "left_semi")
     bc = base_cohort(base, skus, windows, stores)
     dims = bc.groupBy("booking_number").agg(F.min("brand").alias("brand"), F.min("category").alias("category"),
                                             F.min("subcategory").alias("subcategory"))

@@ -6,7 +6,7 @@ pivot with an explicit type list happens only at the model edge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from upshelf.functions.numeric import clip_upper
@@ -27,6 +27,7 @@ def fleet_size(base: DataFrame):
 def assets(media: DataFrame, fleet, weights: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """One row per asset (media-master row) and media type with its weight and
     the asset's coverage (F22, F23)."""
+    fleet = fleet if isinstance(fleet, Column) else F.lit(fleet)
     m = load_media(media)
     types = F.array_sort(F.array_distinct(F.transform("media_type_array", lambda t: F.lower(t))))
     types = F.when(F.size(types) == 0, F.array(F.lit(UNSPECIFIED_TYPE))).otherwise(types)

@@ -178,3 +178,17 @@ def q_scenario_scores(spark, sf_dir):
                    F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
                                        for f in feats])).alias("kv")).select("scenario_id", "kv.feature", "kv.value")
     return ML.score_weekly(sc, coefs)
+
+
+@register("campaign_scenario_scores")
+def q_campaign_scenario_scores(spark, sf_dir):
+    """M6: score every campaign's own aggregate as a scenario with the campaign model."""
+    c = campaigns(spark, sf_dir)
+    h, doses = _weekly_features(c, "brand_category")
+    agg = IN.campaign_aggregate(h, doses)
+    feats = ML.CAMPAIGN_BASE + [f"{d}_avg" for d in doses]
+    coefs = ML.fit_campaign_level(spark, agg, feats)
+    sc = agg.select(F.col("campaign_id").alias("scenario_id"),
+                    F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
+                                        for f in feats])).alias("kv")).select("scenario_id", "kv.feature", "kv.value")
+    return ML.score_campaign(sc, coefs)

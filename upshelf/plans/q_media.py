@@ -70,3 +70,18 @@ def q_store_sets(spark, sf_dir):
 @register("fleet_stores", O.with_(*O.BASE_CTES) + "SELECT DISTINCT store_id FROM base")
 def q_fleet_stores(spark, sf_dir):
     return M.fleet_stores(I.weekly_base(spark, sf_dir))
+
+
+@register("store_calendar_dynamic", O.with_(*O.SCOPE_CTES, """dyn AS (
+  SELECT booking_number,
+         unnest(generate_series(media_start_date - CAST((dayofweek(media_start_date) + 4) % 7 AS INTEGER),
+                                media_end_date - CAST((dayofweek(media_end_date) + 4) % 7 AS INTEGER),
+                                INTERVAL 7 DAY))::DATE AS week_start,
+         list_filter(string_split(sorted_store_list, ','), lambda s: trim(s) <> '') AS st
+  FROM media_master)""") + """SELECT DISTINCT booking_number, week_start, unnest(st) AS store_id, false AS all_stores
+FROM dyn WHERE len(st) > 0
+UNION
+SELECT DISTINCT booking_number, week_start, CAST(NULL AS VARCHAR) AS store_id, true AS all_stores FROM dyn WHERE len(st) = 0""")
+def q_store_calendar_dynamic(spark, sf_dir):
+    m = media(spark, sf_dir)
+    return M.store_calendar(m, M.campaign_windows(m), cohort="dynamic")
