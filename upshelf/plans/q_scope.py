@@ -110,3 +110,10 @@ def q_counterfactual_full(spark, sf_dir):
 FROM fcmp GROUP BY booking_number, metric""")
 def q_uplift_totals_full(spark, sf_dir):
     return tidy(R.uplift_totals(campaigns(spark, sf_dir).compare_full(), keys=("booking_number", "metric")))
+
+
+@register("counterfactual_gbt")
+def q_counterfactual_gbt(spark, sf_dir):
+    """Pooled gradient-boosted-trees learner (MLlib); no SQL oracle."""
+    c = campaigns(spark, sf_dir)
+    return FC.counterfactual_gbt(c.panel(), c.windows)
