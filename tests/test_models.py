@@ -33,6 +33,7 @@ def test_within_campaign_ridge_matches_closed_form(spark):
     coefs = {r.feature: r.coef for r in ML.fit_weekly_within_campaign(spark, h, feats, alpha=10.0).collect()}
     pdf = h.toPandas()
     pdf["uplift"] = pdf["uplift"].astype(float)
+    pdf = pdf[pdf["uplift"].notna()]
     pdf = pdf[pdf.groupby("campaign_id")["week_start"].transform("nunique") >= 2].copy()
     woy = pd.to_datetime(pdf["week_start"]).dt.isocalendar().week.astype(int)
     pdf["woy_sin"], pdf["woy_cos"] = np.sin(2 * np.pi * woy / 52.0), np.cos(2 * np.pi * woy / 52.0)
@@ -53,6 +54,7 @@ def test_campaign_ols_matches_lstsq(spark):
     feats = ML.CAMPAIGN_BASE
     co = {r.feature: r.coef for r in ML.fit_campaign_level(spark, agg, feats).collect()}
     pdf = agg.toPandas()
+    pdf = pdf[pdf["uplift_total"].notna()]
     X = pdf[feats].fillna(0.0).to_numpy(float)
     y = pdf["uplift_total"].to_numpy(float)
     Xc, yc = X - X.mean(0), y - y.mean()
