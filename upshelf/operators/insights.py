@@ -27,11 +27,12 @@ def hypothesis_table(compare: DataFrame, exposure: DataFrame, depth: DataFrame,
     """Compare rows of a grain ⋈ exposure features ⋈ discount depth,
     zero-filled; one row per (campaign, node, week)."""
     keys = DEPTH_KEYS[grain]
-    c = compare_keys(compare, grain).select("booking_number", "level", "node", "week_start", *keys,
+    metric = ["metric"] if "metric" in compare.columns else []
+    c = compare_keys(compare, grain).select("booking_number", *metric, "level", "node", "week_start", *keys,
                                             "y", "yhat", "uplift")
     x = (c.join(exposure, ["booking_number", "week_start", *keys], "left")
          .join(depth, ["week_start", *keys], "left"))
-    return x.select(F.col("booking_number").alias("campaign_id"), "level", "node", "week_start", *keys,
+    return x.select(F.col("booking_number").alias("campaign_id"), *metric, "level", "node", "week_start", *keys,
                     "y", "yhat", "uplift",
                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FILL])
 

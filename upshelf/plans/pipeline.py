@@ -147,6 +147,10 @@ class Campaigns:
     def depth(self, grain: str) -> DataFrame:
         return MK.discount_depth(self.base, grain, self.p)
 
+    def hypothesis_full(self, grain: str) -> DataFrame:
+        """D37 for every metric: hypothesis rows with a ``metric`` column."""
+        return IN.hypothesis_table(self.compare_full(), self.exposure_by_grain(grain), self.depth(grain), grain)
+
     def hypothesis(self, grain: str) -> DataFrame:
         return self._m(f"hypothesis_{grain}", lambda: IN.hypothesis_table(
             self.compare(), self.exposure_by_grain(grain), self.depth(grain), grain))

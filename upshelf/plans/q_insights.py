@@ -192,3 +192,17 @@ def q_campaign_scenario_scores(spark, sf_dir):
                     F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
                                         for f in feats])).alias("kv")).select("scenario_id", "kv.feature", "kv.value")
     return ML.score_campaign(sc, coefs)
+
+
+@register("model_grid_full_coefs")
+def q_model_grid_full(spark, sf_dir):
+    """M7 over ten metrics × six grains: 60 within-campaign ridge models from
+    one grouped aggregate of sufficient statistics (one Spark job)."""
+    c = campaigns(spark, sf_dir)
+    stacked = None
+    for g in GRAINS:
+        h = (c.hypothesis_full(g).select("campaign_id", "metric", "week_start", "uplift", *IN.FILL)
+             .withColumn("grain", F.lit(g)))
+        stacked = h if stacked is None else stacked.unionByName(h)
+    return ML.fit_weekly_within_campaign(spark, stacked, ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
+                                         min_weeks=c.p.min_weeks, keys=("metric", "grain"))
