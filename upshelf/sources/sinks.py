@@ -40,9 +40,16 @@ def materialise(spark: SparkSession, df_fn, name: str, key: tuple = (), partitio
     return spark.read.parquet(_MATERIALISED[k])
 
 
-def write_weekly_base(base: DataFrame, path: str) -> None:
-    """Weekly base partitioned by week, clustered by product and store."""
-    (base.repartition("week_start").sortWithinPartitions("product_number", "store_id")
+def write_weekly_base(base: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Weekly base partitioned by week, clustered by product and store.
+
+    Range partitioning on (week, product, store) samples the data, so tasks
+    get equal-sized slices: a heavy week is split over many tasks (one week
+    in one task would not survive 100 TB), while each task still writes few
+    week folders with rows sorted by product and store (min/max skipping)."""
+    b = (base.repartitionByRange(partitions, "week_start", "product_number", "store_id") if partitions
+         else base.repartitionByRange("week_start", "product_number", "store_id"))
+    (b.sortWithinPartitions("week_start", "product_number", "store_id")
      .write.mode("overwrite").partitionBy("week_start").parquet(path))
 
 
