@@ -122,11 +122,14 @@ def q_weekly_uplift_export(spark, sf_dir):
 # ---- models (no SQL oracle: NumPy solves on Spark-computed sufficient statistics) ----
 
 def _weekly_features(c, grain):
+    """Hypothesis rows with per-type dose columns (brand×category grain, where
+    doses are native). The type list is the distinct media types — a small
+    vocabulary brought to the driver to name the pivot columns."""
+    h = c.hypothesis(grain)
+    if grain != "brand_category":
+        return h, []
     types = sorted(r[0] for r in c.exposure_doses().select("media_type").distinct().collect())
-    h = IN.with_doses(c.hypothesis(grain), c.exposure_doses().where(F.lit(grain == "brand_category")),
-                      ["brand", "category"], types) if grain == "brand_category" else c.hypothesis(grain)
-    doses = [IN.dose_col(t) for t in types] if grain == "brand_category" else []
-    return h, doses
+    return IN.with_doses(h, c.exposure_doses(), ["brand", "category"], types), [IN.dose_col(t) for t in types]
 
 
 @register("within_campaign_coefs")
