@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from upshelf.operators import cohort as CO
 from upshelf.operators import customers as CU
+from upshelf.operators import dynamic as DY
 from upshelf.operators import exposure as EX
 from upshelf.operators import forecast as FC
 from upshelf.operators import insights as IN
@@ -91,6 +92,13 @@ class Campaigns:
     def compare(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel(), self.windows)
 
+    def compare_dynamic(self) -> DataFrame:
+        """D24 over dynamic cohorts (each week's own treated stores)."""
+        sig, members = DY.week_cohorts(self.media, self.windows)
+        panel = self._m("panel_dynamic", lambda: DY.dynamic_panel(
+            self.base, self.candidates(), self.windows, sig, members, self.registry()))
+        return DY.counterfactual_dynamic(panel, self.windows, sig)
+
     def scoped_lines(self, mode: str = "wide") -> DataFrame:
         return CU.scoped_lines(self.lines(), self.candidates(mode), self.windows, self.stores)
 

@@ -117,3 +117,10 @@ def q_counterfactual_gbt(spark, sf_dir):
     """Pooled gradient-boosted-trees learner (MLlib); no SQL oracle."""
     c = campaigns(spark, sf_dir)
     return FC.counterfactual_gbt(c.panel(), c.windows)
+
+
+@register("counterfactual_dynamic")
+def q_counterfactual_dynamic(spark, sf_dir):
+    """Mean learner over dynamic (per-week) cohorts; checked in tests against
+    the static result where the store sets coincide and on a micro-frame."""
+    return tidy(campaigns(spark, sf_dir).compare_dynamic())
