@@ -40,3 +40,11 @@ def test_set_based_equals_per_booking_loop(spark):
         p, c = _run(base, media.where(F.col("booking_number") == b))
         assert _rows(p) == [r for r in full_p if r[0] == b], b
         assert _rows(c) == [r for r in full_c if r[0] == b], b
+
+
+def test_panel_plans_agree(spark):
+    from upshelf.plans.params import DEFAULT
+    from upshelf.plans.pipeline import campaigns
+    a = _rows(campaigns(spark, SF).panel())
+    b = _rows(campaigns(spark, SF, DEFAULT.with_(panel_plan="levels")).panel())
+    assert a == b and len(a) > 0

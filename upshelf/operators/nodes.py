@@ -166,3 +166,28 @@ def one_hot(df: DataFrame, col: str, values: list[str], prefix: str | None = Non
     prefix = prefix or col
     return df.select("*", *[F.when(F.col(col) == v, 1.0).otherwise(0.0).alias(
         f"{prefix}_" + "".join(ch if ch.isalnum() else "_" for ch in v.lower())) for v in values])
+
+
+def weekly_panel_direct(base: DataFrame, registry: DataFrame, windows: DataFrame, stores: DataFrame,
+                        target: str = "sales", articles: DataFrame | None = None) -> DataFrame:
+    """D23 without the article-level slice: the base is first summed to each
+    level's own grain (week, store, level key) in one expand + partial
+    aggregation, then joined to the registry, the window and the cohort.
+
+    A category node therefore joins (week × store × category) sums instead of
+    every article of the category once per booking; the result equals
+    ``weekly_panel`` over the slice (every row matching a node key is in the
+    booking's universe)."""
+    from upshelf.operators.scope import cohort_filter, in_window
+    lo = windows.select(F.min("min_d")).scalar()
+    hi = windows.select(F.max("max_d")).scalar()
+    base = base.where(F.col("week_start").between(lo, hi))          # weeks inside some campaign window
+    if articles is not None:                                          # articles inside some universe
+        base = base.join(articles.select("article_id").distinct(), "article_id", "left_semi")
+    cands = F.array(*[F.struct(F.lit(lv).alias("level"), _k(lv, 0).alias("k1"), _k(lv, 1).alias("k2"))
+                      for lv in LEVELS])
+    lv = (base.select("week_start", "store_id", F.col(target).alias("y"), F.inline(cands))
+          .groupBy("week_start", "store_id", "level", "k1", "k2").agg(F.sum("y").alias("y")))
+    j = lv.join(registry, ["level", "k1", "k2"])
+    j = cohort_filter(in_window(j, windows), windows, stores)
+    return j.groupBy("booking_number", "level", "node", "week_start").agg(F.sum("y").alias("y"))

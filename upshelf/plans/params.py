@@ -30,6 +30,11 @@ class Params:
     no_multibuy_label: str = "Not on Multibuy"
     min_date: dt.date = dt.date(1900, 1, 1)          # open window defaults
     max_date: dt.date = dt.date(2100, 1, 1)
+    # Node-panel plan: "slice" joins article-level rows of each booking's universe
+    # (faster when stores carry few articles per week, as in the test data);
+    # "levels" sums the base to each level's grain first (far fewer replicated
+    # rows when many articles share a node, as in full-size retail data).
+    panel_plan: str = "slice"
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":

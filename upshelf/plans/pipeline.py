@@ -87,6 +87,9 @@ class Campaigns:
         return self._m("registry", lambda: N.node_registry(self.skus, self.promo_dim))
 
     def panel(self, target: str = "sales") -> DataFrame:
+        if self.p.panel_plan == "levels":
+            return self._m(f"panel_{target}_levels", lambda: N.weekly_panel_direct(
+                self.base, self.registry(), self.windows, self.stores, target, self.candidates()))
         return self._m(f"panel_{target}", lambda: N.weekly_panel(self.slice_agg(), self.registry(), target))
 
     def compare(self) -> DataFrame:
