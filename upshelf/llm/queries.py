@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upshelf.llm import ann, bpe, frames
+from upshelf.llm import ann, bpe, frames, jaccard
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,12 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_block_matrix_ann, op6_byte_bpe, op8_token_frames)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_block_matrix_ann, op6_byte_bpe, op8_token_frames,
+                                                      op9_ngram_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_block_matrix_ann": """
@@ -46,6 +51,23 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+), n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(s) AS t FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM t x JOIN t y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 90 * (na.n + nb.n - o)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
 }
 
 
