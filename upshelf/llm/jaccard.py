@@ -36,6 +36,9 @@ from upshelf.llm.common import components, pick, small_batches, written
 
 #: Buckets of the corpus count and bits of the candidate filter: fixed, so what is sent to all tasks has a fixed size.
 BUCKETS, FILTER_BITS = 1 << 16, 1 << 22
+
+#: Members of a block of a tile.
+BLOCK = 1024
 U = np.uint64
 
 
@@ -130,6 +133,45 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
+def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a tile in different components whose bitmaps allow a link.
+
+    A tile of k members is cut into blocks of about BLOCK; every pair of blocks
+    is compared by one matrix product of bitmaps, and only pairs within the
+    bound leave it."""
+    tiles = (post.groupBy("token", "band").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo <> hi").select("token", "band", F.ceil(F.col("k") / BLOCK).cast("int").alias("m")))
+    shared = post.join(tiles, ["token", "band"])
+    own = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
+    others = F.sequence(F.lit(0), F.col("m") - 1)
+    blocks = (shared.withColumn("own", own).withColumn("other", F.explode(others))
+              .select("token", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                      "rep", "n", "root", "own"))
+    met = blocks.join(reps.select("rep", "sig"), "rep").groupBy("token", "band", "i", "j")
+
+    def tile(batch: pa.Table) -> pa.Table:
+        rep, n, root, own = (batch.column(c).to_numpy() for c in ("rep", "n", "root", "own"))
+        size = min(len(x) for x in batch.column("sig").to_pylist())
+        bits = np.empty((len(rep), size * 8), dtype=np.float32)
+        for r, x in enumerate(batch.column("sig").to_pylist()):
+            y = np.frombuffer(x, np.uint8)
+            while len(y) > size:
+                y = y[:len(y) // 2] | y[len(y) // 2:]
+            bits[r] = np.unpackbits(y)
+        at = [np.flatnonzero(own == v) for v in np.unique(own)]
+        left, right = at[0], at[-1]
+        both = bits[left] @ bits[right].T
+        pop = bits.sum(axis=1)
+        na, nb = n[left][:, None], n[right][None, :]
+        over = np.minimum(na - (pop[left][:, None] - both), nb - (pop[right][None, :] - both))
+        ok = (den * over >= num * (na + nb - over)) & (root[left][:, None] != root[right][None, :])
+        x, y = np.nonzero(ok)
+        a, b = rep[left[x]], rep[right[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.applyInArrow(tile, "a long, b long").where("a < b").distinct()
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The (a, b) pairs that link: bitmap bound first, exact intersection of the rest."""
     sig = reps.select("rep", "n", "sig")
@@ -192,10 +234,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     so_far = components(links, "jaccard-cc1")
     rooted = (reps.join(so_far, reps.rep == so_far.node, "left")
               .select("rep", "n", "prefix", F.coalesce("component", "rep").alias("root")))
-    post = _posts(rooted, num, den, "root")
-    x, y = post.toDF("a", "na", "ra", "band", "token"), post.toDF("b", "nb", "rb", "band", "token")
-    across = (x.join(y, ["token", "band"]).where("a < b and ra <> rb").where(_sizes("na", "nb", num, den))
-              .select("a", "b").distinct())
+    across = _crossing(_posts(rooted, num, den, "root"), reps, num, den)
     links = links.union(verified(across, reps, docs, k, num, den))
     comp = components(links, "jaccard-cc2")
     named = (reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left")
