@@ -37,8 +37,8 @@ from upshelf.llm.common import components, pick, small_batches, written
 #: Buckets of the corpus count and bits of the candidate filter: fixed, so what is sent to all tasks has a fixed size.
 BUCKETS, FILTER_BITS = 1 << 16, 1 << 22
 
-#: Members of a block of a tile.
-BLOCK = 1024
+#: Members of a block of a tile; tiles up to LIGHT members give their few pairs straight away.
+BLOCK, LIGHT = 1024, 32
 U = np.uint64
 
 
@@ -110,12 +110,12 @@ def cards(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> Da
 
 
 def _posts(reps: DataFrame, num: int, den: int, *more: str) -> DataFrame:
-    """A row per tile of a representative: (token, band)."""
+    """A row per tile (token, band) of a representative."""
     band = F.floor(F.log2(F.col("n"))).cast("int")
     tiles = F.when(F.col("n") * den >= num * F.pow(F.lit(2.0), band + 1),
                    F.array(band, band + 1)).otherwise(F.array(band))
     return (reps.select("rep", "n", *more, F.explode(tiles).alias("band"), "prefix")
-            .select("rep", "n", *more, "band", F.explode("prefix").alias("token")))
+            .select(F.explode("prefix").alias("token"), "band", "rep", "n", *more))
 
 
 def _sizes(a: str, b: str, num: int, den: int):
@@ -138,10 +138,16 @@ def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
 
     A tile of k members is cut into blocks of about BLOCK; every pair of blocks
     is compared by one matrix product of bitmaps, and only pairs within the
-    bound leave it."""
+    bound leave it. In a tile of at most LIGHT members, where a product would
+    cost more than the pairs, the bitmaps are compared after the join."""
     tiles = (post.groupBy("token", "band").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("token", "band", F.ceil(F.col("k") / BLOCK).cast("int").alias("m")))
-    shared = post.join(tiles, ["token", "band"])
+             .where("lo <> hi").select("token", "band", "k"))
+    shared = written(post.join(tiles, ["token", "band"]), "jaccard-shared")
+    light = shared.where(F.col("k") <= LIGHT).drop("k")
+    x, y = light.toDF("token", "band", "a", "na", "ra"), light.toDF("token", "band", "b", "nb", "rb")
+    few = (x.join(y, ["token", "band"]).where("a < b and ra <> rb").where(_sizes("na", "nb", num, den))
+           .select("a", "b"))
+    shared = shared.where(F.col("k") > LIGHT).withColumn("m", F.ceil(F.col("k") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
     others = F.sequence(F.lit(0), F.col("m") - 1)
     blocks = (shared.withColumn("own", own).withColumn("other", F.explode(others))
@@ -169,7 +175,7 @@ def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         a, b = rep[left[x]], rep[right[y]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return met.applyInArrow(tile, "a long, b long").where("a < b").distinct()
+    return met.applyInArrow(tile, "a long, b long").where("a < b").union(few).distinct()
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
