@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upshelf.llm import ann, bpe, frames, jaccard, langid, secrets
+from upshelf.llm import ann, bpe, fingerprint, frames, jaccard, langid, secrets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edited(_table(spark, sf_dir, "documents"))
+
+
 def op4_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_block_matrix_ann, op4_crf_secrets, op6_byte_bpe, op7_byte_gru_langid, op8_token_frames,
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_block_matrix_ann, op2_weighted_sampling, op4_crf_secrets, op6_byte_bpe, op7_byte_gru_langid, op8_token_frames,
                                                       op9_ngram_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {
