@@ -22,6 +22,8 @@ often as they came in. A single document follows itself. Empty table: no rows.""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,30 +34,36 @@ _ID_BITS = 23
 
 
 def sample(term: str, log_weight: str, i: int) -> Column:
-    """Sample i of a term as a long: smaller is earlier, the low bits name (term, t)."""
+    """Sample i of a term as a long: smaller is earlier, the low bits name (term, t); null without weight.
+
+    Uniforms have 21 bits; the factors 2^-21 of a product are taken out of its logarithm."""
     one, two = f"xxhash64({term}, {2 * i})", f"xxhash64({term}, {2 * i + 1})"
-    u = lambda h, s: f"((shiftrightunsigned({h}, {s}) & 2097151L) + 0.5D) / 2097152D"
-    r = f"(-ln(({u(one, 0)}) * ({u(one, 21)})))"
-    b = f"({u(one, 42)})"
+    u = lambda h, s: f"((shiftrightunsigned({h}, {s}) & 2097151L) + 0.5D)"
+    minus_ln = lambda h: f"({42 * math.log(2)!r}D - ln({u(h, 0)} * {u(h, 21)}))"
+    r, b = minus_ln(one), f"({u(one, 42)} * {2.0 ** -21!r}D)"
     t = f"floor({log_weight} / {r} + {b})"
-    ln_a = f"(ln(-ln(({u(two, 0)}) * ({u(two, 21)}))) - {r} * ({t} - {b} + 1D))"
+    ln_a = f"(ln({minus_ln(two)}) - {r} * ({t} - {b} + 1D))"
     name = f"(xxhash64({term}, {t}) & {(1 << _ID_BITS) - 1}L)"
     return F.expr(f"shiftleft(cast(({ln_a} + 128D) * 4294967296D as bigint), {_ID_BITS}) | {name}")
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(keys, fingerprint) of every group of keys; no exchange if the rows are dealt by (some of) the keys."""
-    blank = F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")
-    terms = texts.select(*keys, F.explode(F.split(blank, " ")).alias("w"))
-    terms = (terms.select(*keys, F.when(F.col("w") != "", F.xxhash64("w")).alias("k"))
-             .groupBy(*keys, "k").agg(F.count("*").alias("f"))
-             .select(*keys, "k", F.log(F.col("f").cast("double")).alias("lw")))
-    # the smallest ln a wins; a null term (a text without words) takes no part
-    got = terms.groupBy(*keys).agg(*[F.min(F.when(F.col("k").isNotNull(), sample("k", "lw", i))).alias(f"s{i}")
-                                     for i in range(samples)])
-    digit = lambda i: F.lpad(F.hex(F.col(f"s{i}").bitwiseAND((1 << _ID_BITS) - 1)), 6, "0")
-    whole = F.concat(*[digit(i) for i in range(samples)])
-    return got.select(*keys, F.lower(F.coalesce(whole, F.lit(""))).alias("fingerprint"))
+def fingerprints(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, a fingerprint under the name of each text column) of every group of keys.
+
+    No exchange if the rows are dealt by the keys. The columns' texts are
+    counted together, so what a term's hashes give is worked out once for all."""
+    blank = F.array(*[F.translate(F.col(c), "\t\n\x0b\x0c\r", "     ") for c in columns])
+    terms = texts.select(*keys, F.posexplode(blank).alias("v", "t"))
+    terms = terms.select(*keys, "v", F.explode(F.split("t", " ")).alias("w"))
+    terms = (terms.select(*keys, "v", F.when(F.col("w") != "", F.xxhash64("w")).alias("k"))
+             .groupBy(*keys, "k").agg(*[F.sum(F.when(F.col("v") == j, 1).otherwise(0)).alias(f"f{j}") for j in range(len(columns))]))
+    # the logarithm of no occurrences is null, and null samples take no part in a minimum
+    log = lambda j: F.expr(f"ln(cast(if(k is null, 0, f{j}) as double))").alias(f"lw{j}")
+    got = (terms.select(*keys, "k", *[log(j) for j in range(len(columns))]).groupBy(*keys)
+           .agg(*[F.min(sample("k", f"lw{j}", i)).alias(f"s{j}_{i}") for i in range(samples) for j in range(len(columns))]))
+    digit = lambda j, i: F.lpad(F.hex(F.col(f"s{j}_{i}").bitwiseAND((1 << _ID_BITS) - 1)), 6, "0")
+    whole = lambda j: F.concat(*[digit(j, i) for i in range(samples)])
+    return got.select(*keys, *[F.lower(F.coalesce(whole(j), F.lit(""))).alias(c) for j, c in enumerate(columns)])
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -87,43 +95,39 @@ def followers(rows: DataFrame) -> DataFrame:
 
 
 def _key(i: str, th: str) -> list[Column]:
-    """Join key that also matches null ids."""
-    return [F.coalesce(i, F.lit(0)).alias("ki"), F.col(i).isNull().alias("kn"), F.col(th).alias("kt")]
+    return [F.coalesce(i, F.lit(0)).alias("ki"), F.col(th).alias("kt")]
 
 
-def edited_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(ki, kn, kt, doc_id, n, m, next_id, next_th, text, edited), dealt by the key."""
-    parts = parts or parts_for(docs, 6)
+def edited_pairs(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((ki, kt, text, edited) dealt by the key (ki, kt), (ki, kt, doc_id, n, m, next_id, next_th))."""
+    parts = parts or parts_for(docs, 4)
     rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    rows = rows.withColumn("th", F.xxhash64("text", F.col("doc_id").isNull()))     # a null id is a key of its own
     order = followers(rows.select("doc_id", "th", F.length("text").cast("long").alias("n")))
-    k = ["ki", "kn", "kt"]
+    k = ["ki", "kt"]
     held = (rows.select(*_key("doc_id", "th"), "text").repartition(parts, *k)
             .groupBy(*k).agg(F.first("text").alias("text")))
     half = F.floor(F.col("n") / 2).cast("int")
-    own = order.select(*_key("doc_id", "th"), "doc_id", "n", "m", "next_id", "next_th").repartition(parts, *k)
     asked = (order.select(*_key("next_id", "next_th"), F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), half.alias("h"))
              .repartition(parts, *k))
     sent = (asked.join(held.hint("merge"), k)
-            .select(*_key("to_id", "to_th"), F.left("text", F.col("h")).alias("tail")).repartition(parts, *k))
-    return (held.hint("merge").join(own.hint("merge"), k).join(sent.hint("merge"), k)
-            .select(*k, "doc_id", "n", "m", "next_id", "next_th", "text",
-                    F.concat(F.left("text", (F.col("n") - half).cast("int")), "tail").alias("edited")))
+            .select(*_key("to_id", "to_th"), F.left("text", F.col("h")).alias("tail"), "h").repartition(parts, *k))
+    pairs = (held.hint("merge").join(sent.hint("merge"), k)
+             .select(*k, "text", F.concat(F.left("text", F.length("text") - F.col("h")), "tail").alias("edited")))
+    return pairs, order.select(*_key("doc_id", "th"), "doc_id", "n", "m", "next_id", "next_th")
 
 
 def with_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    pairs = edited_pairs(docs)
-    k = ["ki", "kn", "kt"]
-    about = ["doc_id", "n", "m", "next_id", "next_th"]
-    both = pairs.select(*k, *about, F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
-                        F.posexplode(F.array("text", "edited")).alias("v", "text"))
-    prints = fingerprints(both, [*k, *about, "sha", "v"], samples=samples)
-    pick_v = lambda v, name: F.max(F.when(F.col("v") == v, F.col("fingerprint"))).alias(name)
-    got = written(prints.groupBy(*k, *about, "sha").agg(pick_v(0, "fp"), pick_v(1, "fpe")), "fp-prints")
-    nxt = got.select(*[F.col(c).alias(f"n{c}") for c in k], F.col("fp").alias("fpn"))
-    here = got.withColumns({"nki": F.coalesce("next_id", F.lit(0)), "nkn": F.col("next_id").isNull(), "nkt": F.col("next_th")})
-    return (here.join(nxt, ["nki", "nkn", "nkt"])
+    pairs, order = edited_pairs(docs)
+    k = ["ki", "kt"]
+    prints = fingerprints(pairs, k, ["text", "edited"], samples)
+    sha = pairs.select(*k, F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
+    got = written(prints.join(sha.hint("merge"), k).join(order, k)
+                  .withColumnsRenamed({"text": "fp", "edited": "fpe"}), "fp-prints")
+    nxt = got.select(F.col("ki").alias("nki"), F.col("kt").alias("nkt"), F.col("fp").alias("fpn"))
+    here = got.withColumns({"nki": F.coalesce("next_id", F.lit(0)), "nkt": F.col("next_th")})
+    return (here.join(nxt, ["nki", "nkt"])
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
             .select("doc_id", F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("fp").alias("fingerprint"),
                     F.col("fpe").alias("edited_fingerprint"), likeness("fp", "fpe", samples).alias("near_edited"),
