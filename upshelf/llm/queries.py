@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upshelf.llm import ann, bpe, fingerprint, frames, jaccard, langid, secrets
+from upshelf.llm import ann, bpe, fingerprint, frames, jaccard, langid, linededup, linkrank, mixing, secrets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +25,23 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edited(_table(spark, sf_dir, "documents"))
 
 
+#: Fixed values of the contract: verdict, host, path.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op3_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkrank.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -45,8 +58,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_block_matrix_ann, op2_weighted_sampling, op4_crf_secrets, op6_byte_bpe, op7_byte_gru_langid, op8_token_frames,
-                                                      op9_ngram_jaccard)}
+def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_block_matrix_ann, op2_weighted_sampling, op3_link_trust, op4_crf_secrets, op5_line_dedup, op6_byte_bpe, op7_byte_gru_langid, op8_token_frames,
+                                                      op9_ngram_jaccard, op10_raked_mixture)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_block_matrix_ann": """
@@ -63,6 +80,8 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_link_trust": linkrank.oracle(RULES),
+    "op10_raked_mixture": mixing.oracle(),
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
