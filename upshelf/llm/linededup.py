@@ -7,14 +7,15 @@ are one class. Classes of Jaccard similarity ``num / den`` or more are found by
 
 * prefix: they share one of their ``n - ceil(t*n) + 1`` rarest tokens;
 * length: ``t * larger <= smaller``;
-* position: what follows the first shared token is long enough on both sides;
+* position: the shared prefix tokens with all that follows the prefix reach the
+  overlap (for the first comparison below: what follows the shared token does);
 * verification of the candidates on their whole sets.
 
 A line is removed if an earlier line (by doc_id, then line number) equals or
 matches it. Common prefix tokens are met in two steps: every line of such a
 token is first compared with the token's earliest line, which removes the
 members of a group of near copies; then only lines still there are compared
-with all earlier ones. Lines below ``least`` distinct tokens are not compared.
+with all earlier ones, the likeliest partner first. Lines below ``least`` distinct tokens are not compared.
 
 What is sent to all tasks has a fixed size: the bucket classes and two bit sets
 that name lines and documents to be looked at again (they may name others too,
@@ -36,6 +37,7 @@ from upshelf.llm.common import written
 from upshelf.llm.linkrank import LOWER, UPPER
 
 BUCKETS, FILTER_BITS, HOT, LEAST = 1 << 16, 1 << 22, 32, 5
+XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
 def _words(line: str) -> Column:
@@ -90,6 +92,13 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_line") < F.col(f"{b}_line")))
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """One candidate x for every y: most shared prefix tokens, then the earliest."""
+    best = F.max(F.struct("c", (-F.col("x_doc")).alias("d"), (-F.col("x_line")).alias("l"))).alias("p")
+    return (pairs.groupBy("y_doc", "y_line").agg(best)
+            .select((-F.col("p.d")).alias("x_doc"), (-F.col("p.l")).alias("x_line"), "y_doc", "y_line"))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
     """(y_doc, y_line) of the lines whose earlier candidate x links with them."""
     pairs = written(pairs, "lines-pairs")
@@ -105,7 +114,8 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     """(doc_id, line_no) of every line to remove."""
     lines = _lines(docs)
     classes = _rarity(lines)
-    sets = lines.select("doc_id", "line_no", _codes("line", classes).alias("s")).where(F.size("s") >= least)
+    # the generator keeps the filter from working the codes out a second time
+    sets = lines.select("doc_id", "line_no", F.explode(F.array(_codes("line", classes))).alias("s")).where(F.size("s") >= least)
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.ceil(n * num / den).cast("int") + 1)
     cards = written(sets.select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"),
@@ -122,12 +132,19 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     hot = posts.where(F.col("k") > HOT)
     first = (hot.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i")).alias("p"))
              .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in ("doc", "line", "n", "i")]))
-    star = side("y", hot).join(first, "token").where(_earlier("x", "y") & may).select("x_doc", "x_line", "y_doc", "y_line").distinct()
-    hit = _verified(star, lines, classes, num, den)
+    star = side("y", hot).join(first, "token").where(_earlier("x", "y") & may)
+    hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, classes, num, den)
     left = side("y", posts).join(hit, ["y_doc", "y_line"], "left_anti")
-    rest = (side("x", posts).join(left, "token").where(_earlier("x", "y") & may)
-            .select("x_doc", "x_line", "y_doc", "y_line").distinct())
-    hit = hit.union(_verified(rest, lines, classes, num, den)).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
+    # c shared prefix tokens and all that follows the longer rest must reach the overlap
+    after = lambda s: F.ceil(F.col(f"{s}_n") * num / den) - 1
+    both = (side("x", posts).join(left, "token").where(_earlier("x", "y") & _sizes("x_n", "y_n", num, den))
+            .groupBy(*XY).agg(F.count("*").alias("c"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
+            .where((F.col("c") + F.greatest(after("x"), after("y"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num))
+    both = written(both.select(*XY, "c"), "lines-both")
+    again = _verified(_likeliest(both), lines, classes, num, den)
+    rest = both.join(again, ["y_doc", "y_line"], "left_anti").select(*XY)
+    hit = (hit.union(again).union(_verified(rest, lines, classes, num, den))
+           .select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
     # a removed representative takes its class along; else its later copies go
     gone = reps.join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", "doc", "line", F.coalesce("hit", F.lit(False)).alias("hit"))
     copies = cards.select("k1", "k2", "doc_id", "line_no").join(gone, ["k1", "k2"])
