@@ -1,4 +1,17 @@
-"""Corpus pipeline: the stages that turn ``documents`` into encoded training text."""
+"""Corpus pipeline: the stages that turn ``documents`` into encoded training text.
+
+Every stage reads what its predecessor wrote and returns the columns of
+documents, the last one the token digests. Stages 2 to 4 keep extra columns.
+
+1. language: documents whose language cannot be told (no text, no letter) go;
+   an unlabelled document takes the language found.
+2. lines: lines that repeat or nearly repeat an earlier line are cut out; a
+   document that loses all its lines goes (its text stands earlier).
+3. near copies: of documents linked by five-word shingles at a similarity of
+   0.8 or more, the one of smallest doc_id stays. Documents without an id stay.
+4. mixture: documents are sampled by raked source, language and topic shares.
+5. encoding: byte-level BPE ids of every whole text, decoded again.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +19,45 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import public_tokenizers  # noqa: E402
 
-from upshelf.llm import bpe  # noqa: E402
+from upshelf.llm import bpe, jaccard, langid, linededup, mixing  # noqa: E402
 from upshelf.llm.common import written  # noqa: E402
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cols = docs.columns
+    found = langid.predict(docs, langid.train(docs), *cols).where("lang_pred <> 'und'")
+    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in cols])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup(docs)
+    left = cut.where("n_removed = 0 or trim(translate(text, '\\t\\n\\r', '   ')) <> ''")
+    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.join(docs.select("doc_id", "text"), k=5, num=4, den=5)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sampled(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every whole text as byte-level BPE ids, decoded again as a check."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("encode", encode)]
 
-#: No SQL form: language model, set-similarity links and BPE are not SQL.
+#: A trained model, set-similarity links and BPE merges are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

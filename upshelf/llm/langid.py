@@ -225,8 +225,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """(doc_id, <keep>, lang_pred, score); only the text is an input."""
     small_batches(docs.sparkSession, 1000)
     rows = docs.select("text", *[c for c in docs.columns if c != "text"])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
-    schema = f"{fields}, lang_pred string, score double"
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], "lang_pred string", "score double"])
 
     def run(batches):
         for b in batches:
