@@ -1,21 +1,21 @@
 """Operator 5 [native]: line deduplication by an exact set-similarity join.
 
 A line's tokens are its distinct words, A-Z lower-cased. Every token has a code
-that sorts by rarity first (a corpus count in a fixed number of hash buckets)
-and by hash then; a line is the sorted array of its codes. Lines of equal sets
+that sorts by rarity first (the corpus counts of a fixed number of commonest
+words, laid out in hash buckets; all other words are rare) and by hash then; a line is the sorted array of its codes. Lines of equal sets
 are one class. Classes of Jaccard similarity ``num / den`` or more are found by
 
 * prefix: they share one of their ``n - ceil(t*n) + 1`` rarest tokens;
 * length: ``t * larger <= smaller``;
-* position: the shared prefix tokens with all that follows the prefix reach the
-  overlap (for the first comparison below: what follows the shared token does);
+* position: from the shared token on, either side is long enough;
+* bits: a 128-bit map of each set bounds the overlap from above;
 * verification of the candidates on their whole sets.
 
 A line is removed if an earlier line (by doc_id, then line number) equals or
 matches it. Common prefix tokens are met in two steps: every line of such a
 token is first compared with the token's earliest line, which removes the
 members of a group of near copies; then only lines still there are compared
-with all earlier ones, the likeliest partner first. Lines below ``least`` distinct tokens are not compared.
+with all earlier ones. Lines below ``least`` distinct tokens are not compared.
 
 What is sent to all tasks has a fixed size: the bucket classes and two bit sets
 that name lines and documents to be looked at again (they may name others too,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from upshelf.llm.common import written
 from upshelf.llm.linkrank import LOWER, UPPER
 
-BUCKETS, FILTER_BITS, HOT, LEAST = 1 << 16, 1 << 22, 32, 5
+FREQUENT, BUCKETS, FILTER_BITS, HOT, LEAST = 1 << 15, 1 << 17, 1 << 22, 32, 5
 XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
@@ -50,12 +50,15 @@ def _fixed(values: list[int], kind: str) -> Column:
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """Class of every bucket, 0 to 63: three steps for two doublings of its count."""
-    rows = (lines.select(F.explode(_words("line")).alias("w"))
-            .groupBy((F.xxhash64("w").bitwiseAND(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n")).collect())   # at most BUCKETS rows
+    """Class of every bucket: 0, or by the count of the most frequent of the FREQUENT commonest words in it.
+
+    Words are counted exactly and over all lines; only the commonest leave the count."""
+    rows = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
+            .orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
     out = [0] * BUCKETS
     for r in rows:
-        out[r.b] = min(63, int(1.5 * math.log2(r.n + 1)))
+        b = r.h & (BUCKETS - 1)
+        out[b] = max(out[b], min(63, 1 + int(1.5 * math.log2(r.n))))
     return _fixed(out, "int")
 
 
@@ -92,6 +95,13 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_line") < F.col(f"{b}_line")))
 
 
+def _bits(codes: str, half: int) -> Column:
+    """One half of a 128-bit map of a set: a bit that only one of two sets has is a token the other lacks."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"),
+                       lambda a, c: F.when(c.bitwiseAND(64) == 64 * half, a.bitwiseOR(bit(c))).otherwise(a))
+
+
 def _likeliest(pairs: DataFrame) -> DataFrame:
     """One candidate x for every y: most shared prefix tokens, then the earliest."""
     best = F.max(F.struct("c", (-F.col("x_doc")).alias("d"), (-F.col("x_line")).alias("l"))).alias("p")
@@ -119,31 +129,29 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.ceil(n * num / den).cast("int") + 1)
     cards = written(sets.select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"),
-                                prefix.alias("prefix")), "lines-cards")
+                                _bits("s", 0).alias("lo"), _bits("s", 1).alias("hi"), prefix.alias("prefix")), "lines-cards")
     pos = F.struct("doc_id", "line_no")
-    reps = written(cards.groupBy("k1", "k2").agg(F.min(pos).alias("p"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-                   .select("k1", "k2", F.col("p.doc_id").alias("doc"), F.col("p.line_no").alias("line"), "n", "prefix"), "lines-reps")
-    posts = reps.select(F.posexplode("prefix").alias("i", "token"), "doc", "line", "n")
+    reps = written(cards.groupBy("k1", "k2").agg(F.min(pos).alias("p"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+                                                  F.first("prefix").alias("prefix"))
+                   .select("k1", "k2", F.col("p.doc_id").alias("doc"), F.col("p.line_no").alias("line"), "n", "lo", "hi", "prefix"), "lines-reps")
+    posts = reps.select(F.posexplode("prefix").alias("i", "token"), "doc", "line", "n", "lo", "hi")
     often = posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     posts = written(posts.join(often, "token"), "lines-posts")
-    side = lambda s, p: p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "i")])
-    room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num
-    may = _sizes("x_n", "y_n", num, den) & room("x") & room("y")
+    own = ("doc", "line", "n", "i", "lo", "hi")
+    side = lambda s, p: p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in own])
+    need = (F.col("x_n") + F.col("y_n")) * num          # (num + den) * overlap must reach this
+    room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (num + den) >= need
+    lacks = lambda s, t: sum(F.bit_count(F.col(f"{s}_{h}").bitwiseAND(F.bitwise_not(F.col(f"{t}_{h}")))) for h in ("lo", "hi"))
+    bits = F.least(F.col("x_n") - lacks("x", "y"), F.col("y_n") - lacks("y", "x")) * (num + den) >= need
+    may = _earlier("x", "y") & _sizes("x_n", "y_n", num, den) & room("x") & room("y") & bits
     hot = posts.where(F.col("k") > HOT)
-    first = (hot.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i")).alias("p"))
-             .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in ("doc", "line", "n", "i")]))
-    star = side("y", hot).join(first, "token").where(_earlier("x", "y") & may)
+    first = (hot.groupBy("token").agg(F.min(F.struct(*own)).alias("p"))
+             .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in own]))
+    star = side("y", hot).join(first, "token").where(may)
     hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, classes, num, den)
     left = side("y", posts).join(hit, ["y_doc", "y_line"], "left_anti")
-    # c shared prefix tokens and all that follows the longer rest must reach the overlap
-    after = lambda s: F.ceil(F.col(f"{s}_n") * num / den) - 1
-    both = (side("x", posts).join(left, "token").where(_earlier("x", "y") & _sizes("x_n", "y_n", num, den))
-            .groupBy(*XY).agg(F.count("*").alias("c"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
-            .where((F.col("c") + F.greatest(after("x"), after("y"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num))
-    both = written(both.select(*XY, "c"), "lines-both")
-    again = _verified(_likeliest(both), lines, classes, num, den)
-    rest = both.join(again, ["y_doc", "y_line"], "left_anti").select(*XY)
-    hit = (hit.union(again).union(_verified(rest, lines, classes, num, den))
+    rest = side("x", posts).join(left, "token").where(may).select(*XY).distinct()
+    hit = (hit.union(_verified(rest, lines, classes, num, den))
            .select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
     # a removed representative takes its class along; else its later copies go
     gone = reps.join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", "doc", "line", F.coalesce("hit", F.lit(False)).alias("hit"))
