@@ -12,8 +12,8 @@ are one class. Classes of Jaccard similarity ``num / den`` or more are found by
 * verification of the candidates on their whole sets.
 
 A line is removed if an earlier line (by doc_id, then line number) equals or
-matches it. Common prefix tokens are met in two steps: every line of such a
-token is first compared with the token's earliest line, which removes the
+matches it. Prefix tokens among the commonest words are met in two steps:
+every line of such a token is first compared with the token's earliest line, which removes the
 members of a group of near copies; then only lines still there are compared
 with all earlier ones. Lines below ``least`` distinct tokens are not compared.
 
@@ -127,30 +127,33 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     # the generator keeps the filter from working the codes out a second time
     sets = lines.select("doc_id", "line_no", F.explode(F.array(_codes("line", classes))).alias("s")).where(F.size("s") >= least)
     n = F.size("s")
-    prefix = F.slice("s", F.lit(1), n - F.ceil(n * num / den).cast("int") + 1)
+    # 31 bits name a prefix token well enough to find candidates; the sign tells the commonest words
+    name = lambda c: F.when(c >= 1 << 57, F.lit(-1)).otherwise(F.lit(1)) * (c.bitwiseAND((1 << 31) - 1) + 1)
+    prefix = F.transform(F.slice("s", F.lit(1), n - F.ceil(n * num / den).cast("int") + 1), lambda c: name(c).cast("int"))
     cards = written(sets.select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"),
                                 _bits("s", 0).alias("lo"), _bits("s", 1).alias("hi"), prefix.alias("prefix")), "lines-cards")
     pos = F.struct("doc_id", "line_no")
     reps = written(cards.groupBy("k1", "k2").agg(F.min(pos).alias("p"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
                                                   F.first("prefix").alias("prefix"))
                    .select("k1", "k2", F.col("p.doc_id").alias("doc"), F.col("p.line_no").alias("line"), "n", "lo", "hi", "prefix"), "lines-reps")
-    posts = reps.select(F.posexplode("prefix").alias("i", "token"), "doc", "line", "n", "lo", "hi")
-    often = posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    posts = written(posts.join(often, "token"), "lines-posts")
     own = ("doc", "line", "n", "i", "lo", "hi")
-    side = lambda s, p: p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in own])
+    posts = lambda r, *more: r.select(F.posexplode("prefix").alias("i", "token"), "doc", "line", "n", "lo", "hi", *more)
+    side = lambda s, p, *more: p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in (*own, *more)])
     need = (F.col("x_n") + F.col("y_n")) * num          # (num + den) * overlap must reach this
     room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (num + den) >= need
     lacks = lambda s, t: sum(F.bit_count(F.col(f"{s}_{h}").bitwiseAND(F.bitwise_not(F.col(f"{t}_{h}")))) for h in ("lo", "hi"))
     bits = F.least(F.col("x_n") - lacks("x", "y"), F.col("y_n") - lacks("y", "x")) * (num + den) >= need
     may = _earlier("x", "y") & _sizes("x_n", "y_n", num, den) & room("x") & room("y") & bits
-    hot = posts.where(F.col("k") > HOT)
-    first = (hot.groupBy("token").agg(F.min(F.struct(*own)).alias("p"))
+    common = posts(reps).where("token < 0")
+    first = (common.groupBy("token").agg(F.min(F.struct(*own)).alias("p"), F.count("*").alias("k")).where(F.col("k") > HOT)
              .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in own]))
-    star = side("y", hot).join(first, "token").where(may)
+    star = side("y", common).join(first, "token").where(may)
     hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, classes, num, den)
-    left = side("y", posts).join(hit, ["y_doc", "y_line"], "left_anti")
-    rest = side("x", posts).join(left, "token").where(may).select(*XY).distinct()
+    # both sides are one exchange; a line that is out already only serves as the earlier one
+    out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(True).alias("out"))
+    still = posts(reps.join(out, ["doc", "line"], "left").withColumn("out", F.coalesce("out", F.lit(False))), "out")
+    rest = (side("x", still, "out").join(side("y", still, "out"), "token").where(may & ~F.col("y_out"))
+            .select(*XY).distinct())
     hit = (hit.union(_verified(rest, lines, classes, num, den))
            .select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
     # a removed representative takes its class along; else its later copies go
