@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -41,14 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Size of the plan's inputs as Spark estimates it (file sizes for file tables)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it does so once the
+    driver has collected the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def parts_for(df: DataFrame, mb: int = 24, least: int = 12, most: int = 200_000) -> int:
-    """Partitions so that each holds about ``mb`` MB of the input as estimated."""
-    return int(min(most, max(least, math.ceil(source_bytes(df) / (mb << 20)))))
+    """Partitions so that each holds about ``mb`` MB of the input as Spark estimates it (file sizes
+    for file tables); where it has no estimate, the session's number of shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(min(most, max(least, math.ceil(size / (mb << 20)))))
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:

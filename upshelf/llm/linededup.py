@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upshelf.llm.common import written
+from upshelf.llm.common import release, written
 from upshelf.llm.linkrank import LOWER, UPPER
 
 FREQUENT, BUCKETS, FILTER_BITS, HOT, LEAST = 1 << 15, 1 << 17, 1 << 22, 32, 5
@@ -113,6 +113,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den
     """(y_doc, y_line) of the lines whose earlier candidate x links with them."""
     pairs = written(pairs, "lines-pairs")
     ends = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line"))
+    release(lines.sparkSession)
     held = lines.where(_named(ends, "doc_id", "line_no")).select("doc_id", "line_no", _codes("line", classes).alias("s"))
     side = lambda s: held.toDF(f"{s}_doc", f"{s}_line", f"{s}_set")
     both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
@@ -122,6 +123,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den
 
 def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
     """(doc_id, line_no) of every line to remove."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))   # plans hold constant arrays: keep their text short
     lines = _lines(docs)
     classes = _rarity(lines)
     # the generator keeps the filter from working the codes out a second time
@@ -132,10 +135,12 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     prefix = F.transform(F.slice("s", F.lit(1), n - F.ceil(n * num / den).cast("int") + 1), lambda c: name(c).cast("int"))
     cards = written(sets.select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"),
                                 _bits("s", 0).alias("lo"), _bits("s", 1).alias("hi"), prefix.alias("prefix")), "lines-cards")
+    release(spark)
     pos = F.struct("doc_id", "line_no")
     reps = written(cards.groupBy("k1", "k2").agg(F.min(pos).alias("p"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
                                                   F.first("prefix").alias("prefix"))
                    .select("k1", "k2", F.col("p.doc_id").alias("doc"), F.col("p.line_no").alias("line"), "n", "lo", "hi", "prefix"), "lines-reps")
+    release(spark)
     own = ("doc", "line", "n", "i", "lo", "hi")
     posts = lambda r, *more: r.select(F.posexplode("prefix").alias("i", "token"), "doc", "line", "n", "lo", "hi", *more)
     side = lambda s, p, *more: p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in (*own, *more)])
@@ -149,6 +154,7 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
              .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in own]))
     star = side("y", common).join(first, "token").where(may)
     hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, classes, num, den)
+    release(spark)
     # both sides are one exchange; a line that is out already only serves as the earlier one
     out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(True).alias("out"))
     still = posts(reps.join(out, ["doc", "line"], "left").withColumn("out", F.coalesce("out", F.lit(False))), "out")
