@@ -76,7 +76,7 @@ def rake(rows: DataFrame, targets: Targets | None = None, alpha: float = ALPHA,
             cells = cells.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"t_{dim}") / have).otherwise(0.0))
         if i % EVERY == 0 or i == rounds:
             cells = written(cells, f"mix-{i}")
-    factor = F.col("w") / F.col("words")        # null for a cell without words
+    factor = F.try_divide("w", "words")         # null for a cell without words
     top = cells.agg(F.max(factor)).first()[0]
     return cells.select(*DIMS, F.coalesce(factor / F.lit(top or 1.0), F.lit(1.0)).alias("prob"))
 
