@@ -63,3 +63,26 @@ def test_conform_coerce_and_one_hot(spark):
     oh = N.one_hot(spark.createDataFrame([("Not on brochure",), ("Front page",)], "brochure string"), "brochure",
                    ["Not on brochure"]).collect()
     assert [r.brochure_not_on_brochure for r in oh] == [1.0, 0.0]
+
+
+def test_read_many_keeps_partition_types(spark, tmp_path):
+    """Ids with leading zeros come back as text when the schema is given."""
+    df = spark.createDataFrame([("007", "sales", "sku", 1.0), ("7", "sales", "sku", 2.0)], "booking_number string, metric string, level string, y double")
+    sinks.write_compare(df, str(tmp_path / "c"))
+    back = readers.read_many(spark, str(tmp_path / "c"), df.schema).drop("source_file")
+    assert sorted(r.booking_number for r in back.collect()) == ["007", "7"]
+
+
+def test_successive_exports_do_not_touch_each_other(spark):
+    import __spark_entry__ as E
+    q = E.queries()["weekly_uplift_export"]
+    first = q(spark, "/root/testdata/sf0.001")
+    n = first.count()
+    assert q(spark, "/root/testdata/sf0.001").count() == n == first.count()
+
+
+def test_scenario_without_known_feature_scores_the_intercept(spark):
+    from upshelf.operators import models
+    coefs = spark.createDataFrame([("(intercept)", 3.0), ("a", 2.0)], "feature string, coef double")
+    sc = spark.createDataFrame([("s1", "a", 1.5), ("s2", "unknown", 9.0)], "scenario_id string, feature string, value double")
+    assert {r.scenario_id: r.predicted_total_uplift for r in models.score_campaign(sc, coefs).collect()} == {"s1": 6.0, "s2": 3.0}

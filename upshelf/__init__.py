@@ -5,7 +5,6 @@ Layout:
   sources/    readers, sinks, canonical schemas and the driver-table adapters
   operators/  composite operators: DataFrame(s) -> DataFrame, no actions inside
   plans/      query catalogue (``queries()``) and DuckDB oracle SQL
-  streaming/  (batch-only project; see its docstring)
 """
 
 __version__ = "0.1.0"

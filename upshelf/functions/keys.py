@@ -29,15 +29,6 @@ def node_key(level: str) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def node_key_any() -> Column:
-    """F24 for a frame holding a ``level`` column and all key columns."""
-    expr = None
-    for lv in LEVELS:
-        e = node_key(lv)
-        expr = F.when(F.col("level") == lv, e) if expr is None else expr.when(F.col("level") == lv, e)
-    return expr
-
-
 def _part(g: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(g, r"(?:^|\|)" + name + r"=([^|]*)", 1), F.lit(""))
 

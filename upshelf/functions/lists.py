@@ -45,11 +45,6 @@ def parse_list(x) -> Column:
     return F.filter(out, lambda v: v != "")
 
 
-def split_list(x, sep: str = ",") -> Column:
-    """plain split; ``''`` gives one blank element, as the warehouse does."""
-    return F.split(F.coalesce(_c(x), F.lit("")), sep)
-
-
 def sorted_distinct_text(arr, sep: str = ",") -> Column:
     """A17 + F19: ordered distinct array joined to text (text order)."""
     return F.array_join(F.array_sort(F.array_distinct(_c(arr))), sep)

@@ -32,12 +32,6 @@ def product_dim(base: DataFrame) -> DataFrame:
     return base.select(*DIM_COLS).distinct()
 
 
-def window_weeks(windows: DataFrame) -> DataFrame:
-    """(booking, week_start) for every week of each booking's pull window."""
-    return windows.select("booking_number", F.explode(
-        F.sequence("min_d", "max_d", F.expr("INTERVAL 7 DAYS"))).alias("week_start"))
-
-
 def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of ``df`` (with booking_number, week_start) inside the pull window:
     an equi-join on the booking (one window row per booking) plus a filter."""
@@ -59,12 +53,6 @@ def promo_dim(base: DataFrame, skus: DataFrame, windows: DataFrame) -> DataFrame
     return in_window(j, windows).select("booking_number", *DIM_COLS).distinct()
 
 
-def promo_hierarchy(base: DataFrame, skus: DataFrame, windows: DataFrame) -> DataFrame:
-    """Distinct (booking, brand, category, subcategory) of promoted articles
-    that sell inside the booking's window."""
-    return promo_dim(base, skus, windows).select("booking_number", "brand", "category", "subcategory").distinct()
-
-
 def sku_universe(base: DataFrame, skus: DataFrame, windows: DataFrame, mode: str = "wide",
                  promo: DataFrame | None = None, dim: DataFrame | None = None) -> DataFrame:
     """(booking, article_id) of the analysis universe.

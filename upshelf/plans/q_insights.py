@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from upshelf.operators import exposure as EX
@@ -113,9 +115,10 @@ def q_weekly_uplift_export(spark, sf_dir):
     """S14 -> S10 -> D41: compare rows written as one partitioned dataset and
     read back as a whole before export."""
     c = campaigns(spark, sf_dir)
-    path = sinks.table_path(spark, f"compare-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}")
-    sinks.write_compare(c.compare(), path)
-    back = readers.read_many(spark, path).drop("source_file")
+    path = sinks.table_path(spark, f"compare-{uuid.uuid4().hex}")   # an earlier result may still read its own
+    rows = c.compare()
+    sinks.write_compare(rows, path)
+    back = readers.read_many(spark, path, rows.schema).drop("source_file")
     return tidy(IN.weekly_uplift_export(back).select("booking_number", "level", "node", "ds", "y", "yhat", "uplift"))
 
 

@@ -148,8 +148,3 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quoteline_sku",
         F.when(F.col("k") % 5 == 0, F.lit("")).otherwise(F.col("store_text")).alias("store_list"),
     ))
-
-
-def type_weights(spark: SparkSession) -> DataFrame:
-    """Media-type weights; an empty table means weight 1.0 everywhere."""
-    return spark.createDataFrame([], "media_type string, weight double")
