@@ -70,16 +70,17 @@ def _codes(line: str, classes: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
 
 
-def _named(rows: DataFrame, *cols: str) -> Column:
-    """Whether a row may be one of ``rows`` by these columns: a bit set of FILTER_BITS bits."""
+def _maybe(frame: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """frame with ``maybe``: whether a row may be one of ``rows`` by these columns.
+
+    A bit set of FILTER_BITS bits, as a table of at most FILTER_BITS / 64 rows that is broadcast."""
     h = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
-    got = (rows.select(F.shiftright(h, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")).alias("b"))
-           .groupBy("w").agg(F.bit_or("b").alias("b")).collect())       # at most FILTER_BITS / 64 rows
-    bits = [0] * (FILTER_BITS // 64)
-    for r in got:
-        bits[r.w] = r.b
-    word = F.element_at(_fixed(bits, "bigint"), (F.shiftright(h, 6) + 1).cast("int"))
-    return F.call_function("shiftright", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    word, bit = F.shiftright(h, 6).alias("_word"), h.bitwiseAND(63).cast("int")
+    bits = (rows.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+            .groupBy("_word").agg(F.bit_or("b").alias("_bits")))
+    met = frame.withColumn("_word", F.shiftright(h, 6)).join(F.broadcast(bits), "_word", "left")
+    has = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(1) == 1
+    return met.withColumn("maybe", F.coalesce(has, F.lit(False))).drop("_word", "_bits")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den
     pairs = written(pairs, "lines-pairs")
     ends = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line"))
     release(lines.sparkSession)
-    held = lines.where(_named(ends, "doc_id", "line_no")).select("doc_id", "line_no", _codes("line", classes).alias("s"))
+    held = _maybe(lines, ends, "doc_id", "line_no").where("maybe").select("doc_id", "line_no", _codes("line", classes).alias("s"))
     side = lambda s: held.toDF(f"{s}_doc", f"{s}_line", f"{s}_set")
     both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
     over = F.size(F.array_intersect("x_set", "y_set"))
@@ -176,11 +177,11 @@ def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> Da
     inner = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in own], F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
     gone = written(removed(inner.select("doc_id", "text"), num, den, least).distinct(), "lines-gone")
-    named = F.coalesce(_named(gone, "doc_id"), F.lit(False)) & F.col("doc_id").isNotNull()
+    inner = _maybe(inner, gone, "doc_id")
     lists = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("out"))      # at most the lines of one document
     none = F.array().cast("array<int>")
-    some = inner.where(named).join(lists, "doc_id", "left").withColumn("out", F.coalesce("out", none))
-    rows = inner.where(~named).withColumn("out", none).unionByName(some)
+    some = inner.where("maybe").join(lists, "doc_id", "left").withColumn("out", F.coalesce("out", none))
+    rows = inner.where("not maybe").withColumn("out", none).unionByName(some)
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = rows.withColumn("n_removed", F.size("out").cast("long")).withColumn("n_lines", F.size(split).cast("long"))
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("out", i)), "\n")
