@@ -88,10 +88,6 @@ def _lines(docs: DataFrame) -> DataFrame:
             .where("doc_id is not null"))
 
 
-def _sizes(a: str, b: str, num: int, den: int) -> Column:
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-
-
 def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}_doc") < F.col(f"{b}_doc")) | ((F.col(f"{a}_doc") == F.col(f"{b}_doc")) & (F.col(f"{a}_line") < F.col(f"{b}_line")))
 
@@ -145,22 +141,27 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     own = ("doc", "line", "n", "i", "lo", "hi")
     posts = lambda r, *more: r.select(F.posexplode("prefix").alias("i", "token"), "doc", "line", "n", "lo", "hi", *more)
     side = lambda s, p, *more: p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in (*own, *more)])
-    need = (F.col("x_n") + F.col("y_n")) * num          # (num + den) * overlap must reach this
-    room = lambda s: (F.col(f"{s}_n") - F.col(f"{s}_i")) * (num + den) >= need
     lacks = lambda s, t: sum(F.bit_count(F.col(f"{s}_{h}").bitwiseAND(F.bitwise_not(F.col(f"{t}_{h}")))) for h in ("lo", "hi"))
-    bits = F.least(F.col("x_n") - lacks("x", "y"), F.col("y_n") - lacks("y", "x")) * (num + den) >= need
-    may = _earlier("x", "y") & _sizes("x_n", "y_n", num, den) & room("x") & room("y") & bits
+
+    def met(x_n: Column, y_n: Column) -> Column:
+        """Whether x and y may link: order, sizes, what is left from the shared token on, and the bit maps."""
+        need = (x_n + y_n) * num                        # (num + den) * overlap must reach this
+        room = ((x_n - F.col("x_i")) * (num + den) >= need) & ((y_n - F.col("y_i")) * (num + den) >= need)
+        bits = F.least(x_n - lacks("x", "y"), y_n - lacks("y", "x")) * (num + den) >= need
+        return _earlier("x", "y") & (x_n * den >= y_n * num) & (y_n * den >= x_n * num) & room & bits
+
+    may = met(F.col("x_n"), F.col("y_n"))
     common = posts(reps).where("token < 0")
     first = (common.groupBy("token").agg(F.min(F.struct(*own)).alias("p"), F.count("*").alias("k")).where(F.col("k") > HOT)
              .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in own]))
     star = side("y", common).join(first, "token").where(may)
     hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, classes, num, den)
     release(spark)
-    # both sides are one exchange; a line that is out already only serves as the earlier one
-    out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(True).alias("out"))
-    still = posts(reps.join(out, ["doc", "line"], "left").withColumn("out", F.coalesce("out", F.lit(False))), "out")
-    rest = (side("x", still, "out").join(side("y", still, "out"), "token").where(may & ~F.col("y_out"))
-            .select(*XY).distinct())
+    # a line that is out already only serves as the earlier one: its size turns negative, which no y passes (as
+    # a filter of one side it would part the two sides' exchange, which is now written once and read twice)
+    out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(-1).alias("sign"))
+    still = posts(reps.join(out, ["doc", "line"], "left").withColumn("n", F.col("n") * F.coalesce("sign", F.lit(1))))
+    rest = side("x", still).join(side("y", still), "token").where(met(F.abs("x_n"), F.col("y_n"))).select(*XY).distinct()
     hit = (hit.union(_verified(rest, lines, classes, num, den))
            .select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
     # a removed representative takes its class along; else its later copies go
