@@ -39,7 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more: all that came from them must be written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -67,8 +77,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     e = edges.select("a", "b")
     both = written(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
                    .where("a <> b").distinct(), f"{name}-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m"))
-                     .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
+    last = labels = written(both.groupBy("a").agg(F.min("b").alias("m"))
+                            .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
     step = 0
     while True:
         step += 1
@@ -80,7 +90,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         nxt = written(nxt.join(up, "label", "left")
                       .select("node", "old", F.least("label", F.coalesce("over", "label")).alias("label")),
                       f"{name}-{step}")
+        forget(last)
+        last = nxt
         if nxt.where("old <> label").isEmpty():
+            forget(both)
             return nxt.select("node", F.col("label").alias("component"))
         labels = nxt.select("node", "label")
 

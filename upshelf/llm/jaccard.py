@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upshelf.llm import shingles
-from upshelf.llm.common import components, pick, small_batches, written
+from upshelf.llm.common import components, forget, pick, small_batches, written
 
 #: Buckets of the corpus count and bits of the candidate filter: fixed, so what is sent to all tasks has a fixed size.
 BUCKETS, FILTER_BITS = 1 << 16, 1 << 22
@@ -133,8 +133,8 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a tile in different components whose bitmaps allow a link.
+def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of a tile in different components whose bitmaps allow a link, and the written table they come from.
 
     A tile of k members is cut into blocks of about BLOCK; every pair of blocks
     is compared by one matrix product of bitmaps, and only pairs within the
@@ -142,7 +142,7 @@ def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     cost more than the pairs, the bitmaps are compared after the join."""
     tiles = (post.groupBy("token", "band").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("token", "band", "k"))
-    shared = written(post.join(tiles, ["token", "band"]), "jaccard-shared")
+    table = shared = written(post.join(tiles, ["token", "band"]), "jaccard-shared")
     light = shared.where(F.col("k") <= LIGHT).drop("k")
     x, y = light.toDF("token", "band", "a", "na", "ra"), light.toDF("token", "band", "b", "nb", "rb")
     few = (x.join(y, ["token", "band"]).where("a < b and ra <> rb").where(_sizes("na", "nb", num, den))
@@ -175,7 +175,7 @@ def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         a, b = rep[left[x]], rep[right[y]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return met.applyInArrow(tile, "a long, b long").where("a < b").union(few).distinct()
+    return met.applyInArrow(tile, "a long, b long").where("a < b").union(few).distinct(), table
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -217,7 +217,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
                 keep.append(den * o >= num * (len(x) + len(y) - o))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(full.mapInArrow(exact, "a long, b long").distinct(), "jaccard-links")
+    links = written(full.mapInArrow(exact, "a long, b long").distinct(), "jaccard-links")
+    forget(near)
+    return links
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -240,11 +242,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     so_far = components(links, "jaccard-cc1")
     rooted = (reps.join(so_far, reps.rep == so_far.node, "left")
               .select("rep", "n", "prefix", F.coalesce("component", "rep").alias("root")))
-    across = _crossing(_posts(rooted, num, den, "root"), reps, num, den)
-    links = links.union(verified(across, reps, docs, k, num, den))
-    comp = components(links, "jaccard-cc2")
+    across, shared = _crossing(_posts(rooted, num, den, "root"), reps, num, den)
+    more = verified(across, reps, docs, k, num, den)
+    forget(shared)
+    comp = components(links.union(more), "jaccard-cc2")
     named = (reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left")
              .select("key", F.coalesce("component", "rep").alias("component_id")))
-    return (card.select("doc_id", "n", "key").join(named, "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+    out = written(card.select("doc_id", "n", "key").join(named, "key", "left")
+                  .select("doc_id", F.col("n").alias("n_shingles"),
+                          F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-out")
+    forget(card, reps, links, more)
+    return out

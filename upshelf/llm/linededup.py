@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upshelf.llm.common import release, written
+from upshelf.llm.common import forget, release, written
 from upshelf.llm.linkrank import LOWER, UPPER
 
 FREQUENT, BUCKETS, FILTER_BITS, HOT, LEAST = 1 << 15, 1 << 17, 1 << 22, 32, 5
@@ -115,11 +115,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den
     side = lambda s: held.toDF(f"{s}_doc", f"{s}_line", f"{s}_set")
     both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
     over = F.size(F.array_intersect("x_set", "y_set"))
-    return written(both.where(over * (num + den) >= (F.size("x_set") + F.size("y_set")) * num).select("y_doc", "y_line").distinct(), "lines-hit")
+    hit = written(both.where(over * (num + den) >= (F.size("x_set") + F.size("y_set")) * num).select("y_doc", "y_line").distinct(), "lines-hit")
+    forget(pairs)
+    return hit
 
 
 def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no) of every line to remove."""
+    """(doc_id, line_no) of every line to remove, each once, as a written table."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))   # plans hold constant arrays: keep their text short
     lines = _lines(docs)
@@ -162,12 +164,15 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(-1).alias("sign"))
     still = posts(reps.join(out, ["doc", "line"], "left").withColumn("n", F.col("n") * F.coalesce("sign", F.lit(1))))
     rest = side("x", still).join(side("y", still), "token").where(met(F.abs("x_n"), F.col("y_n"))).select(*XY).distinct()
-    hit = (hit.union(_verified(rest, lines, classes, num, den))
-           .select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")))
+    more = _verified(rest, lines, classes, num, den)
+    found = hit.union(more).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
     # a removed representative takes its class along; else its later copies go
-    gone = reps.join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", "doc", "line", F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = reps.join(found.withColumn("hit", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", "doc", "line", F.coalesce("hit", F.lit(False)).alias("hit"))
     copies = cards.select("k1", "k2", "doc_id", "line_no").join(gone, ["k1", "k2"])
-    return copies.where("hit or doc_id <> doc or line_no <> line").select("doc_id", "line_no")
+    out = written(copies.where("hit or doc_id <> doc or line_no <> line").select("doc_id", "line_no").distinct(), "lines-gone")
+    forget(cards, reps, hit, more)
+    release(spark)
+    return out
 
 
 def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
@@ -177,7 +182,7 @@ def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> Da
     own = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in own], F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-    gone = written(removed(inner.select("doc_id", "text"), num, den, least).distinct(), "lines-gone")
+    gone = removed(inner.select("doc_id", "text"), num, den, least)
     inner = _maybe(inner, gone, "doc_id")
     lists = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("out"))      # at most the lines of one document
     none = F.array().cast("array<int>")
