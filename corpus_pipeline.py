@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.dedup(docs)
+    cut = linededup.dedup(docs, least=1)
     left = cut.where("n_removed = 0 or trim(translate(text, '\\t\\n\\r', '   ')) <> ''")
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -132,3 +132,15 @@ def test_line_dedup(spark, docs, monkeypatch):
 def test_line_dedup_empty_and_columns(docs, empty):
     assert linededup.digests(empty).count() == 0
     assert linededup.dedup(docs).columns[:6] == docs.columns
+
+
+def test_line_dedup_of_short_lines_and_lines_without_blanks(spark):
+    texts = ["Menu\nHome\n床前明月光疑是地上霜举头望明月低头思故乡\na b c\nw x y z\n\nthe only line that is long enough here",
+             "home\nb  c a\na b d\nv w x y z\n床前明月光疑是地上霜举头望明月低头思故乡\n", "menu home\nMENU\nx\nz y x w", "a b c\nmenu"]
+    rows = list(enumerate(texts))
+    gone = _removed(rows, least=1)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+    assert want[1] == "a b d\n" and want[3] == ""
+    assert {r.doc_id: r.text for r in linededup.dedup(table, least=1).collect()} == want
+    assert {r.doc_id: r.kept_sha256 for r in linededup.digests(table).collect()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}

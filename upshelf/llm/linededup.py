@@ -15,7 +15,10 @@ A line is removed if an earlier line (by doc_id, then line number) equals or
 matches it. Prefix tokens among the commonest words are met in two steps:
 every line of such a token is first compared with the token's earliest line, which removes the
 members of a group of near copies; then only lines still there are compared
-with all earlier ones. Lines below ``least`` distinct tokens are not compared.
+with all earlier ones. Lines below ``least`` distinct tokens are not compared;
+the query and the pipeline take all from one token up. Sets too small to match
+any but an equal one (up to three tokens at 0.8) need their class key alone. A
+line written without blanks is one token: its repeats are found, near repeats not.
 
 What is sent to all tasks has a fixed size: the bucket classes and two bit sets
 that name lines and documents to be looked at again (they may name others too,
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 from upshelf.llm.common import forget, release, written
 from upshelf.llm.linkrank import LOWER, UPPER
 
-FREQUENT, BUCKETS, FILTER_BITS, HOT, LEAST = 1 << 15, 1 << 17, 1 << 22, 32, 5
+FREQUENT, BUCKETS, FILTER_BITS, HOT = 1 << 15, 1 << 17, 1 << 22, 32
+LEAST = 5       # of direct calls that name no other; digests and the pipeline compare every line
 XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
@@ -131,9 +135,12 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     n = F.size("s")
     # 31 bits name a prefix token well enough to find candidates; the sign tells the commonest words
     name = lambda c: F.when(c >= 1 << 57, F.lit(-1)).otherwise(F.lit(1)) * (c.bitwiseAND((1 << 31) - 1) + 1)
+    wide = n * (den - num) >= num                       # one token more or less still links
+    none = F.array().cast("array<int>")
     prefix = F.transform(F.slice("s", F.lit(1), n - F.ceil(n * num / den).cast("int") + 1), lambda c: name(c).cast("int"))
     cards = written(sets.select("doc_id", "line_no", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"),
-                                _bits("s", 0).alias("lo"), _bits("s", 1).alias("hi"), prefix.alias("prefix")), "lines-cards")
+                                *[F.when(wide, _bits("s", h)).alias(c) for h, c in enumerate(("lo", "hi"))],
+                                F.when(wide, prefix).otherwise(none).alias("prefix")), "lines-cards")
     release(spark)
     pos = F.struct("doc_id", "line_no")
     reps = written(cards.groupBy("k1", "k2").agg(F.min(pos).alias("p"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
@@ -198,5 +205,5 @@ def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> Da
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every document."""
-    return (dedup(docs.select("doc_id", "text"))
+    return (dedup(docs.select("doc_id", "text"), least=1)
             .select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")))
