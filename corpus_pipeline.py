@@ -5,10 +5,12 @@ documents, the last one the token digests. Stages 2 to 4 keep extra columns.
 
 1. language: documents whose language cannot be told (no text, no letter) go;
    an unlabelled document takes the language found.
-2. lines: lines that repeat or nearly repeat an earlier line are cut out; a
+2. lines: of rows equal in doc_id and text (a null id is an id of its own) one
+   stays; lines that repeat or nearly repeat an earlier line are cut out; a
    document that loses all its lines goes (its text stands earlier).
-3. near copies: of documents linked by five-word shingles at a similarity of
-   0.8 or more, the one of smallest doc_id stays. Documents without an id stay.
+3. near copies: of rows linked by five-word shingles at a similarity of 0.8 or
+   more, the one of smallest doc_id stays; rows without an id come last, rows
+   of one id in order of the hashes of their texts.
 4. mixture: documents are sampled by raked source, language and topic shares.
 5. encoding: byte-level BPE ids of every whole text, decoded again.
 """
@@ -26,7 +28,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import public_tokenizers  # noqa: E402
 
 from upshelf.llm import bpe, jaccard, langid, linededup, mixing  # noqa: E402
-from upshelf.llm.common import written  # noqa: E402
+from upshelf.llm.common import odd_ids, written  # noqa: E402
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +37,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in cols])
 
 
+def _single(docs: DataFrame) -> DataFrame:
+    """One row of every equal (doc_id, text), that of the smallest other columns."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not odd_ids(docs):
+        return docs
+    least = docs.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *[f"`{c}`" for c in rest])).alias("_own"))
+    return least.select(*[F.col("_own").getField(c).alias(c) if c in rest else c for c in docs.columns])
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.dedup(docs, least=1)
+    cut = linededup.dedup(_single(docs), least=1, nulls=True)
     left = cut.where("n_removed = 0 or trim(translate(text, '\\t\\n\\r', '   ')) <> ''")
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.join(docs.select("doc_id", "text"), k=5, num=4, den=5)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not odd_ids(docs):
+        found = jaccard.join(docs.select("doc_id", "text"), k=5, num=4, den=5)
+        gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # every row is compared under a number of its own, fixed by writing it
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=4, den=5).select(F.col("doc_id").alias("_row"), "component_id")
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("at"))
+    first = found.join(order, "_row").groupBy("component_id").agg(F.min("at").alias("at")).select("at._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,15 @@ def test_line_dedup_of_short_lines_and_lines_without_blanks(spark):
     assert want[1] == "a b d\n" and want[3] == ""
     assert {r.doc_id: r.text for r in linededup.dedup(table, least=1).collect()} == want
     assert {r.doc_id: r.kept_sha256 for r in linededup.digests(table).collect()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    a, b = "shared words stand in this line\nonly in text a here we go", "clean words of quite another kind\nsecond clean line of the text b"
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a + "\nsomething that no other row has"), (None, b), (None, b), (None, None)]
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least=1, nulls=True).collect()
+    want = [(3, a), (5, ""), (5, b), (5, b), (None, "something that no other row has"), (None, ""), (None, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    # by default rows without an id are left alone
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want[4:] = rows[4:]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)

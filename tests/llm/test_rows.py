@@ -195,3 +195,14 @@ def test_pipeline_empty(spark, empty):
     for name, stage in corpus_pipeline.STAGES:
         d = written(stage(spark, d, SF), f"e-{name}")
         assert d.count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_and_every_clean_text(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(30)).strip() for w in ("ant", "bee", "cat"))
+    near = a.replace("ant29", "other")
+    rows = [(3, a, "en"), (5, near, "en"), (5, b, "fr"), (5, b, "en"), (None, b, "en"), (None, c, "en"), (None, c, "en"), (7, c + "\nmore", "en")]
+    table = spark.createDataFrame([(d, t, g, "s", len(t)) for d, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.lines(spark, table, SF)
+    assert sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=str) == [(3, a, "en"), (5, b, "en"), (7, c + "\nmore", "en")]
+    left = corpus_pipeline.near_copies(spark, table, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(3, a), (5, b), (7, c + "\nmore")]

@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def odd_ids(docs: DataFrame, nulls: bool = True) -> bool:
+    """Whether a doc_id stands in more than one row or, with ``nulls``, is null."""
+    odd = F.when(F.col("doc_id").isNull(), F.lit(nulls)).otherwise(F.col("n") > 1)
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(odd).isEmpty()
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables of ``written`` that nothing reads any more: all that came from them must be written itself."""
     for t in tables:

@@ -24,9 +24,15 @@ What is sent to all tasks has a fixed size: the bucket classes and two bit sets
 that name lines and documents to be looked at again (they may name others too,
 which only costs time).
 
-Rules: null text is empty; blank lines stay; rows with null doc_id neither lose
-lines nor take lines from others; rows that repeat a doc_id share positions,
-and equal positions do not remove each other. Every row gives one row; a line
+A row's key is (doc_id, hash of its text): rows of equal key share their lines
+and do not remove each other's; rows of one doc_id and different texts are
+documents of their own, in order of their hashes. With ``nulls``, as in the
+query and the pipeline, rows with null doc_id are such documents too, after
+all others; without, they neither lose lines nor take lines from others. Where
+a doc_id is odd (repeated, or null with ``nulls``), keys are numbered in this
+order and the numbers stand for the ids.
+
+Rules: null text is empty; blank lines stay. Every row gives one row; a line
 that stays keeps its bytes. Empty table: no rows. Codes have 57 bits of hash."""
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upshelf.llm.common import forget, release, written
+from upshelf.llm.common import forget, odd_ids, release, written
 from upshelf.llm.linkrank import LOWER, UPPER
 
 FREQUENT, BUCKETS, FILTER_BITS, HOT = 1 << 15, 1 << 17, 1 << 22, 32
@@ -182,13 +188,27 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) ->
     return out
 
 
-def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
+def _numbered(rows: DataFrame, nulls: bool) -> DataFrame:
+    """rows, written, with the number of their key in the order of keys as doc_id; null ids without ``nulls`` stay null."""
+    at = {"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+    rows = rows.withColumns(at)
+    # numbers rise with the partitions of the sort, and are read back as written
+    keys = written(rows.where(F.lit(nulls) | ~F.col("_null")).select(*at).distinct().orderBy(*at)
+                   .withColumn("_number", F.monotonically_increasing_id()), "lines-keys")
+    out = written(rows.join(keys, [*at], "left").drop(*at).withColumn("doc_id", F.col("_number")).drop("_number"), "lines-numbered")
+    forget(keys)
+    return out
+
+
+def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST, nulls: bool = False) -> DataFrame:
     """The documents with their columns, text without the removed lines, and n_lines, n_removed.
 
     Only documents that may lose a line meet the table of removed lines."""
     own = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in own], F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
+    if odd_ids(inner, nulls):
+        inner = _numbered(inner, nulls)
     gone = removed(inner.select("doc_id", "text"), num, den, least)
     inner = _maybe(inner, gone, "doc_id")
     lists = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("out"))      # at most the lines of one document
@@ -205,5 +225,5 @@ def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> Da
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every document."""
-    return (dedup(docs.select("doc_id", "text"), least=1)
+    return (dedup(docs.select("doc_id", "text"), least=1, nulls=True)
             .select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")))
