@@ -153,6 +153,20 @@ def test_secrets(spark, docs, empty):
     assert secrets.digests(docs).count() == docs.count() and secrets.digests(empty).count() == 0
 
 
+def test_field_learns_from_rare_and_late_secrets(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE", 20)
+    rows = [(i, f"plain text number {i} of no interest at all") for i in range(300)]
+    late = "common words " * 2000 + "then password: 0f3a9c8b7d6e5f4a3b2c and more"
+    last = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    rows[last] = (last, late)                                   # neither in the sample of all documents nor in its prefix
+    field = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert field is not None
+    raw = np.frombuffer(late.encode(), np.uint8)
+    s, e, at, cols = secrets.features(raw, np.array([0, len(raw)]))
+    assert [(int(s[a]), int(e[b])) for a, b in field.decode(field.emissions(cols), at)] == [(late.index("password"), late.index(" and more"))]
+    assert secrets.train(spark.createDataFrame(rows[:last] + rows[last + 1:], "doc_id long, text string")) is None
+
+
 def test_url_rules_and_ranks(spark):
     rows = [(1, "http://a.com/x", '<a href="https://Shop.org/1">'), (2, "https://www.example.com/en/1", None), (3, "http://b.net/es/1", ""),
             (4, "http://q.org/", '<a href="http://b.net/">x</a>'), (5, "http://shop.org/z", ""), (6, None, "x"), (7, "no url", "x"),

@@ -6,9 +6,14 @@ the words beside it and features of its file, and is decoded by Viterbi; spans
 it finds where no base span is are added as kind ``crf``.
 
 Training: the field is fitted by its likelihood (forward-backward in numpy) on
-windows of at most ``SAMPLE`` documents (those of smallest id hash), with the
-base spans as labels; patterns are no feature, so the field learns how secrets
-look and where they stand. Without a positive token in the sample it adds nothing.
+windows of at most ``SAMPLE`` documents, with the base spans as labels; patterns
+are no feature, so the field learns how secrets look and where they stand. At
+most half of the sample are documents with a base span, looked for in all whole
+texts, and at most half are others, either those of smallest id hash. Windows lie
+around the spans wherever they stand, ``WINDOWS`` a document, evenly taken if it
+has more, and anywhere in the others: ``RATIO`` for each document with a span (of
+``LEAST_HITS`` at least), at most ``CLEAN`` a document. Without a base span in the whole table the field
+adds nothing.
 
 Decoding is exact though only few tokens are visited: every transition weight
 is finite, so a token whose *outside* emission leads by more than twice the
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upshelf.llm.common import pick, small_batches
+from upshelf.llm.common import forget, pick, small_batches, written
 from upshelf.llm.shingles import buffers, words
 
 # Fixed values of the contract: patterns and least lengths.
@@ -37,8 +42,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")              # the longest run is the match,
 KINDS = ("assign", "access", "hex", "crf")
 CUE_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "bearer", "credentials")
 
-SAMPLE, BESIDE, ROUNDS, RATE, DECAY = 2000, 12, 120, 0.15, 1e-3
-MAX_CHARS = 20_000
+SAMPLE, WINDOWS, RATIO, LEAST_HITS, CLEAN, BESIDE, ROUNDS, RATE, DECAY = 2000, 16, 25, 20, 8, 12, 120, 0.15, 1e-3
+
+#: Every text with a base span matches, and few others: a match of ASSIGN may swallow the name that starts one here.
+MAYBE = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[a-z0-9+/_.=-]{12})|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
 
 _CLASS = np.full(256, 4, dtype=np.uint8)        # 0 digit, 1 upper, 2 lower, 3 space, 4 symbol, 5 beyond ASCII
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 0, 1, 2, 5
@@ -232,7 +239,9 @@ class Field:
 
 def _byte_spans(text: str) -> list[tuple[int, int]]:
     """Base spans as byte offsets."""
-    return [(len(text[:a].encode()), len(text[:b].encode())) for a, _, b in base_spans(text)]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    return [(int(at[a]), int(at[b])) for a, _, b in base_spans(text)]
 
 
 def _tags(s: np.ndarray, e: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -246,38 +255,67 @@ def _tags(s: np.ndarray, e: np.ndarray, spans: list[tuple[int, int]]) -> np.ndar
     return tags
 
 
+def _windows(text: str, clean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature columns, tags, sizes) of the windows of a text."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    s, e, _, x = features(raw, np.array([0, len(raw)]))
+    y = _tags(s, e, _byte_spans(text))
+    found, done = [], 0
+    spots = np.flatnonzero(y) if y.any() or not len(s) else np.sort(np.random.default_rng(len(raw)).integers(0, len(s), clean))
+    for mid in spots.tolist():                              # windows around secrets, or anywhere in a clean text
+        a, b = max(done, mid - BESIDE), min(len(s), mid + BESIDE + 1)
+        if b > a and mid >= done:
+            found.append((a, b))
+            done = b
+    if len(found) > WINDOWS:
+        found = [found[i] for i in np.linspace(0, len(found) - 1, WINDOWS).astype(int)]
+    take = np.concatenate([np.arange(a, b) for a, b in found]) if found else np.zeros(0, dtype=np.int64)
+    return x[take].astype(np.uint8), y[take].astype(np.uint8), np.array([b - a for a, b in found], dtype=np.uint8)
+
+
+def _sample(docs: DataFrame) -> tuple[list[int], int]:
+    """Keys of the documents to learn from, with a base span and without, and the windows of one without."""
+    marked = docs.select("key", "at", F.when(F.col("text").rlike(MAYBE), F.col("text")).alias("text"))
+
+    def exact(batches):
+        for b in batches:
+            hit = [bool(t and base_spans(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.bool_())], ["key", "at", "hit"])
+
+    flags = written(marked.mapInArrow(exact, "key long, at long, hit boolean").distinct(), "secrets-flags")
+    first = lambda hit, n: [r.key for r in flags.where(F.col("hit") == hit).orderBy("at", "key").limit(n).collect()]
+    hits = first(True, SAMPLE // 2)
+    want = RATIO * max(LEAST_HITS, len(hits))           # few clean windows would find secrets in plain words
+    others = first(False, min(SAMPLE // 2, want)) if hits else []
+    forget(flags)
+    return hits + others, min(CLEAN, max(1, want // max(1, len(others))))
+
+
 def train(docs: DataFrame) -> Field | None:
-    """A field from a bounded sample of documents; None without a secret in it."""
-    d = pick(docs, doc_id="long", text="string")
-    ids = [r.doc_id for r in (d.where("doc_id is not null").select("doc_id").distinct()
-                              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect())]
-    rows = (d.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text"))
-            .where("text is not null").collect())
-    cols, tags, sizes = [], [], []
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        raw = r.text.encode()
-        if not raw:
-            continue
-        s, e, _, x = features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        y = _tags(s, e, _byte_spans(r.text))
-        hits = np.flatnonzero(y)
-        mids = hits.tolist() or [len(s) // 2]
-        done = 0
-        for mid in mids:                                    # windows around secrets; one of each clean text
-            a, b = max(done, mid - BESIDE), min(len(s), mid + BESIDE + 1)
-            if b > a and mid >= done:
-                cols.append(x[a:b])
-                tags.append(y[a:b])
-                sizes.append(b - a)
-                done = b
-    if not tags or not np.concatenate(tags).any():
+    """A field from a bounded sample of documents; None where no document has a base span."""
+    small_batches(docs.sparkSession)
+    d = (pick(docs, doc_id="long", text="string").where("text <> ''")
+         .select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("doc_id").alias("at"), "text"))
+    keys, clean = _sample(d)
+    if not keys:
+        return None
+
+    def cut(batches):
+        for b in batches:
+            got = [[v.tobytes() for v in _windows(t, clean)] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], pa.binary()) for i in range(3)]], ["key", "x", "y", "sizes"])
+
+    rows = (d.where(F.col("key").isin(keys)).select("key", "text")
+            .mapInArrow(cut, "key long, x binary, y binary, sizes binary").dropDuplicates(["key"]).collect())
+    rows.sort(key=lambda r: r.key)
+    cols, tags, sizes = (np.frombuffer(b"".join(r[c] for r in rows), np.uint8).astype(np.int64) for c in ("x", "y", "sizes"))
+    if not tags.any():
         return None
     field = Field()
-    field.train(np.concatenate(cols), np.concatenate(tags), np.concatenate([[0], np.cumsum(sizes)]))
+    field.train(cols.reshape(len(tags), len(SIZES)), tags, np.concatenate([[0], np.cumsum(sizes)]))
     return field
 
 
-
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) of every whole text."""
     small_batches(docs.sparkSession)
