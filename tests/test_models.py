@@ -7,9 +7,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from upshelf.operators import cohort as CO
 from upshelf.operators import forecast as FC
 from upshelf.operators import insights as IN
 from upshelf.operators import models as ML
+from upshelf.operators import nodes as NODES
+from upshelf.plans import inputs as I
+from upshelf.plans import q_scope
 from upshelf.plans.pipeline import campaigns
 
 SF = os.environ.get("UPSHELF_TEST_SF", "/root/testdata/sf0.01")
@@ -62,3 +66,27 @@ def test_campaign_ols_matches_lstsq(spark):
     pred_ref = Xc @ w
     pred = Xc @ np.array([co[f] for f in feats])
     assert np.allclose(pred, pred_ref, rtol=1e-6, atol=1e-3)
+
+
+def test_regressors_reach_the_learners(spark):
+    sf = "/root/testdata/sf0.001"
+    c = campaigns(spark, sf)
+    got = c.regressors().toPandas().set_index(["booking_number", "week_start"]).sort_index().astype(float)
+    ic = CO.internal_features_by_booking(c.slice_rows(), I.promo(spark, sf)).toPandas()
+    rows = c.slice_rows().toPandas()
+    k = ["booking_number", "week_start", "store_id", "brand", "category"]
+    rows = rows.merge(ic[[*k, "max_internal_competitor_discount_percent"]], on=k, how="left")
+    want = {}
+    for key, x in rows.groupby(["booking_number", "week_start"]):
+        s = x["sales"].astype(float)
+        of = [(x[r].astype(float).fillna(0) * s).sum() / s.sum() for r in NODES.NUMERIC_REGRESSORS]
+        of += [s[x["brochure"] == "Not on brochure"].sum() / s.sum(), s[x["multibuy"] == "Not on Multibuy"].sum() / s.sum()]
+        want[key] = of
+    assert len(want) == len(got) and got["max_internal_competitor_discount_percent"].abs().sum() > 0
+    assert np.allclose(got[NODES.REGRESSORS].to_numpy(), np.array([want[key] for key in got.index]), rtol=1e-9, atol=1e-9, equal_nan=True)
+    keys = ["booking_number", "level", "node", "ds"]
+    for query, plain in ((q_scope.q_counterfactual_ridge, FC.counterfactual_ridge), (q_scope.q_counterfactual_gbt, FC.counterfactual_gbt)):
+        full = query(spark, sf).toPandas().sort_values(keys)
+        bare = plain(c.panel(), c.windows).toPandas().sort_values(keys)
+        assert (full[keys].to_numpy() == bare[keys].to_numpy()).all()
+        assert not np.allclose(full["yhat"].astype(float), bare["yhat"].astype(float), equal_nan=True)

@@ -1,4 +1,4 @@
-"""List columns: split, clean and flexible parsing."""
+"""List columns: clean and flexible parsing."""
 
 from __future__ import annotations
 

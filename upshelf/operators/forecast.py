@@ -107,13 +107,13 @@ def counterfactual_ridge(panel: DataFrame, windows: DataFrame, regressors: DataF
     return x.groupBy("booking_number", "level", "node").applyInPandas(_ridge_group(alpha, feats), schema)
 
 
-def counterfactual_gbt(panel: DataFrame, windows: DataFrame, max_iter: int = 20, max_depth: int = 5,
-                       seed: int = 42) -> DataFrame:
+def counterfactual_gbt(panel: DataFrame, windows: DataFrame, regressors: DataFrame | None = None, max_iter: int = 20,
+                       max_depth: int = 5, seed: int = 42) -> DataFrame:
     """D24 with a pooled gradient-boosted-trees learner (MLlib, distributed).
 
     One model over every booking, level and node: features are the node's
-    training mean (target encoding), the level and the cyclic calendar; the
-    label is y. Training rows are the pre-cutoff weeks of every node; the
+    training mean (target encoding), the level, the cyclic calendar and the
+    observed weekly regressors (null as 0); the label is y. Training rows are the pre-cutoff weeks of every node; the
     campaign weeks are predicted. (The modelled app fits one boosted model
     per series; pooling keeps this one distributed job instead of millions of
     tiny fits.)"""
@@ -121,6 +121,9 @@ def counterfactual_gbt(panel: DataFrame, windows: DataFrame, max_iter: int = 20,
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    more = REGRESSORS if regressors is not None else []
+    if regressors is not None:
+        panel = panel.join(regressors, ["booking_number", "week_start"], "left")
     train, test = _split(panel, windows)
     g = ["booking_number", "level", "node"]
     nm = train.groupBy(*g).agg(F.avg(F.col("y").cast("double")).alias("node_mean"))
@@ -129,7 +132,8 @@ def counterfactual_gbt(panel: DataFrame, windows: DataFrame, max_iter: int = 20,
     def feats(df):
         cal = dict(zip(names, calendar_features("week_start")))
         return df.join(nm, g).select(*g, "week_start", F.col("y").cast("double").alias("label"), "node_mean",
-                                     *[cal[c] for c in CAL_FEATURES])
+                                     *[cal[c] for c in CAL_FEATURES],
+                                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in more])
 
     tr, te = feats(train), feats(test)
     # nodes without any training week keep their actuals with a null yhat
@@ -139,7 +143,7 @@ def counterfactual_gbt(panel: DataFrame, windows: DataFrame, max_iter: int = 20,
                                                    F.lit(None).cast("double").alias("uplift"))
     pipe = Pipeline(stages=[
         StringIndexer(inputCol="level", outputCol="level_idx", handleInvalid="keep"),
-        VectorAssembler(inputCols=["node_mean", "level_idx", *CAL_FEATURES], outputCol="features"),
+        VectorAssembler(inputCols=["node_mean", "level_idx", *CAL_FEATURES, *more], outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=seed)])
     model = pipe.fit(tr)
     pred = model.transform(te)

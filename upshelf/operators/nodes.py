@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upshelf.functions.keys import LEVELS, LEVEL_KEYS, node_key
-from upshelf.functions.numeric import weighted_mean as wmean
 from upshelf.plans.params import DEFAULT, Params
 
 # The twelve weekly regressors (two label shares renamed to
@@ -89,12 +88,12 @@ def weekly_regressors(slice_rows: DataFrame, weighting: str = "sales", p: Params
     unweighted row mean. Rows need ``max_internal_competitor_discount_percent``."""
     s = F.col("sales")
     if weighting == "sales":
-        num = [wmean(c, s).alias(c) for c in NUMERIC_REGRESSORS]
-        shares = [
-            F.try_divide(F.sum(F.when(F.col("brochure") == p.no_brochure_label, s).otherwise(F.lit(0))),
-                         F.nullif(F.sum(s), F.lit(0))).alias("brochure_not_on_brochure"),
-            F.try_divide(F.sum(F.when(F.col("multibuy") == p.no_multibuy_label, s).otherwise(F.lit(0))),
-                         F.nullif(F.sum(s), F.lit(0))).alias("multibuy_not_on_multibuy")]
+        # exact sums, divided as doubles: a quotient of decimals keeps six places
+        def over(x):
+            return F.try_divide(F.sum(x * s).cast("double"), F.nullif(F.sum(s).cast("double"), F.lit(0.0)))
+        num = [over(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in NUMERIC_REGRESSORS]
+        shares = [over(F.when(F.col("brochure") == p.no_brochure_label, F.lit(1)).otherwise(F.lit(0))).alias("brochure_not_on_brochure"),
+                  over(F.when(F.col("multibuy") == p.no_multibuy_label, F.lit(1)).otherwise(F.lit(0))).alias("multibuy_not_on_multibuy")]
     else:
         num = [F.avg(c).alias(c) for c in NUMERIC_REGRESSORS]
         shares = [F.avg(F.when(F.col("brochure") == p.no_brochure_label, 1.0).otherwise(0.0)).alias(

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from upshelf.operators import cohort as CO
 from upshelf.operators import customers as CU
@@ -92,6 +93,16 @@ class Campaigns:
                 self.base, self.registry(), self.windows, self.stores, target, self.candidates()))
         return self._m(f"panel_{target}", lambda: N.weekly_panel(self.slice_agg(), self.registry(), target))
 
+    def regressors(self) -> DataFrame:
+        """Sales-weighted regressors per (booking, week) over the slice."""
+        def rows():
+            x = self.slice_rows()
+            ic = CO.internal_features_by_booking(x, I.promo(self.spark, self.sf_dir))
+            k = ["booking_number", "week_start", "store_id", "brand", "category"]
+            c = "max_internal_competitor_discount_percent"
+            return x.join(ic.select(*k, c), k, "left").withColumn(c, F.coalesce(c, F.lit(0.0)))
+        return self._m("regressors", lambda: N.weekly_regressors(rows(), p=self.p))
+
     def compare(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel(), self.windows)
 

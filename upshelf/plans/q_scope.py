@@ -90,7 +90,7 @@ def q_uplift_grid(spark, sf_dir):
 def q_counterfactual_ridge(spark, sf_dir):
     """Ridge learner (grouped map); no SQL oracle, checked by properties in tests."""
     c = campaigns(spark, sf_dir)
-    return FC.counterfactual_ridge(c.panel(), c.windows, alpha=1.0)
+    return FC.counterfactual_ridge(c.panel(), c.windows, c.regressors(), alpha=1.0)
 
 
 @register("counterfactual_full", O.with_(*O.FULL_CTES) + """SELECT booking_number, metric, level, node, ds,
@@ -116,7 +116,7 @@ def q_uplift_totals_full(spark, sf_dir):
 def q_counterfactual_gbt(spark, sf_dir):
     """Pooled gradient-boosted-trees learner (MLlib); no SQL oracle."""
     c = campaigns(spark, sf_dir)
-    return FC.counterfactual_gbt(c.panel(), c.windows)
+    return FC.counterfactual_gbt(c.panel(), c.windows, c.regressors())
 
 
 @register("counterfactual_dynamic")
