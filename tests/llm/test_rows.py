@@ -102,6 +102,12 @@ def test_language_held_out(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    rows = [(i, f"text number {i} with words of label{i % 70}", f"l{i % 70:02d}") for i in range(420)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({g for _, _, g in rows})
+
+
 def test_language_positions(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(table)

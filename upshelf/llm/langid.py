@@ -6,8 +6,8 @@ probabilities at every byte. A document's probabilities are the mean over its
 letter positions, the language is the largest, its score that mean.
 
 It is trained in numpy by backpropagation through time on a bounded sample:
-``PER_LANG`` documents a language (those of smallest id hash), at most ``LANGS``
-languages (the most frequent), four windows of ``WINDOW`` characters a document.
+``PER_LANG`` documents a language (those of smallest id hash), every language that
+labels one, four windows of ``WINDOW`` characters a document.
 Training order and start weights are fixed, so a table always gives one model.
 
 Rules: null text or text without a letter is ``und`` with score 0; so is every
@@ -26,7 +26,7 @@ from upshelf.llm.common import pick, small_batches
 from upshelf.llm.shingles import buffers
 
 HIDDEN, PIECE, BATCH = 8, 128, 4096
-PER_LANG, LANGS, WINDOW = 160, 64, 160
+PER_LANG, WINDOW = 160, 160
 STEPS, TRAIN_BATCH, TRAIN_PIECE, RATE = 220, 192, 64, 0.03
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -147,8 +147,9 @@ class Model:
         start = off[doc] + nth * PIECE
         length = np.minimum(PIECE, off[doc + 1] - start)
         order = np.argsort(-length, kind="stable")       # pieces of like length share a block
-        for a in range(0, len(order), BATCH):
-            at = order[a:a + BATCH]
+        block = max(1, BATCH * 64 // max(64, len(self.langs)))     # bounds the memory of many languages
+        for a in range(0, len(order), block):
+            at = order[a:a + block]
             most = int(length[at].max())
             spot = start[at][None, :] + np.arange(most)[:, None]
             inside = np.arange(most)[:, None] < length[at][None, :]
@@ -185,16 +186,16 @@ def _held_out():
 def train(docs: DataFrame) -> Model | None:
     """A model from the labelled documents that are not held out; None if there are none."""
     d = pick(docs, doc_id="long", text="string", lang="string").where("doc_id is not null and lang is not null").where(~_held_out())
-    langs = sorted(r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    langs = sorted(r.lang for r in d.select("lang").distinct().collect())
     if not langs:
         return None
     # ids first (no text is read), at most PER_LANG a language leave each task
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in (d.where(F.col("lang").isin(langs)).select("doc_id", "lang").distinct()
+    ids = [r.doc_id for r in (d.select("doc_id", "lang").distinct()
                               .withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG)
                               .select("doc_id").collect())]
     cut = [F.substring("text", F.floor(F.length("text") * i / 4).cast("int") + 1, F.lit(WINDOW)) for i in range(4)]
-    rows = d.where(F.col("doc_id").isin(ids) & F.col("lang").isin(langs)).select("lang", *[c.alias(f"w{i}") for i, c in enumerate(cut)]).collect()
+    rows = d.where(F.col("doc_id").isin(ids)).select("lang", *[c.alias(f"w{i}") for i, c in enumerate(cut)]).collect()
     pieces = sorted({(r.lang, w) for r in rows for w in r[1:] if w and any(c.isalpha() for c in w)})
     pieces += [(lang, w.upper()) for lang, w in pieces[::10]]   # capitals are rare in the sample
     x, y = [], []
