@@ -4,7 +4,8 @@ Every stage reads what its predecessor wrote and returns the columns of
 documents, the last one the token digests. Stages 2 to 4 keep extra columns.
 
 1. language: documents whose language cannot be told (no text, no letter) go;
-   an unlabelled document takes the language found.
+   an unlabelled document takes the language found. A label that is there is
+   never overruled: on a labelled table the stage only drops texts without a letter.
 2. lines: of rows equal in doc_id and text (a null id is an id of its own) one
    stays; lines that repeat or nearly repeat an earlier line are cut out; a
    document that loses all its lines goes (its text stands earlier).
@@ -75,7 +76,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("encode", encode)]
 
-#: A trained model, set-similarity links and BPE merges are not SQL; tests compare with brute force.
+#: A trained model, set-similarity links and BPE merges are not SQL; tests compare lines, links and merges with brute
+#: force and the stages on small tables, not a whole run.
 ORACLE_SQL = None
 
 
