@@ -6,6 +6,8 @@ import gc
 import math
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             return nxt.select("node", F.col("label").alias("component"))
         labels = nxt.select("node", "label")
 
+
+
+def pieces(batches, column: int = 1, size: int = 4 << 20):
+    """Record batches cut so that the strings of ``column`` hold about ``size`` bytes (one longer text stands alone):
+    a worker's memory then follows the bytes, whatever number of rows the session puts in a batch."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+            yield batch.slice(a, b - a)
+            a = b
