@@ -30,9 +30,9 @@ def _plain(rows, k, num, den):
 
 
 @pytest.mark.parametrize("k,num,den", [(3, 85, 100), (5, 4, 5)])
-@pytest.mark.parametrize("light,left,right", [(32, 1024, 4096), (2, 2, 3)])
-def test_components(spark, docs, k, num, den, light, left, right, monkeypatch):
-    for name, value in (("LIGHT", light), ("LEFT", left), ("RIGHT", right)):      # small buckets go through the blocks too
+@pytest.mark.parametrize("light,left,right,share", [(32, 1024, 4096, 2048), (2, 2, 3, 1)])
+def test_components(spark, docs, k, num, den, light, left, right, share, monkeypatch):
+    for name, value in (("LIGHT", light), ("LEFT", left), ("RIGHT", right), ("SHARE", share)):      # small buckets go through the blocks too
         monkeypatch.setattr(minhash, name, value)
     chain = [f"w{i} " * 1 for i in range(400)]
     # a group in which each text is near the next few only, one row of other words under a used id, an edge of 17 of 20 shingles
@@ -50,25 +50,39 @@ def test_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_posterior_is_the_beta_tail():
-    need, t = dict(minhash.needed(85, 100, 1e-6)), 0.85
-    grid = (np.arange(200_000) + 0.5) / 200_000
-    for n, m in need.items():
-        for agree, stays in ((m, True), (m - 1, False)):
-            log = agree * np.log(grid) + (n - agree) * np.log1p(-grid)
-            p = np.exp(log - log.max())
-            assert (p[grid >= t].sum() / p.sum() >= 1e-6) == stays
+def test_posterior_is_the_beta_binomial_tail():
+    def tail(m, n, left, want):           # uniform prior on the share of common members, seen without replacement
+        return sum(math.comb(left, x) * math.exp(
+            math.lgamma(x + m + 1) + math.lgamma(left - x + n - m + 1) - math.lgamma(left + n + 2)
+            - math.lgamma(m + 1) - math.lgamma(n - m + 1) + math.lgamma(n + 2)) for x in range(max(want, 0), left + 1))
+
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        na, nb = rng.integers(1, 400, 2)
+        o = -(-85 * (na + nb) // 185)
+        u = int(na + nb - o)
+        n = int(rng.integers(0, min(u, 300) + 1))
+        m = int(rng.integers(0, min(n, o) + 1))
+        got = minhash.may_reach(*(np.array([v]) for v in (m, n, na, nb)), 85, 100, miss=1e-4)[0]
+        real = tail(m, n, u - n, int(o - m)) if o - m <= u - n else 0
+        assert got >= (real >= 1e-4)                     # the bound keeps all that the posterior keeps
+        if real < 1e-5:
+            assert not got                               # and little more
+    far = np.array([50_000])
+    assert not minhash.may_reach(np.array([300]), np.array([512]), far, far, 85, 100)[0] and minhash.may_reach(np.array([430]), np.array([512]), far, far, 85, 100)[0]
 
 
 def test_signatures_estimate_jaccard_and_batches_keep_near_pairs():
     rng = np.random.default_rng(2)
     pool = shingles.mix(rng.integers(1, 1 << 60, 4000).astype("uint64"))
     sets = [np.sort(pool[a:a + 1000]) for a in (0, 50, 80, 500, 2500)]
-    sig = minhash.signatures(sets)
+    low = minhash.minima(sets, 128)
     for j, real in enumerate((950 / 1050, 920 / 1080, 500 / 1500, 0), 1):
-        assert abs((sig[0] == sig[j]).mean() - real) < 5 * math.sqrt(max(real * (1 - real), 0.001) / minhash.HASHES)
-    need = minhash.needed(85, 100)
-    assert minhash.plausible(sig[[0] * 5], sig, need).tolist() == [True, True, True, False, False]
+        assert abs((low[0] == low[j]).mean() - real) < 5 * math.sqrt(max(real * (1 - real), 0.001) / 128)
+    sig, n = np.array([np.frombuffer(minhash.signature(s), np.uint8) for s in sets]), np.full(5, 1000)
+    assert minhash.plausible(sig[[0] * 5], sig, n, n, 85, 100).tolist() == [True, True, True, False, False]
+    assert not any(minhash.signature(sets[0][:0]))
+    assert minhash.bands(85, 100) == 25 and (1 - 0.85 ** minhash.ROWS) ** 25 < 1e-8
 
 
 def test_long_text_beside_short_ones(spark):
