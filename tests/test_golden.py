@@ -190,7 +190,7 @@ def test_booking_with_two_end_dates_and_one_week_campaign(spark):
 def test_campaign_ols_with_fewer_campaigns_than_features(spark):
     agg = spark.createDataFrame([("c1", 1.0, 2.0, 10.0), ("c2", 2.0, 1.0, 20.0)],
                                 "campaign_id string, x1 double, x2 double, uplift_total double")
-    co = {r.feature: r.coef for r in ML.fit_campaign_level(spark, agg, ["x1", "x2"]).collect()}
+    co = {r.feature: r.coef for r in ML.fit_campaign_level(agg, ["x1", "x2"]).collect()}
     # minimum-norm solution: w = (5, -5), intercept = 15 - 1.5*5 + 1.5*5 = 15
     assert abs(co["x1"] - 5) < 1e-9 and abs(co["x2"] + 5) < 1e-9 and abs(co["(intercept)"] - 15) < 1e-9
 

@@ -34,7 +34,7 @@ def test_within_campaign_ridge_matches_closed_form(spark):
     c = campaigns(spark, SF)
     h = c.hypothesis("brand_category")
     feats = ML.WEEKLY_BASE
-    coefs = {r.feature: r.coef for r in ML.fit_weekly_within_campaign(spark, h, feats, alpha=10.0).collect()}
+    coefs = {r.feature: r.coef for r in ML.fit_weekly_within_campaign(h, feats, alpha=10.0).collect()}
     pdf = h.toPandas()
     pdf["uplift"] = pdf["uplift"].astype(float)
     pdf = pdf[pdf["uplift"].notna()]
@@ -56,7 +56,7 @@ def test_campaign_ols_matches_lstsq(spark):
     c = campaigns(spark, SF)
     agg = IN.campaign_aggregate(c.hypothesis("brand_category"))
     feats = ML.CAMPAIGN_BASE
-    co = {r.feature: r.coef for r in ML.fit_campaign_level(spark, agg, feats).collect()}
+    co = {r.feature: r.coef for r in ML.fit_campaign_level(agg, feats).collect()}
     pdf = agg.toPandas()
     pdf = pdf[pdf["uplift_total"].notna()]
     X = pdf[feats].fillna(0.0).to_numpy(float)

@@ -35,5 +35,6 @@ def smaller_abs(a, b) -> Column:
 
 
 def weighted_mean(x, w) -> Column:
-    """sum(coalesce(x,0) * w) / nullif(sum(w), 0)."""
-    return safe_div(F.sum(F.coalesce(_c(x), F.lit(0)) * _c(w)), F.sum(_c(w)))
+    """sum(coalesce(x,0) * w) / nullif(sum(w), 0): exact sums, divided as doubles (a quotient of decimals
+    keeps six places)."""
+    return safe_div(F.sum(F.coalesce(_c(x), F.lit(0)) * _c(w)).cast("double"), F.sum(_c(w)).cast("double"))

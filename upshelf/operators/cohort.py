@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upshelf.functions.keys import LEVEL_KEYS, LEVELS, node_key
 from upshelf.functions.numeric import safe_div, weighted_mean
 from upshelf.operators import customers as C
 from upshelf.operators.nodes import NUMERIC_REGRESSORS
@@ -101,6 +102,32 @@ def cohort_week_totals(base: DataFrame, promo: DataFrame, lines: DataFrame, skus
         F.coalesce("new_to_brand_shoppers_13m", F.lit(0)).alias("new_to_brand_shoppers_13m"))
 
 
+#: Forecast metric of each target column of the cohort-week totals.
+METRIC_OF = {c: c.removesuffix("_13m") for c in TARGETS}
+
+
+def cohort_panel(totals: DataFrame) -> DataFrame:
+    """D24 input from the cohort-week totals (D11): six metrics x six levels in
+    long form (booking, metric, level, node, week, y).
+
+    The totals hold no article, so the SKU level is one node, ``ALL``, and a
+    booking's row belongs to the one node of each other level that its
+    constant hierarchy keys name. A level with a missing key has no node."""
+    def node(level: str):
+        return F.lit("sku=ALL") if level == "sku" else node_key(level)
+
+    def known(level: str):
+        cols = [] if level == "sku" else LEVEL_KEYS[level]
+        return F.lit(True) if not cols else F.concat(*[F.col(c) for c in cols]).isNotNull()
+
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("decimal(38,4)").alias("y")) for c, m in METRIC_OF.items()])
+    nodes = F.filter(F.array(*[F.struct(F.lit(lv).alias("level"), F.when(known(lv), node(lv)).alias("node")) for lv in LEVELS]),
+                     lambda n: n["node"].isNotNull())
+    return (totals.select("booking_number", "week_start", F.explode(nodes).alias("n"), metrics.alias("metrics"))
+            .select("booking_number", "week_start", "n.level", "n.node", F.inline("metrics"))
+            .select("booking_number", "metric", "level", "node", "week_start", "y"))
+
+
 def scoped_slice(base: DataFrame, promo: DataFrame, lines: DataFrame, articles: DataFrame, windows: DataFrame,
                  stores: DataFrame, variant: str = "lag", p: Params = DEFAULT) -> DataFrame:
     """SKU × store × week slice rows of each booking with shoppers (D4),

@@ -6,18 +6,17 @@ campaign weeks that have actuals (weeks without actuals are dropped, as the
 modelled app does).
 
 * ``mean``  : yhat = average training y (built-in aggregate; SQL-checkable);
-* ``ridge`` : per-node ridge on calendar features + weekly regressors, solved
-  in a grouped-map pandas function (``applyInPandas``). Groups are one node
-  of one booking, bounded by the number of pull-window weeks (~70 rows).
+* ``ridge`` : per-node ridge on calendar features + weekly regressors, from
+  Gram sums (``groupBy.agg``) solved as array columns: JVM-side throughout,
+  and no group of rows is ever gathered.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from upshelf.functions.linalg import dot, gram_rows, solve_spd
 from upshelf.functions.weeks import calendar_features
 from upshelf.operators.nodes import REGRESSORS
 
@@ -51,60 +50,56 @@ def counterfactual_mean(panel: DataFrame, windows: DataFrame, keys: tuple[str, .
             .select(*g, F.col("week_start").alias("ds"), "y", "yhat", (F.col("y") - F.col("yhat")).alias("uplift")))
 
 
-def _ridge_group(alpha: float, features: list[str]):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = pdf[pdf["is_train"]]
-        te = pdf[pdf["is_test"]]
-        out = te[["booking_number", "level", "node", "week_start", "y"]].rename(columns={"week_start": "ds"})
-        if te.empty:
-            return out.assign(yhat=np.array([], dtype=float), uplift=np.array([], dtype=float))
-        if tr.empty:
-            out["yhat"] = np.nan
-        else:
-            X = tr[features].fillna(0.0).to_numpy(float)
-            y = tr["y"].to_numpy(float)
-            mu, sd = X.mean(axis=0), X.std(axis=0)
-            # constant columns (σ at floating-noise level) are left unscaled
-            sd[sd <= 1e-9 * np.maximum(1.0, np.abs(mu))] = 1.0
-            Z = (X - mu) / sd
-            ybar = y.mean()
-            A = Z.T @ Z + alpha * np.eye(Z.shape[1])
-            w = np.linalg.solve(A, Z.T @ (y - ybar))
-            Zt = (te[features].fillna(0.0).to_numpy(float) - mu) / sd
-            out["yhat"] = ybar + Zt @ w
-        out["y"] = out["y"].astype(float)
-        out["uplift"] = out["y"] - out["yhat"]
-        return out
-    return fit
+def _is_constant(mean: Column, sd: Column) -> Column:
+    """A feature whose spread is floating-point noise: it is left unscaled."""
+    return sd <= 1e-9 * F.greatest(F.lit(1.0), F.abs(mean))
 
 
-def counterfactual_ridge(panel: DataFrame, windows: DataFrame, regressors: DataFrame | None = None,
-                         alpha: float = 1.0, exog: str = "actual") -> DataFrame:
-    """D24 with a per-node ridge learner (grouped map).
+def fit_node_ridge(train: DataFrame, keys: list[str], features: list[str], alpha: float) -> DataFrame:
+    """(keys, ybar, mu, sd, w): ridge of ``y`` on standardised features per key.
+
+    Two aggregations on the same key: means and spreads first, then the Gram
+    sums of the centred and scaled features, so nothing cancels."""
+    p = len(features)
+    stats = train.groupBy(*keys).agg(
+        F.avg("y").alias("ybar"), F.array(*[F.avg(f) for f in features]).alias("mu"),
+        F.array(*[F.when(_is_constant(F.avg(f), F.stddev_pop(f)), F.lit(1.0)).otherwise(F.stddev_pop(f)) for f in features]).alias("sd"))
+    z = train.join(stats, keys).select(*keys, (F.col("y") - F.col("ybar")).alias("_y"),
+                                       *[((F.col(f) - F.col("mu")[i]) / F.col("sd")[i]).alias(f"_z{i}") for i, f in enumerate(features)])
+    sums = z.groupBy(*keys).agg(
+        *[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_s{i}_{j}") for i in range(p) for j in range(i, p)],
+        *[F.sum(F.col(f"_z{i}") * F.col("_y")).alias(f"_t{i}") for i in range(p)])
+    rows = gram_rows(p, lambda i, j: F.col(f"_s{i}_{j}"), lambda i: F.col(f"_t{i}"), alpha)
+    return stats.join(sums.select(*keys, solve_spd(rows, p).alias("w")), keys)
+
 
-    ``exog="actual"`` uses the observed regressors of the predicted week
-    (decision 2); ``"zero"`` sets them to 0 at prediction time for parity."""
-    feats = list(CAL_FEATURES)
-    p = panel
+def counterfactual_ridge(panel: DataFrame, windows: DataFrame, regressors: DataFrame | None = None,
+                         alpha: float = 1.0, exog: str = "actual", keys: tuple[str, ...] = (),
+                         features: list[str] | None = None) -> DataFrame:
+    """D24 with a per-node ridge learner.
+
+    ``features`` defaults to the cyclic calendar plus all weekly regressors,
+    where given (null counts as 0). ``exog="actual"`` uses the observed
+    regressors of the predicted week (decision 2); ``"zero"`` sets them to 0
+    at prediction time for parity. Nodes without a training week keep their
+    actuals with a null yhat. ``keys`` are further panel keys (``metric``)."""
+    feats = features or [*CAL_FEATURES, *(REGRESSORS if regressors is not None else [])]
     if regressors is not None:
-        p = p.join(regressors, ["booking_number", "week_start"], "left")
-        feats += REGRESSORS
-    w = windows.select("booking_number", "min_d", "cutoff_week", "first_week", "last_week")
+        panel = panel.join(regressors, ["booking_number", "week_start"], "left")
     names = ["year", "woy", "dow", "month_sin", "month_cos", "woy_sin", "woy_cos"]
     cal = dict(zip(names, calendar_features("week_start")))
-    x = p.join(w, "booking_number").select(
-        "booking_number", "level", "node", "week_start", F.col("y").cast("double").alias("y"),
-        *[cal[c] for c in CAL_FEATURES],
-        *[F.col(r).cast("double").alias(r) for r in feats if r not in CAL_FEATURES],
-        ((F.col("week_start") >= F.col("min_d")) & (F.col("week_start") < F.col("cutoff_week"))).alias("is_train"),
-        F.col("week_start").between(F.col("first_week"), F.col("last_week")).alias("is_test"))
-    if exog == "zero":
-        for r in feats:
-            if r not in CAL_FEATURES:
-                x = x.withColumn(r, F.when(F.col("is_test"), F.lit(0.0)).otherwise(F.col(r)))
-    x = x.where(F.col("is_train") | F.col("is_test"))
-    schema = "booking_number string, level string, node string, ds date, y double, yhat double, uplift double"
-    return x.groupBy("booking_number", "level", "node").applyInPandas(_ridge_group(alpha, feats), schema)
+    g = ["booking_number", *keys, "level", "node"]
+
+    def rows(df: DataFrame, zero: bool) -> DataFrame:
+        of = [cal[f] if f in CAL_FEATURES else F.lit(0.0) if zero else F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats]
+        return df.select(*g, "week_start", F.col("y").cast("double").alias("y"), *[c.alias(f) for c, f in zip(of, feats)])
+
+    train, test = _split(panel, windows)
+    model = fit_node_ridge(rows(train, False), g, feats, alpha)
+    x = F.array(*[(F.col(f) - F.col("mu")[i]) / F.col("sd")[i] for i, f in enumerate(feats)])
+    yhat = F.col("ybar") + dot(x, F.col("w"))
+    return (rows(test, exog == "zero").join(model, g, "left")
+            .select(*g, F.col("week_start").alias("ds"), "y", yhat.alias("yhat"), (F.col("y") - yhat).alias("uplift")))
 
 
 def counterfactual_gbt(panel: DataFrame, windows: DataFrame, regressors: DataFrame | None = None, max_iter: int = 20,

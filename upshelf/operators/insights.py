@@ -52,9 +52,9 @@ def dose_col(t: str) -> str:
     return "dose_" + "".join(ch if ch.isalnum() else "_" for ch in t)
 
 
-def campaign_aggregate(weekly: DataFrame, dose_cols: list[str] = ()) -> DataFrame:
-    """Campaign totals and means (A27) including duration in weeks."""
-    return weekly.groupBy("campaign_id").agg(
+def campaign_aggregate(weekly: DataFrame, dose_cols: list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+    """Campaign totals and means (A27) including duration in weeks; ``keys`` (metric, grain) are kept apart."""
+    return weekly.groupBy(*keys, "campaign_id").agg(
         F.sum("uplift").alias("uplift_total"),
         F.sum("n_assets_cov").alias("n_assets_total"),
         F.avg("n_types").alias("n_types_avg"),

@@ -137,6 +137,13 @@ class Campaigns:
             self.base, I.promo(self.spark, self.sf_dir), self.lines("cast"), self.skus, self.windows, self.stores,
             self.p))
 
+    def cohort_panel(self) -> DataFrame:
+        """Six metrics x six levels of the cohort-week totals, for forecasts of whole cohorts."""
+        return CO.cohort_panel(self.cohort_week_totals())
+
+    def compare_cohort(self) -> DataFrame:
+        return FC.counterfactual_mean(self.cohort_panel(), self.windows, keys=("metric",))
+
     def exog_cohort_week(self) -> DataFrame:
         return CO.exog_cohort_week(CO.base_cohort(self.base, self.skus, self.windows, self.stores), self.p)
 

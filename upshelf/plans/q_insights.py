@@ -139,7 +139,7 @@ def _weekly_features(c, grain):
 def q_within_campaign_coefs(spark, sf_dir):
     c = campaigns(spark, sf_dir)
     h, doses = _weekly_features(c, "brand_category")
-    return ML.fit_weekly_within_campaign(spark, h, ML.WEEKLY_BASE + doses, alpha=c.p.ridge_alpha,
+    return ML.fit_weekly_within_campaign(h, ML.WEEKLY_BASE + doses, alpha=c.p.ridge_alpha,
                                          min_weeks=c.p.min_weeks)
 
 
@@ -148,14 +148,14 @@ def q_campaign_coefs(spark, sf_dir):
     c = campaigns(spark, sf_dir)
     h, doses = _weekly_features(c, "brand_category")
     agg = IN.campaign_aggregate(h, doses)
-    return ML.fit_campaign_level(spark, agg, ML.CAMPAIGN_BASE + [f"{d}_avg" for d in doses])
+    return ML.fit_campaign_level(agg, ML.CAMPAIGN_BASE + [f"{d}_avg" for d in doses])
 
 
 @register("top_drivers")
 def q_top_drivers(spark, sf_dir):
     c = campaigns(spark, sf_dir)
     h, doses = _weekly_features(c, "brand_category")
-    coefs = ML.fit_weekly_within_campaign(spark, h, ML.WEEKLY_BASE + doses, alpha=c.p.ridge_alpha)
+    coefs = ML.fit_weekly_within_campaign(h, ML.WEEKLY_BASE + doses, alpha=c.p.ridge_alpha)
     return IN.top_drivers(coefs, k=c.p.top_k)
 
 
@@ -167,7 +167,7 @@ def q_model_grid(spark, sf_dir):
     for g in GRAINS:
         h = c.hypothesis(g).select("campaign_id", "week_start", "uplift", *IN.FILL).withColumn("grain", F.lit(g))
         stacked = h if stacked is None else stacked.unionByName(h)
-    return ML.fit_weekly_within_campaign(spark, stacked, ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
+    return ML.fit_weekly_within_campaign(stacked, ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
                                          min_weeks=c.p.min_weeks, keys=("grain",))
 
 
@@ -177,7 +177,7 @@ def q_scenario_scores(spark, sf_dir):
     c = campaigns(spark, sf_dir)
     h, doses = _weekly_features(c, "brand_category")
     feats = ML.WEEKLY_BASE + doses
-    coefs = ML.fit_weekly_within_campaign(spark, h, feats, alpha=c.p.ridge_alpha)
+    coefs = ML.fit_weekly_within_campaign(h, feats, alpha=c.p.ridge_alpha)
     hh = h.withColumn("woy_sin", F.sin(2 * 3.141592653589793 * F.weekofyear("week_start") / 52.0)) \
           .withColumn("woy_cos", F.cos(2 * 3.141592653589793 * F.weekofyear("week_start") / 52.0))
     sc = hh.select(F.concat_ws("|", "campaign_id", "node", F.col("week_start").cast("string")).alias("scenario_id"),
@@ -193,22 +193,86 @@ def q_campaign_scenario_scores(spark, sf_dir):
     h, doses = _weekly_features(c, "brand_category")
     agg = IN.campaign_aggregate(h, doses)
     feats = ML.CAMPAIGN_BASE + [f"{d}_avg" for d in doses]
-    coefs = ML.fit_campaign_level(spark, agg, feats)
+    coefs = ML.fit_campaign_level(agg, feats)
     sc = agg.select(F.col("campaign_id").alias("scenario_id"),
                     F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
                                         for f in feats])).alias("kv")).select("scenario_id", "kv.feature", "kv.value")
     return ML.score_campaign(sc, coefs)
 
 
-@register("model_grid_full_coefs")
-def q_model_grid_full(spark, sf_dir):
-    """M7 over ten metrics × six grains: 60 within-campaign ridge models from
-    one grouped aggregate of sufficient statistics (one Spark job)."""
-    c = campaigns(spark, sf_dir)
+def _grid(c):
+    """Hypothesis rows of every metric and grain, stacked."""
     stacked = None
     for g in GRAINS:
         h = (c.hypothesis_full(g).select("campaign_id", "metric", "week_start", "uplift", *IN.FILL)
              .withColumn("grain", F.lit(g)))
         stacked = h if stacked is None else stacked.unionByName(h)
-    return ML.fit_weekly_within_campaign(spark, stacked, ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
+    return stacked
+
+
+@register("model_grid_full_coefs")
+def q_model_grid_full(spark, sf_dir):
+    """M7 over ten metrics × six grains: 60 within-campaign ridge models from
+    one grouped aggregate of sufficient statistics (one Spark job)."""
+    c = campaigns(spark, sf_dir)
+    return ML.fit_weekly_within_campaign(_grid(c), ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
                                          min_weeks=c.p.min_weeks, keys=("metric", "grain"))
+
+
+_GRID_AGG = """SELECT metric, grain, campaign_id, sum(uplift) AS uplift_total, sum(n_assets_cov) AS n_assets_total,
+         avg(n_types) AS n_types_avg, avg(esov) AS esov_avg, avg(disc_depth) AS disc_depth_avg, max(is_leader) AS is_leader,
+         count(DISTINCT week_start) AS duration_weeks
+  FROM grid GROUP BY metric, grain, campaign_id"""
+_GRID_R = ["uplift_total", "n_assets_total", "n_types_avg", "esov_avg", "disc_depth_avg"]
+
+
+@register("campaign_aggregate_grid", O.with_(*O.GRID_CTES) + "SELECT metric, grain, campaign_id, "
+          + ", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in _GRID_R) + f", is_leader, duration_weeks FROM ({_GRID_AGG})")
+def q_campaign_aggregate_grid(spark, sf_dir):
+    """D38 / A27 for ten metrics × six grains."""
+    a = IN.campaign_aggregate(_grid(campaigns(spark, sf_dir)), keys=("metric", "grain"))
+    return tidy(a, rounded=_GRID_R)
+
+
+@register("campaign_grid_coefs")
+def q_campaign_grid_coefs(spark, sf_dir):
+    """M3 inside M7: 60 campaign-level models, solved together; tests compare them with NumPy."""
+    return ML.fit_campaign_level(IN.campaign_aggregate(_grid(campaigns(spark, sf_dir)), keys=("metric", "grain")),
+                                 ML.CAMPAIGN_BASE, keys=("metric", "grain"))
+
+
+@register("campaign_grid_slopes", O.with_(*O.GRID_CTES) + f"""SELECT metric, grain, round(regr_slope(uplift_total, n_assets_total), 4) + 0.0 AS slope,
+       round(regr_intercept(uplift_total, n_assets_total), 4) + 0.0 AS intercept FROM ({_GRID_AGG}) WHERE uplift_total IS NOT NULL
+GROUP BY metric, grain HAVING var_pop(n_assets_total) > 1e-12""")
+def q_campaign_grid_slopes(spark, sf_dir):
+    """M3 on one feature for every metric and grain whose campaigns differ in it."""
+    agg = IN.campaign_aggregate(_grid(campaigns(spark, sf_dir)), keys=("metric", "grain"))
+    fit = ML.fit_campaign_level(agg, ["n_assets_total"], keys=("metric", "grain"))
+    of = lambda f: F.max(F.when(F.col("feature") == f, F.col("coef")))
+    spread = agg.where("uplift_total is not null").groupBy("metric", "grain").agg(F.var_pop("n_assets_total").alias("v")).where("v > 1e-12")
+    out = fit.groupBy("metric", "grain").agg(of("n_assets_total").alias("slope"), of("(intercept)").alias("intercept"))
+    return tidy(out.join(spread, ["metric", "grain"], "left_semi"), rounded=["slope", "intercept"], digits=4)
+
+
+_DRIVERS = ["n_assets_cov", "n_types", "disc_depth", "sov", "esov", "running_carto_media"]
+
+
+@register("within_campaign_slopes", W + ", " + O.hypothesis_cte("brand_category") + ", hl AS (\n  "
+          + "\n  UNION ALL ".join(f"SELECT '{d}' AS driver, campaign_id, week_start, uplift, {d} AS x FROM hyp WHERE uplift IS NOT NULL" for d in _DRIVERS)
+          + """), hk AS (SELECT driver, campaign_id FROM hl GROUP BY ALL HAVING count(DISTINCT week_start) >= 2),
+hd AS (SELECT driver, x - avg(x) OVER (PARTITION BY driver, campaign_id) AS x, uplift - avg(uplift) OVER (PARTITION BY driver, campaign_id) AS y
+  FROM hl JOIN hk USING (driver, campaign_id)),
+hs AS (SELECT driver, count(*) AS n, CASE WHEN stddev_pop(x) <= 1e-9 THEN 1.0 ELSE stddev_pop(x) END AS sd, sum(x * y) AS xy, sum(x * x) AS xx,
+         regr_slope(y, x) AS slope FROM hd GROUP BY driver)
+SELECT driver, round(sd, 6) + 0.0 AS scale, round(CASE WHEN sd = 1.0 AND xx < 1e-12 THEN 0.0 ELSE xy / sd / (xx / sd / sd + 10.0) END, 4) + 0.0 AS coef,
+       CASE WHEN xx > 1e-9 THEN round(slope, 4) + 0.0 END AS slope FROM hs""")
+def q_within_campaign_slopes(spark, sf_dir):
+    """M2 one driver at a time: the ridge coefficient on the standardised scale, and the plain slope (no ridge)."""
+    c = campaigns(spark, sf_dir)
+    h = c.hypothesis("brand_category")
+    rows = h.select("campaign_id", "week_start", "uplift", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("driver"), F.col(d).alias("x")) for d in _DRIVERS])))
+    ridge = ML.fit_weekly_within_campaign(rows, ["x"], alpha=c.p.ridge_alpha, min_weeks=c.p.min_weeks, keys=("driver",))
+    plain = ML.within_campaign(rows, ["x"], min_weeks=c.p.min_weeks, keys=("driver",)).select(
+        "driver", F.when(F.col("c_0_0") > 1e-9, F.col("c_0_y") / F.col("c_0_0")).alias("slope"))
+    return tidy(ridge.join(plain, "driver").select("driver", F.round("scale", 6).alias("scale"), "coef", "slope"), rounded=["coef", "slope"], digits=4)

@@ -86,9 +86,38 @@ def q_uplift_grid(spark, sf_dir):
     return tidy(campaigns(spark, sf_dir).grid())
 
 
+_CW = O.with_(*O.COHORT_FORECAST_CTES)
+
+
+@register("counterfactual_cohort", _CW + """SELECT booking_number, metric, level, node, ds, CAST(y AS DOUBLE) AS y,
+       CAST(yhat AS DOUBLE) AS yhat, CAST(uplift AS DOUBLE) AS uplift FROM cf_cmp""")
+def q_counterfactual_cohort(spark, sf_dir):
+    """D24 over the cohort-week totals: six metrics x six levels of every booking."""
+    return tidy(campaigns(spark, sf_dir).compare_cohort())
+
+
+@register("uplift_totals_cohort", _CW + "SELECT booking_number, metric, "
+          + ", ".join(f"CAST(COALESCE(sum(CASE WHEN level = '{lv}' THEN uplift END), 0) AS DOUBLE) AS {c}" for lv, c in
+                      zip(("sku", "brand_category", "brand_subcategory", "brand", "category", "subcategory"), _TOT))
+          + " FROM cf_cmp GROUP BY booking_number, metric")
+def q_uplift_totals_cohort(spark, sf_dir):
+    return tidy(R.uplift_totals(campaigns(spark, sf_dir).compare_cohort(), keys=("booking_number", "metric")))
+
+
+@register("counterfactual_cohort_ridge", _CW + """SELECT booking_number, metric, level, node, ds, y, round(yhat, 4) + 0.0 AS yhat,
+       round(y - yhat, 4) + 0.0 AS uplift FROM cf_ridge""")
+def q_counterfactual_cohort_ridge(spark, sf_dir):
+    """Ridge on two of the cohort's own weekly regressors."""
+    c = campaigns(spark, sf_dir)
+    two = ["discountpercent", "n_competitors"]
+    out = FC.counterfactual_ridge(c.cohort_panel(), c.windows, c.cohort_week_totals().select("booking_number", "week_start", *two),
+                                  keys=("metric",), features=two)
+    return tidy(out, rounded=["yhat", "uplift"], digits=4)
+
+
 @register("counterfactual_ridge")
 def q_counterfactual_ridge(spark, sf_dir):
-    """Ridge learner (grouped map); no SQL oracle, checked by properties in tests."""
+    """Ridge learner with all regressors; tests compare it with a NumPy solve per node."""
     c = campaigns(spark, sf_dir)
     return FC.counterfactual_ridge(c.panel(), c.windows, c.regressors(), alpha=1.0)
 
