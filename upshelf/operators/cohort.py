@@ -61,8 +61,8 @@ def internal_discount_week(base: DataFrame, promo: DataFrame, skus: DataFrame, w
 def cohort_week_totals(base: DataFrame, promo: DataFrame, lines: DataFrame, skus: DataFrame, windows: DataFrame,
                        stores: DataFrame, p: Params = DEFAULT, guard: bool = True) -> DataFrame:
     """One row per (booking, week) with constant hierarchy keys, the
-    regressors and six targets. ``lines``: customer lines with the cast
-    validator (P6), all stores — the global lookback history.
+    regressors and six targets. ``lines``: customer plane with the cast
+    validator (P6), all stores, with weekly columns of ``sku`` and ``brand_subcat``.
 
     ``guard`` applies the exactly-one-brand rule (P22): bookings whose
     promoted SKUs span several brands in scope are skipped (see
@@ -79,14 +79,14 @@ def cohort_week_totals(base: DataFrame, promo: DataFrame, lines: DataFrame, skus
     cohort_sku = C.scoped_lines(lines, skus, windows, stores)
     shop = cohort_sku.where(F.col("customer_id").isNotNull()).groupBy("booking_number", "week_start") \
         .agg(F.count_distinct("customer_id").alias("shoppers"))
-    nsku = C.new_to_week(cohort_sku, "sku", ["week_start"], prefix="new_to_sku", p=p, history=lines)
+    nsku = C.new_to_week(cohort_sku, "sku", ["week_start"], prefix="new_to_sku", p=p)
     pairs = (bc.where(F.col("brand").isNotNull() & (F.trim("brand") != "") & F.col("subcategory").isNotNull()
                       & (F.trim("subcategory") != ""))
              .select("booking_number", "brand", "subcategory").distinct())
     pair_articles = lines.select("article_id", "brand", "subcategory").distinct().join(pairs, ["brand", "subcategory"]) \
         .select("booking_number", "article_id")
     cohort_bs = C.scoped_lines(lines, pair_articles, windows, stores)
-    nbr = C.new_to_week(cohort_bs, "brand_subcat", ["week_start"], prefix="new_to_brand", p=p, history=lines)
+    nbr = C.new_to_week(cohort_bs, "brand_subcat", ["week_start"], prefix="new_to_brand", p=p)
     k = ["booking_number", "week_start"]
     out = (ex.join(dims, "booking_number").join(mcd, k, "left").join(shop, k, "left")
            .join(nsku, k, "left").join(nbr, k, "left"))
@@ -128,25 +128,25 @@ def cohort_panel(totals: DataFrame) -> DataFrame:
             .select("booking_number", "metric", "level", "node", "week_start", "y"))
 
 
-def scoped_slice(base: DataFrame, promo: DataFrame, lines: DataFrame, articles: DataFrame, windows: DataFrame,
+def scoped_slice(base: DataFrame, promo: DataFrame, cl: DataFrame, articles: DataFrame, windows: DataFrame,
                  stores: DataFrame, variant: str = "lag", p: Params = DEFAULT) -> DataFrame:
     """SKU × store × week slice rows of each booking with shoppers (D4),
     new-to-SKU and new-to-brand (D5 ``lag`` / D7 ``first``; brand key =
     brand×subcategory for ``lag_brand_subcat``), internal competitor features
-    (D3), left-joined and zero-filled. ``articles`` is the booking universe."""
+    (D3), left-joined and zero-filled. ``articles`` is the booking universe,
+    ``cl`` its scoped lines of the customer plane."""
     rows = cohort_filter(in_window(base.join(articles, "article_id"), windows), windows, stores)
-    cl = C.scoped_lines(lines, articles, windows, stores)
     grain = C.SKU_GRAIN
     mode = "first" if variant == "first" else "lag"
     shop = C.shoppers(cl, grain)
-    nsku = C.new_to(cl, "sku", grain, mode=mode, prefix="new_to_sku", p=p, history=lines)
+    nsku = C.new_to(cl, "sku", grain, mode=mode, prefix="new_to_sku", p=p)
     if variant == "lag_brand_subcat":
         bgrain = ["week_start", "store_id", "brand", "subcategory"]
-        nbr = C.new_to(cl, "brand_subcat", bgrain, mode="lag", prefix="new_to_brand", p=p, history=lines)
+        nbr = C.new_to(cl, "brand_subcat", bgrain, mode="lag", prefix="new_to_brand", p=p)
         bss = C.shoppers(cl, bgrain, "brand_subcategory_shoppers")
     else:
         bgrain = grain
-        nbr = C.new_to(cl, "brand", grain, mode=mode, prefix="new_to_brand", p=p, history=lines)
+        nbr = C.new_to(cl, "brand", grain, mode=mode, prefix="new_to_brand", p=p)
         bss = None
     ic = internal_features_by_booking(rows, promo)
     k = ["booking_number", *grain]

@@ -14,6 +14,10 @@ window partition is bounded by the number of calendar days, whatever the
 skew of a customer or key. Campaign windows only move the lookback start, so
 per-campaign flags are a column expression on the same plane
 (``prev if prev >= lookback_start``); no per-campaign window is run.
+
+Campaign queries read the *customer plane*: customer lines with the previous
+purchase days of all keys, attached once, before any booking fans the lines
+out, and written in buckets by article (``sources.sinks.materialise``).
 """
 
 from __future__ import annotations
@@ -82,24 +86,51 @@ def purchase_weeks(lines: DataFrame, key: list[str]) -> DataFrame:
                     F.lag("last_d").over(w).alias("prev_last_d")))
 
 
+#: Buckets of a hot article: the plane's bucket key is (article_id, salt).
+SALTS = 8
+
+
+def customer_plane(lines: DataFrame, days: tuple[str, ...] = tuple(KEYS), weeks: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of valid customers, one row per customer, day, store and article,
+    with ``prev_<key>`` (previous purchase day) for every key of ``days`` and
+    ``prevw_<key>`` / ``prevl_<key>`` (previous purchase week and its last day)
+    for those of ``weeks``.
+
+    A day or week is on the join keys, so a customer or key that holds a third
+    of all rows spreads over its days. Rows whose key is null have no previous
+    day. ``salt`` spreads an article over the plane's buckets."""
+    x = (lines.where(F.col("customer_id").isNotNull())
+         .groupBy("customer_id", "d", *SKU_GRAIN, "price_family").agg(F.sum("sales_amount").alias("sales_amount")))
+    out = x
+    for k in days:
+        out = out.join(purchase_days(x, KEYS[k]).withColumnRenamed("prev_d", f"prev_{k}"), ["customer_id", *KEYS[k], "d"], "left")
+    for k in weeks:
+        plane = purchase_weeks(x, KEYS[k]).withColumnRenamed("prev_week", f"prevw_{k}").withColumnRenamed("prev_last_d", f"prevl_{k}")
+        out = out.join(plane, ["customer_id", *KEYS[k], "week_start"], "left")
+    return out.withColumn("salt", F.pmod(F.xxhash64("customer_id"), F.lit(SALTS)).cast("int"))
+
+
 def _in_lookback(prev: Column, lookback_start: Column) -> Column:
     return F.when(prev >= lookback_start, prev)
 
 
-def flag_days(wlines: DataFrame, key: list[str], grain: list[str], mode: str, p: Params = DEFAULT,
+def flag_days(wlines: DataFrame, key_name: str, grain: list[str], mode: str, p: Params = DEFAULT,
               history: DataFrame | None = None) -> DataFrame:
     """Lines of the window (columns min_d, max_d, lookback_start present),
     pre-aggregated to (grain, customer, day) and flagged new or not.
 
     ``history``: the lines the lookback reads (all stores, all campaigns,
-    once); defaults to ``wlines`` for the campaign-free form."""
-    src = wlines if history is None else history
-    plane = purchase_days(src.select("customer_id", *key, "d"), key)
+    once); defaults to ``wlines`` for the campaign-free form. Lines of the
+    customer plane bring the previous day along and join nothing."""
+    key, own = KEYS[key_name], f"prev_{key_name}"
     extra = [c for c in ["booking_number"] if c in wlines.columns and c not in grain]
     cols = list(dict.fromkeys(extra + grain + key + ["min_d", "max_d", "lookback_start"]))
-    inwin = (wlines.where(F.col("customer_id").isNotNull() & F.col("d").between(F.col("min_d"), F.col("max_d")))
-             .groupBy(*cols, "customer_id", "d").agg(F.sum("sales_amount").alias("amount")))
-    j = inwin.join(plane, ["customer_id", *key, "d"], "left")
+    known = [F.min(own).alias("prev_d")] if own in wlines.columns else []
+    j = (wlines.where(F.col("customer_id").isNotNull() & F.col("d").between(F.col("min_d"), F.col("max_d")))
+         .groupBy(*cols, "customer_id", "d").agg(F.sum("sales_amount").alias("amount"), *known))
+    if not known:
+        src = wlines if history is None else history
+        j = j.join(purchase_days(src.select("customer_id", *key, "d"), key), ["customer_id", *key, "d"], "left")
     prev = _in_lookback(F.col("prev_d"), F.col("lookback_start"))
     if mode == "lag":
         new = prev.isNull() | (month_diff(F.col("d"), prev) >= p.new_to_months)
@@ -116,9 +147,8 @@ def new_to(lines_w: DataFrame, key_name: str, grain: list[str], mode: str = "lag
 
     ``lines_w`` are customer lines with window columns attached (see
     ``global_window``); groups are those with at least one valid customer."""
-    key = KEYS[key_name]
     prefix = prefix or f"new_to_{key_name}"
-    f = flag_days(lines_w, key, grain, mode, p, history)
+    f = flag_days(lines_w, key_name, grain, mode, p, history)
     extra = [c for c in ["booking_number"] if c in f.columns and c not in grain]
     return (f.groupBy(*extra, *grain).agg(
         F.count_distinct(F.when(F.col("is_new"), F.col("customer_id"))).alias(f"{prefix}_shoppers_13m"),
@@ -144,12 +174,13 @@ def new_to_week(lines_w: DataFrame, key_name: str, grain: list[str], cohort: Dat
     prefix = prefix or f"new_to_{key_name}"
     cohort = lines_w if cohort is None else cohort
     extra = [c for c in ["booking_number"] if c in cohort.columns and c not in grain]
-    src = lines_w if history is None else history
-    plane = purchase_weeks(src.select("customer_id", *key, "d", "week_start"), key)
-    cw = (cohort.where(F.col("customer_id").isNotNull() & F.col("d").between(F.col("min_d"), F.col("max_d")))
-          .groupBy(*dict.fromkeys(extra + grain + key + ["lookback_start", "customer_id", "week_start"]))
-          .agg(F.sum("sales_amount").alias("amount")))
-    j = cw.join(plane, ["customer_id", *key, "week_start"], "left")
+    known = [F.min(f"prevw_{key_name}").alias("prev_week"), F.min(f"prevl_{key_name}").alias("prev_last_d")] if f"prevw_{key_name}" in cohort.columns else []
+    j = (cohort.where(F.col("customer_id").isNotNull() & F.col("d").between(F.col("min_d"), F.col("max_d")))
+         .groupBy(*dict.fromkeys(extra + grain + key + ["lookback_start", "customer_id", "week_start"]))
+         .agg(F.sum("sales_amount").alias("amount"), *known))
+    if not known:
+        src = lines_w if history is None else history
+        j = j.join(purchase_weeks(src.select("customer_id", *key, "d", "week_start"), key), ["customer_id", *key, "week_start"], "left")
     prev = F.when(F.col("prev_last_d") >= F.col("lookback_start"), F.col("prev_week"))
     new = prev.isNull() | (month_diff(F.col("week_start"), prev) >= p.new_to_months)
     return (j.withColumn("is_new", new).groupBy(*extra, *grain).agg(
@@ -160,9 +191,13 @@ def new_to_week(lines_w: DataFrame, key_name: str, grain: list[str], cohort: Dat
 def scoped_lines(lines: DataFrame, articles: DataFrame, windows: DataFrame, stores: DataFrame | None) -> DataFrame:
     """Campaign lines: articles of each booking (``articles``: booking,
     article_id), inside [min_d, max_d], in the cohort stores (``stores`` None
-    keeps all stores), with the booking's window columns attached."""
+    keeps all stores), with the booking's window columns attached. Lines of
+    the customer plane keep their previous purchase days."""
     from upshelf.operators.scope import cohort_filter
     w = windows.select("booking_number", "min_d", "max_d", "lookback_start")
-    j = (lines.join(articles, "article_id").join(w, "booking_number")
+    on = ["article_id"]
+    if "salt" in lines.columns:                 # the plane's bucket key: the articles, not the lines, are dealt out
+        on, articles = ["article_id", "salt"], articles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = (lines.join(articles, on).drop("salt").join(w, "booking_number")
          .where(F.col("d").between(F.col("min_d"), F.col("max_d"))))
     return j if stores is None else cohort_filter(j, windows, stores)

@@ -104,27 +104,22 @@ def weekly_regressors(slice_rows: DataFrame, weighting: str = "sales", p: Params
 
 
 # The ten counterfactual metrics and the new-to keys behind them.
-NEW_TO_KEYS = {"sku": ["product_number"], "brand": ["brand"], "category": ["category"],
-               "subcategory": ["subcategory"]}
+NEW_TO_KEYS = ["sku", "brand", "category", "subcategory"]
 METRICS = ["sales", "shoppers"] + [f"new_to_{k}_{m}" for k in NEW_TO_KEYS for m in ("sales", "shoppers")]
 
 
-def customer_panel(scoped: DataFrame, history: DataFrame, registry: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def customer_panel(scoped: DataFrame, registry: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """D23/D29 customer metrics per (booking, level, node, week): distinct
     shoppers and new-to-{sku, brand, category, subcategory} shoppers and
-    sales, recomputed at every node from lines (decision 16; never summed
-    over SKUs or stores).
+    sales, recomputed at every node from scoped lines of the customer plane
+    (decision 16; never summed over SKUs or stores).
 
     Distinct counts avoid the Expand blow-up of several conditional
     ``count_distinct``: rows are first reduced to one per customer and node,
     then flags are summed."""
     from upshelf.functions.weeks import month_diff
-    from upshelf.operators.customers import purchase_days
     x = scoped.where(F.col("customer_id").isNotNull())
-    for name, key in NEW_TO_KEYS.items():
-        plane = purchase_days(history.select("customer_id", *key, "d"), key) \
-            .withColumnRenamed("prev_d", f"prev_{name}")
-        x = x.join(plane, ["customer_id", *key, "d"], "left")
+    for name in NEW_TO_KEYS:
         prev = F.when(F.col(f"prev_{name}") >= F.col("lookback_start"), F.col(f"prev_{name}"))
         x = x.withColumn(f"new_{name}", prev.isNull() | (month_diff(F.col("d"), prev) >= p.new_to_months))
     per = (x.groupBy("booking_number", "week_start", "article_id", "brand", "category", "subcategory",

@@ -113,13 +113,19 @@ class Campaigns:
             self.base, self.candidates(), self.windows, sig, members, self.registry()))
         return DY.counterfactual_dynamic(panel, self.windows, sig)
 
+    def plane(self, validator: str = "regex") -> DataFrame:
+        """Customer lines with the previous purchase days of every key: computed once, before bookings fan out."""
+        keys = {"days": tuple(CU.KEYS)} if validator == "regex" else {"days": (), "weeks": ("sku", "brand_subcat")}
+        return self._m(f"plane_{validator}", lambda: CU.customer_plane(self.lines(validator), **keys), bucket_by=["article_id", "salt"])
+
     def scoped_lines(self, mode: str = "wide") -> DataFrame:
-        return CU.scoped_lines(self.lines(), self.candidates(mode), self.windows, self.stores)
+        """Lines of each booking's universe, window and cohort; all customer metrics of the slices and panels read them."""
+        return self._m(f"scoped_{mode}", lambda: CU.scoped_lines(self.plane(), self.candidates(mode), self.windows, self.stores))
 
     def panel_full(self) -> DataFrame:
         """D29 panel: ten metrics per (booking, level, node, week)."""
         return self._m("panel_full", lambda: N.long_panel(
-            self.panel(), N.customer_panel(self.scoped_lines(), self.lines(), self.registry(), self.p)))
+            self.panel(), N.customer_panel(self.scoped_lines(), self.registry(), self.p)))
 
     def compare_full(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel_full(), self.windows, keys=("metric",))
@@ -134,7 +140,7 @@ class Campaigns:
 
     def cohort_week_totals(self) -> DataFrame:
         return self._m("cohort_week_totals", lambda: CO.cohort_week_totals(
-            self.base, I.promo(self.spark, self.sf_dir), self.lines("cast"), self.skus, self.windows, self.stores,
+            self.base, I.promo(self.spark, self.sf_dir), self.plane("cast"), self.skus, self.windows, self.stores,
             self.p))
 
     def cohort_panel(self) -> DataFrame:
@@ -148,7 +154,7 @@ class Campaigns:
         return CO.exog_cohort_week(CO.base_cohort(self.base, self.skus, self.windows, self.stores), self.p)
 
     def scoped_slice(self, variant: str = "lag") -> DataFrame:
-        return CO.scoped_slice(self.base, I.promo(self.spark, self.sf_dir), self.lines(), self.candidates(),
+        return CO.scoped_slice(self.base, I.promo(self.spark, self.sf_dir), self.scoped_lines(), self.candidates(),
                                self.windows, self.stores, variant, self.p)
 
     # ---- insights -------------------------------------------------------

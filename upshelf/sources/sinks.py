@@ -21,9 +21,11 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(spark: SparkSession, df_fn, name: str, key: tuple = (), partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None) -> DataFrame:
+                sort_by: list[str] | None = None, bucket_by: list[str] | None = None) -> DataFrame:
     """Write ``df_fn()`` once per (session, name, key) and return a DataFrame
-    reading the written table."""
+    reading the written table. ``bucket_by`` hashes the rows into as many
+    buckets as the session has shuffle partitions, kept as a table of the
+    session's catalog: joins on these columns then need no exchange of it."""
     app = spark.sparkContext.applicationId
     k = (app, name, key)
     if k not in _MATERIALISED:
@@ -35,9 +37,18 @@ def materialise(spark: SparkSession, df_fn, name: str, key: tuple = (), partitio
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
-        _MATERIALISED[k] = path
-    return spark.read.parquet(_MATERIALISED[k])
+        if bucket_by:
+            table = f"upshelf_{name}_{h}".replace("-", "_")
+            # one file a bucket: rows are dealt to the buckets' tasks before they are written
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            w = df.repartition(n, *bucket_by).write.mode("overwrite").bucketBy(n, *bucket_by).format("parquet").option("path", path)
+            w.saveAsTable(table)
+            _MATERIALISED[k] = f"table:{table}"
+        else:
+            w.parquet(path)
+            _MATERIALISED[k] = path
+    at = _MATERIALISED[k]
+    return spark.table(at.removeprefix("table:")) if at.startswith("table:") else spark.read.parquet(at)
 
 
 def write_weekly_base(base: DataFrame, path: str, partitions: int | None = None) -> None:
