@@ -1,7 +1,9 @@
 """Media exposure (D30, D31), share of voice (D33) and grain projections.
 
-Per-type dose/has columns are kept in long form (``media_type`` rows); a wide
-pivot with an explicit type list happens only at the model edge.
+Per-type doses are data, not columns: long form (``media_type`` rows) or, beside
+the other exposure features, a map from type to dose that is merged at every
+grain. No list of types is needed to name columns; ``insights.dose_columns``
+reads single types out of the map at the model edge.
 """
 
 from __future__ import annotations
@@ -84,6 +86,12 @@ def exposure_doses(media: DataFrame, dim: DataFrame, fleet, weights: DataFrame |
                                                   F.sum(F.col("cov") * F.col("w")).alias("dose"))
 
 
+def dose_maps(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, doses): the doses of equal keys and types summed, as a map sorted by type."""
+    return (long.groupBy(*keys, "media_type").agg(F.sum("dose").alias("dose"))
+            .groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("media_type", "dose")))).alias("doses")))
+
+
 def sov_esov(cal: DataFrame, share: DataFrame, scope: str = "booking") -> DataFrame:
     """sov = brand weight / (week, category) weight; esov = sov - share.
 
@@ -105,7 +113,16 @@ FEATURES = ["running_carto_media", "n_assets_cov", "n_types", "coverage_frac", "
             "exp_weight_brand_cat"]
 
 
+NO_DOSES = F.create_map().cast("map<string,double>")
+
+
 def _roll(df: DataFrame, keys: list[str], sov: str) -> DataFrame:
+    """Exposure rows summed to ``keys``, their dose maps merged type by type."""
+    doses = dose_maps(df.select(*keys, F.explode("doses").alias("media_type", "dose")), keys)
+    return _roll_features(df, keys, sov).join(doses, keys, "left").withColumn("doses", F.coalesce("doses", NO_DOSES))
+
+
+def _roll_features(df: DataFrame, keys: list[str], sov: str) -> DataFrame:
     sov_agg = (F.avg("sov") if sov == "mean" else clip_upper(F.sum("sov"))).alias("sov")
     esov_agg = (F.avg("esov") if sov == "mean" else F.sum("esov")).alias("esov")
     return df.groupBy(*keys).agg(
@@ -115,20 +132,25 @@ def _roll(df: DataFrame, keys: list[str], sov: str) -> DataFrame:
         F.max("is_leader").alias("is_leader"))
 
 
-def exposure_by_grain(bc: DataFrame, promo_dim: DataFrame, grain: str) -> DataFrame:
+def exposure_by_grain(bc: DataFrame, promo_dim: DataFrame, grain: str, doses: DataFrame | None = None) -> DataFrame:
     """Project the brand×category exposure (with sov/esov) to a grain.
 
     brand: sums, sov/esov means; category: sums, sov summed and clipped at 1;
     brand_subcategory: rows repeated per promoted subcategory of the pair and
     sov re-based within (week, subcategory); subcategory: roll-up of that;
-    sku: each promoted article inherits its brand×category row."""
+    sku: each promoted article inherits its brand×category row. ``doses``
+    (long form at brand×category) become a map: summed in roll-ups, inherited
+    otherwise."""
     keep = ["booking_number", "week_start"]
+    out = [*FEATURES, "doses"]
+    bc = (bc.withColumn("doses", NO_DOSES) if doses is None else
+          bc.join(dose_maps(doses, CAL_KEYS), CAL_KEYS, "left").withColumn("doses", F.coalesce("doses", NO_DOSES)))
     if grain == "brand_category":
-        return bc.select(*keep, "brand", "category", *FEATURES)
+        return bc.select(*keep, "brand", "category", *out)
     if grain == "brand":
-        return _roll(bc, keep + ["brand"], "mean").select(*keep, "brand", *FEATURES)
+        return _roll(bc, keep + ["brand"], "mean").select(*keep, "brand", *out)
     if grain == "category":
-        return _roll(bc, keep + ["category"], "sum").select(*keep, "category", *FEATURES)
+        return _roll(bc, keep + ["category"], "sum").select(*keep, "category", *out)
     pairs = promo_dim.select("booking_number", "brand", "category", "subcategory").where(
         F.col("brand").isNotNull() & F.col("category").isNotNull() & F.col("subcategory").isNotNull()).distinct()
     if grain in ("brand_subcategory", "subcategory"):
@@ -136,11 +158,11 @@ def exposure_by_grain(bc: DataFrame, promo_dim: DataFrame, grain: str) -> DataFr
         den = F.sum("exp_weight_brand_cat").over(Window.partitionBy("booking_number", "week_start", "subcategory"))
         bsc = bsc.withColumn("sov", F.when(den > 0, F.col("exp_weight_brand_cat") / den).otherwise(F.lit(0.0)))
         if grain == "brand_subcategory":
-            return bsc.select(*keep, "brand", "subcategory", *FEATURES)
-        return _roll(bsc, keep + ["subcategory"], "sum").select(*keep, "subcategory", *FEATURES)
+            return bsc.select(*keep, "brand", "subcategory", *out)
+        return _roll(bsc, keep + ["subcategory"], "sum").select(*keep, "subcategory", *out)
     if grain == "sku":
         skus = promo_dim.select("booking_number", "article_id", "brand", "category").where(
             F.col("brand").isNotNull() & F.col("category").isNotNull()).distinct()
         return skus.join(bc, ["booking_number", "brand", "category"], "left").select(
-            *keep, "article_id", *FEATURES).where(F.col("week_start").isNotNull())
+            *keep, "article_id", *out).where(F.col("week_start").isNotNull())
     raise ValueError(grain)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from upshelf.functions.keys import parse_node_key
 from upshelf.functions.weeks import calendar_features as cal_cols
-from upshelf.operators.exposure import FEATURES
+from upshelf.operators.exposure import FEATURES, NO_DOSES
 from upshelf.operators.market import DEPTH_KEYS
 
 FILL = FEATURES + ["disc_depth"]
@@ -25,7 +25,7 @@ def compare_keys(compare: DataFrame, level: str) -> DataFrame:
 
 def hypothesis_table(compare: DataFrame, exposure: DataFrame, depth: DataFrame, grain: str) -> DataFrame:
     """Compare rows of a grain ⋈ exposure features ⋈ discount depth,
-    zero-filled; one row per (campaign, node, week)."""
+    zero-filled; one row per (campaign, node, week), with the type doses as a map."""
     keys = DEPTH_KEYS[grain]
     metric = ["metric"] if "metric" in compare.columns else []
     c = compare_keys(compare, grain).select("booking_number", *metric, "level", "node", "week_start", *keys,
@@ -34,18 +34,13 @@ def hypothesis_table(compare: DataFrame, exposure: DataFrame, depth: DataFrame,
          .join(depth, ["week_start", *keys], "left"))
     return x.select(F.col("booking_number").alias("campaign_id"), *metric, "level", "node", "week_start", *keys,
                     "y", "yhat", "uplift",
-                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FILL])
-
-
-def with_doses(table: DataFrame, doses: DataFrame, grain_doses_keys: list[str], types: list[str]) -> DataFrame:
-    """Attach per-type dose columns (``dose_<type>``) with an explicit type list."""
-    piv = (doses.groupBy("booking_number", "week_start", *grain_doses_keys)
-           .pivot("media_type", types).agg(F.sum("dose")))
-    for t in types:
-        piv = piv.withColumnRenamed(t, dose_col(t))
-    j = table.join(piv.withColumnRenamed("booking_number", "campaign_id"),
-                   ["campaign_id", "week_start", *grain_doses_keys], "left")
-    return j.fillna(0.0, subset=[dose_col(t) for t in types])
+                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FILL],
+                    F.coalesce("doses", NO_DOSES).alias("doses"))
+
+
+def dose_columns(table: DataFrame, types: list[str]) -> DataFrame:
+    """One column (``dose_<type>``, missing as 0) per wanted type of the table's dose maps."""
+    return table.select("*", *[F.coalesce(F.col("doses")[t], F.lit(0.0)).alias(dose_col(t)) for t in types])
 
 
 def dose_col(t: str) -> str:

@@ -177,10 +177,18 @@ class Campaigns:
         return self._m("sov_esov", lambda: EX.sov_esov(self.exposure_calendar(), self.share()))
 
     def exposure_by_grain(self, grain: str) -> DataFrame:
-        return EX.exposure_by_grain(self.sov(), self.promo_dim, grain)
+        return EX.exposure_by_grain(self.sov(), self.promo_dim, grain, self.exposure_doses())
 
     def depth(self, grain: str) -> DataFrame:
-        return MK.discount_depth(self.base, grain, self.p)
+        """All six grains come from one written table, that is one pass over the base."""
+        return MK.discount_depth(self._m("depth_sums", lambda: MK.depth_sums(self.base, self.p)), grain, self.p)
+
+    def depth_cohort(self) -> DataFrame:
+        sums = self._m("depth_store_sums", lambda: MK.depth_sums(self.base, self.p, by=("store_id",)))
+        return MK.discount_depth_cohort(sums, self.windows, self.stores, self.p)
+
+    def share_cohort(self) -> DataFrame:
+        return MK.preperiod_share(self.base, self.windows, self.p, self.stores)
 
     def hypothesis_full(self, grain: str) -> DataFrame:
         """D37 for every metric: hypothesis rows with a ``metric`` column."""

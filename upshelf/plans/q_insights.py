@@ -64,9 +64,13 @@ def _grain_entries(g):
     feats = EX.FEATURES
     cols = ["booking_number", "week_start", *keys, *feats]
 
-    @register(f"exposure_by_grain_{g}", W + f"SELECT {_r(cols, EXR)} FROM {O.EG_TABLE[g]}")
+    on = ", ".join(["booking_number", "week_start", *keys])
+
+    @register(f"exposure_by_grain_{g}", W + ", " + O.dose_text_cte(g) + f"""
+SELECT {_r(cols, EXR)}, COALESCE(doses, '') AS doses FROM {O.EG_TABLE[g]} LEFT JOIN dose_text USING ({on})""")
     def q_eg(spark, sf_dir):
-        return tidy(campaigns(spark, sf_dir).exposure_by_grain(g).select(*cols), rounded=EXR)
+        text = F.transform(F.map_entries("doses"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("decimal(18,6)").cast("string")))
+        return tidy(campaigns(spark, sf_dir).exposure_by_grain(g).select(*cols, F.array_join(text, ";").alias("doses")), rounded=EXR)
 
     @register(f"discount_depth_{g}", W + ", " + O.depth_cte(g) + f"""
 SELECT week_start, {", ".join(keys)}, round(disc_depth, 6) AS disc_depth FROM dd""")
@@ -86,6 +90,22 @@ SELECT week_start, {", ".join(keys)}, round(disc_depth, 6) AS disc_depth FROM dd
 for _g in GRAINS:
     _grain_entries(_g)
 
+
+
+@register("discount_depth_cohort", W + " " + O.depth_cohort_sql())
+def q_depth_cohort(spark, sf_dir):
+    """D35 over every booking's cohort stores and campaign weeks, all grains."""
+    return tidy(campaigns(spark, sf_dir).depth_cohort(), rounded=["disc_depth"])
+
+
+@register("preperiod_share_cohort", W + ", " + O.SHARE_COHORT + """
+SELECT booking_number, brand, category, CAST(sales_brand AS DOUBLE) AS sales_brand, CAST(sales_cat AS DOUBLE) AS sales_cat, market_share, is_leader
+FROM cshare""")
+def q_share_cohort(spark, sf_dir):
+    """D32 over every booking's cohort stores (decision 28)."""
+    return tidy(campaigns(spark, sf_dir).share_cohort())
+
+
 _AGG = ["uplift_total", "n_assets_total", "n_types_avg", "esov_avg", "disc_depth_avg", "is_leader", "duration_weeks"]
 
 
@@ -125,14 +145,10 @@ def q_weekly_uplift_export(spark, sf_dir):
 # ---- models (no SQL oracle: NumPy solves on Spark-computed sufficient statistics) ----
 
 def _weekly_features(c, grain):
-    """Hypothesis rows with per-type dose columns (brand×category grain, where
-    doses are native). The type list is the distinct media types — a small
-    vocabulary brought to the driver to name the pivot columns."""
-    h = c.hypothesis(grain)
-    if grain != "brand_category":
-        return h, []
+    """Hypothesis rows with a column per media type. A linear model has a fixed list of features, so the types are
+    read once (one name each)."""
     types = sorted(r[0] for r in c.exposure_doses().select("media_type").distinct().collect())
-    return IN.with_doses(h, c.exposure_doses(), ["brand", "category"], types), [IN.dose_col(t) for t in types]
+    return IN.dose_columns(c.hypothesis(grain), types), [IN.dose_col(t) for t in types]
 
 
 @register("within_campaign_coefs")
