@@ -159,11 +159,12 @@ def test_leader_tie_gives_two_leaders(spark):
 def test_discount_percent_vs_fraction(spark):
     rows = [(D(2024, 1, 3), "A1", Decimal("10"), 20.0), (D(2024, 1, 3), "A1", Decimal("30"), 40.0)]
     base = spark.createDataFrame(rows, "week_start date, article_id string, sales decimal(18,4), discountpercent double")
-    v = MK.discount_depth(base, "sku").first().disc_depth
+    named = lambda df: df.selectExpr("*", "'b' as brand", "'c' as category", "'s' as subcategory")
+    v = MK.discount_depth(MK.depth_sums(named(base)), "sku").first().disc_depth
     assert abs(v - 0.35) < 1e-9
     frac = spark.createDataFrame([(D(2024, 1, 3), "A1", Decimal("10"), 0.2)],
                                  "week_start date, article_id string, sales decimal(18,4), discountpercent double")
-    assert abs(MK.discount_depth(frac, "sku").first().disc_depth - 0.2) < 1e-9
+    assert abs(MK.discount_depth(MK.depth_sums(named(frac)), "sku").first().disc_depth - 0.2) < 1e-9
 
 
 def test_booking_with_two_end_dates_and_one_week_campaign(spark):

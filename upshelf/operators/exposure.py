@@ -113,13 +113,14 @@ FEATURES = ["running_carto_media", "n_assets_cov", "n_types", "coverage_frac", "
             "exp_weight_brand_cat"]
 
 
-NO_DOSES = F.create_map().cast("map<string,double>")
+def no_doses() -> Column:
+    return F.create_map().cast("map<string,double>")
 
 
 def _roll(df: DataFrame, keys: list[str], sov: str) -> DataFrame:
     """Exposure rows summed to ``keys``, their dose maps merged type by type."""
     doses = dose_maps(df.select(*keys, F.explode("doses").alias("media_type", "dose")), keys)
-    return _roll_features(df, keys, sov).join(doses, keys, "left").withColumn("doses", F.coalesce("doses", NO_DOSES))
+    return _roll_features(df, keys, sov).join(doses, keys, "left").withColumn("doses", F.coalesce("doses", no_doses()))
 
 
 def _roll_features(df: DataFrame, keys: list[str], sov: str) -> DataFrame:
@@ -143,8 +144,8 @@ def exposure_by_grain(bc: DataFrame, promo_dim: DataFrame, grain: str, doses: Da
     otherwise."""
     keep = ["booking_number", "week_start"]
     out = [*FEATURES, "doses"]
-    bc = (bc.withColumn("doses", NO_DOSES) if doses is None else
-          bc.join(dose_maps(doses, CAL_KEYS), CAL_KEYS, "left").withColumn("doses", F.coalesce("doses", NO_DOSES)))
+    bc = (bc.withColumn("doses", no_doses()) if doses is None else
+          bc.join(dose_maps(doses, CAL_KEYS), CAL_KEYS, "left").withColumn("doses", F.coalesce("doses", no_doses())))
     if grain == "brand_category":
         return bc.select(*keep, "brand", "category", *out)
     if grain == "brand":

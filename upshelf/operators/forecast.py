@@ -24,6 +24,11 @@ COMPARE_COLS = ["booking_number", "level", "node", "ds", "y", "yhat", "uplift"]
 CAL_FEATURES = ["month_sin", "month_cos", "woy_sin", "woy_cos"]
 
 
+def _node_cols(panel: DataFrame) -> list[str]:
+    """Level, node text and, where the panel carries it, the typed key."""
+    return ["level", "node", *(["key"] if "key" in panel.columns else [])]
+
+
 def _split(panel: DataFrame, windows: DataFrame):
     w = windows.select("booking_number", "min_d", "cutoff_week", "first_week", "last_week")
     j = panel.join(w, "booking_number")
@@ -44,7 +49,7 @@ def counterfactual_mean(panel: DataFrame, windows: DataFrame, keys: tuple[str, .
     yhat is the training mean in micro-units (exact decimal); uplift is then
     exact, so totals and caps do not depend on summation order."""
     train, test = _split(panel, windows)
-    g = ["booking_number", *keys, "level", "node"]
+    g = ["booking_number", *keys, *_node_cols(panel)]
     yhat = train.groupBy(*g).agg(micro(F.sum("y").cast("double") / F.count("y")).alias("yhat"))
     return (test.join(yhat, g, "left")
             .select(*g, F.col("week_start").alias("ds"), "y", "yhat", (F.col("y") - F.col("yhat")).alias("uplift")))
@@ -88,7 +93,7 @@ def counterfactual_ridge(panel: DataFrame, windows: DataFrame, regressors: DataF
         panel = panel.join(regressors, ["booking_number", "week_start"], "left")
     names = ["year", "woy", "dow", "month_sin", "month_cos", "woy_sin", "woy_cos"]
     cal = dict(zip(names, calendar_features("week_start")))
-    g = ["booking_number", *keys, "level", "node"]
+    g = ["booking_number", *keys, *_node_cols(panel)]
 
     def rows(df: DataFrame, zero: bool) -> DataFrame:
         of = [cal[f] if f in CAL_FEATURES else F.lit(0.0) if zero else F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats]
@@ -120,7 +125,7 @@ def counterfactual_gbt(panel: DataFrame, windows: DataFrame, regressors: DataFra
     if regressors is not None:
         panel = panel.join(regressors, ["booking_number", "week_start"], "left")
     train, test = _split(panel, windows)
-    g = ["booking_number", "level", "node"]
+    g = ["booking_number", *_node_cols(panel)]
     nm = train.groupBy(*g).agg(F.avg(F.col("y").cast("double")).alias("node_mean"))
     names = ["year", "woy", "dow", "month_sin", "month_cos", "woy_sin", "woy_cos"]
 

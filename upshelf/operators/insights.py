@@ -6,21 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from upshelf.functions.keys import parse_node_key
 from upshelf.functions.weeks import calendar_features as cal_cols
-from upshelf.operators.exposure import FEATURES, NO_DOSES
+from upshelf.operators.exposure import FEATURES, no_doses
 from upshelf.operators.market import DEPTH_KEYS
 
 FILL = FEATURES + ["disc_depth"]
 
 
 def compare_keys(compare: DataFrame, level: str) -> DataFrame:
-    """compare rows of one level with key columns parsed from the node."""
-    k = parse_node_key("node")
-    return (compare.where(F.col("level") == level).select(
-        "*", k.getField("product_id").alias("article_id"), k.getField("brand").alias("brand"),
-        k.getField("category").alias("category"), k.getField("subcategory").alias("subcategory"))
-        .withColumnRenamed("ds", "week_start"))
+    """Compare rows of one level with the key columns of their typed node key: names may hold any character."""
+    cols = [F.col("key")[f"k{i}"].alias(c) for i, c in enumerate(DEPTH_KEYS[level], 1)]
+    return compare.where(F.col("level") == level).select("*", *cols).withColumnRenamed("ds", "week_start")
 
 
 def hypothesis_table(compare: DataFrame, exposure: DataFrame, depth: DataFrame, grain: str) -> DataFrame:
@@ -35,7 +31,7 @@ def hypothesis_table(compare: DataFrame, exposure: DataFrame, depth: DataFrame,
     return x.select(F.col("booking_number").alias("campaign_id"), *metric, "level", "node", "week_start", *keys,
                     "y", "yhat", "uplift",
                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FILL],
-                    F.coalesce("doses", NO_DOSES).alias("doses"))
+                    F.coalesce("doses", no_doses()).alias("doses"))
 
 
 def dose_columns(table: DataFrame, types: list[str]) -> DataFrame:
@@ -70,20 +66,33 @@ SEASONAL = ["woy_sin", "woy_cos"]
 
 def top_drivers(coefs: DataFrame, k: int = 5, exclude: list[str] = SEASONAL, digits: int = 3) -> DataFrame:
     """D39 (O4 + F29): k largest and k smallest coefficients per model key
-    (seasonality excluded) with a formatted report line."""
+    (seasonality excluded) with a formatted report line. ``ordinal`` numbers
+    the lines of a model: positive drivers first, largest effect first."""
     keys = [c for c in ["model", "metric", "grain"] if c in coefs.columns]
     c = coefs.where(~F.col("feature").isin(*exclude))
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("coef"), "feature"))
     neg = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc("coef"), "feature"))
     r = c.select("*", pos.alias("rank_pos"), neg.alias("rank_neg"))
-    fmt = f"%s (%.{digits}f)"
-    top = r.where(F.col("rank_pos") <= k).select(*keys, F.lit("+").alias("sign"), F.col("rank_pos").alias("rank"),
-                                                  "feature", "coef")
-    bot = r.where(F.col("rank_neg") <= k).select(*keys, F.lit("-").alias("sign"), F.col("rank_neg").alias("rank"),
-                                                 "feature", "coef")
-    out = top.unionByName(bot)
-    return out.withColumn("line", F.concat(F.lit("  "), F.col("sign"), F.lit(" "),
-                                           F.format_string(fmt, F.col("feature"), F.col("coef"))))
+    side = lambda sign, rank, first: r.where(F.col(rank) <= k).select(
+        *keys, F.lit(sign).alias("sign"), F.col(rank).alias("rank"), "feature", "coef", (F.col(rank) + first).alias("ordinal"))
+    out = side("+", "rank_pos", 0).unionByName(side("-", "rank_neg", k))
+    return out.withColumn("line", F.format_string(f"  %s %s (%.{digits}f)", "sign", "feature", "coef"))
+
+
+def driver_report(weekly: DataFrame, campaign: DataFrame, k: int = 3) -> DataFrame:
+    """The lines of a driver report in a fixed order: per metric and grain, each model's title, positive and negative
+    drivers. Columns ``metric, grain, section, ordinal`` are the order, ``line`` the text (see ``sinks.write_lines``)."""
+    both = None
+    for section, (title, coefs) in enumerate((("Weekly", weekly), ("Campaign", campaign))):
+        top = top_drivers(coefs.where(F.col("feature") != "(intercept)"), k)
+        heads = coefs.select("metric", "grain").distinct().select("metric", "grain", F.inline(F.array(
+            F.struct(F.lit(0).alias("ordinal"), F.format_string(f"[%s @ %s] {title} positive drivers:", "metric", "grain").alias("line")),
+            F.struct(F.lit(k + 1).alias("ordinal"), F.format_string(f"[%s @ %s] {title} negative drivers:", "metric", "grain").alias("line")))))
+        # drivers follow their title: positive ones are 1..k, negative ones k + 2 .. 2k + 1
+        rows = top.select("metric", "grain", (F.col("ordinal") + F.when(F.col("sign") == "-", 1).otherwise(0)).alias("ordinal"), "line")
+        part = heads.unionByName(rows).withColumn("section", F.lit(section))
+        both = part if both is None else both.unionByName(part)
+    return both.select("metric", "grain", "section", "ordinal", "line")
 
 
 def weekly_uplift_export(compare: DataFrame) -> DataFrame:

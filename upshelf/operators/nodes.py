@@ -22,6 +22,10 @@ SHARE_REGRESSORS = ["brochure_not_on_brochure", "multibuy_not_on_multibuy"]
 REGRESSORS = NUMERIC_REGRESSORS + SHARE_REGRESSORS
 
 
+# A node in panels and compare rows: its text for reports, and its typed key (k1, k2), which later joins read.
+NODE = ["level", "node", "key"]
+
+
 def _k(level: str, i: int) -> Column:
     keys = LEVEL_KEYS[level]
     return F.col(keys[i]) if i < len(keys) else F.lit("")
@@ -72,14 +76,14 @@ def slice_article_week(slice_rows: DataFrame) -> DataFrame:
 
 
 def weekly_panel(slice_agg: DataFrame, registry: DataFrame, target: str = "sales") -> DataFrame:
-    """Y per (booking, level, node, week) over the booking's slice.
+    """Y per (booking, level, node, key, week) over the booking's slice.
 
     Input is the slice at (booking, week, article) grain, so store detail
     never crosses the six-way expansion and registry join."""
     pre = slice_agg.select(*ARTICLE_WEEK, F.col(target).alias("y"))
-    x = expand_levels(pre, ["y"])
+    x = expand_levels(pre, ["y"]).withColumn("key", F.struct("k1", "k2"))
     return (x.join(registry, ["booking_number", "level", "k1", "k2"])
-            .groupBy("booking_number", "level", "node", "week_start").agg(F.sum("y").alias("y")))
+            .groupBy("booking_number", *NODE, "week_start").agg(F.sum("y").alias("y")))
 
 
 def weekly_regressors(slice_rows: DataFrame, weighting: str = "sales", p: Params = DEFAULT) -> DataFrame:
@@ -128,25 +132,25 @@ def customer_panel(scoped: DataFrame, registry: DataFrame, p: Params = DEFAULT)
                 *[F.sum(F.when(F.col(f"new_{k}"), F.col("sales_amount")).otherwise(F.lit(0))).alias(f"amt_{k}")
                   for k in NEW_TO_KEYS]))
     meas = [f"has_{k}" for k in NEW_TO_KEYS] + [f"amt_{k}" for k in NEW_TO_KEYS] + ["customer_id"]
-    e = expand_levels(per, meas).join(registry, ["booking_number", "level", "k1", "k2"])
-    cust = e.groupBy("booking_number", "level", "node", "week_start", "customer_id").agg(
+    e = expand_levels(per, meas).join(registry, ["booking_number", "level", "k1", "k2"]).withColumn("key", F.struct("k1", "k2"))
+    cust = e.groupBy("booking_number", *NODE, "week_start", "customer_id").agg(
         *[F.max(f"has_{k}").alias(f"has_{k}") for k in NEW_TO_KEYS],
         *[F.sum(f"amt_{k}").alias(f"amt_{k}") for k in NEW_TO_KEYS])
-    return cust.groupBy("booking_number", "level", "node", "week_start").agg(
+    return cust.groupBy("booking_number", *NODE, "week_start").agg(
         F.count(F.lit(1)).alias("shoppers"),
         *[F.sum(f"has_{k}").cast("long").alias(f"new_to_{k}_shoppers") for k in NEW_TO_KEYS],
         *[F.sum(f"amt_{k}").alias(f"new_to_{k}_sales") for k in NEW_TO_KEYS])
 
 
 def long_panel(sales_panel: DataFrame, cust_panel: DataFrame) -> DataFrame:
-    """(booking, metric, level, node, week, y) for the ten metrics. Node-weeks
+    """(booking, metric, level, node, key, week, y) for the ten metrics. Node-weeks
     with sales but no valid customer get 0 for the customer metrics."""
     j = sales_panel.withColumnRenamed("y", "sales").join(
-        cust_panel, ["booking_number", "level", "node", "week_start"], "left")
+        cust_panel, ["booking_number", *NODE, "week_start"], "left")
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"),
                                F.coalesce(F.col(m).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).alias("y"))
                       for m in METRICS])
-    return j.select("booking_number", "level", "node", "week_start", F.inline(pairs))
+    return j.select("booking_number", *NODE, "week_start", F.inline(pairs))
 
 
 def label_mode(df: DataFrame, keys: list[str], label: str, default: str) -> DataFrame:
@@ -184,4 +188,4 @@ def weekly_panel_direct(base: DataFrame, registry: DataFrame, windows: DataFrame
           .groupBy("week_start", "store_id", "level", "k1", "k2").agg(F.sum("y").alias("y")))
     j = lv.join(registry, ["level", "k1", "k2"])
     j = cohort_filter(in_window(j, windows), windows, stores)
-    return j.groupBy("booking_number", "level", "node", "week_start").agg(F.sum("y").alias("y"))
+    return j.withColumn("key", F.struct("k1", "k2")).groupBy("booking_number", *NODE, "week_start").agg(F.sum("y").alias("y"))

@@ -144,13 +144,27 @@ def q_weekly_uplift_export(spark, sf_dir):
 
 # ---- models (no SQL oracle: NumPy solves on Spark-computed sufficient statistics) ----
 
+def _types(c) -> list[str]:
+    """Media types. A linear model has a fixed list of features, so their names are read once (one row each)."""
+    return sorted(r[0] for r in c.exposure_doses().select("media_type").distinct().collect())
+
+
 def _weekly_features(c, grain):
-    """Hypothesis rows with a column per media type. A linear model has a fixed list of features, so the types are
-    read once (one name each)."""
-    types = sorted(r[0] for r in c.exposure_doses().select("media_type").distinct().collect())
+    """Hypothesis rows with a column per media type."""
+    types = _types(c)
     return IN.dose_columns(c.hypothesis(grain), types), [IN.dose_col(t) for t in types]
 
 
+def _grid(c, rows, keys):
+    """(hypothesis rows of every grain stacked, with a column per media type; the names of these columns)."""
+    stacked = None
+    for g in GRAINS:
+        h = rows(g).select("campaign_id", *keys, "week_start", "uplift", *IN.FILL, "doses").withColumn("grain", F.lit(g))
+        stacked = h if stacked is None else stacked.unionByName(h)
+    types = _types(c)
+    return IN.dose_columns(stacked, types), [IN.dose_col(t) for t in types]
+
+
 @register("within_campaign_coefs")
 def q_within_campaign_coefs(spark, sf_dir):
     c = campaigns(spark, sf_dir)
@@ -177,13 +191,10 @@ def q_top_drivers(spark, sf_dir):
 
 @register("model_grid_coefs")
 def q_model_grid(spark, sf_dir):
-    """M7: within-campaign ridge for every grain in one Spark job (grouped Gram sums)."""
+    """M7: within-campaign ridge for every grain in one Spark job (grouped sums), doses included."""
     c = campaigns(spark, sf_dir)
-    stacked = None
-    for g in GRAINS:
-        h = c.hypothesis(g).select("campaign_id", "week_start", "uplift", *IN.FILL).withColumn("grain", F.lit(g))
-        stacked = h if stacked is None else stacked.unionByName(h)
-    return ML.fit_weekly_within_campaign(stacked, ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
+    rows, doses = _grid(c, c.hypothesis, [])
+    return ML.fit_weekly_within_campaign(rows, ML.WEEKLY_BASE + doses, alpha=c.p.ridge_alpha,
                                          min_weeks=c.p.min_weeks, keys=("grain",))
 
 
@@ -216,23 +227,22 @@ def q_campaign_scenario_scores(spark, sf_dir):
     return ML.score_campaign(sc, coefs)
 
 
-def _grid(c):
-    """Hypothesis rows of every metric and grain, stacked."""
-    stacked = None
-    for g in GRAINS:
-        h = (c.hypothesis_full(g).select("campaign_id", "metric", "week_start", "uplift", *IN.FILL)
-             .withColumn("grain", F.lit(g)))
-        stacked = h if stacked is None else stacked.unionByName(h)
-    return stacked
+def _full_weekly(c):
+    rows, doses = _grid(c, c.hypothesis_full, ["metric"])
+    return ML.fit_weekly_within_campaign(rows, ML.WEEKLY_BASE + doses, alpha=c.p.ridge_alpha, min_weeks=c.p.min_weeks, keys=("metric", "grain"))
+
+
+def _full_campaign(c):
+    rows, doses = _grid(c, c.hypothesis_full, ["metric"])
+    agg = IN.campaign_aggregate(rows, doses, keys=("metric", "grain"))
+    return ML.fit_campaign_level(agg, ML.CAMPAIGN_BASE + [f"{d}_avg" for d in doses], keys=("metric", "grain"))
 
 
 @register("model_grid_full_coefs")
 def q_model_grid_full(spark, sf_dir):
     """M7 over ten metrics × six grains: 60 within-campaign ridge models from
     one grouped aggregate of sufficient statistics (one Spark job)."""
-    c = campaigns(spark, sf_dir)
-    return ML.fit_weekly_within_campaign(_grid(c), ML.WEEKLY_BASE, alpha=c.p.ridge_alpha,
-                                         min_weeks=c.p.min_weeks, keys=("metric", "grain"))
+    return _full_weekly(campaigns(spark, sf_dir))
 
 
 _GRID_AGG = """SELECT metric, grain, campaign_id, sum(uplift) AS uplift_total, sum(n_assets_cov) AS n_assets_total,
@@ -246,15 +256,25 @@ _GRID_R = ["uplift_total", "n_assets_total", "n_types_avg", "esov_avg", "disc_de
           + ", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in _GRID_R) + f", is_leader, duration_weeks FROM ({_GRID_AGG})")
 def q_campaign_aggregate_grid(spark, sf_dir):
     """D38 / A27 for ten metrics × six grains."""
-    a = IN.campaign_aggregate(_grid(campaigns(spark, sf_dir)), keys=("metric", "grain"))
+    rows, _ = _grid(campaigns(spark, sf_dir), campaigns(spark, sf_dir).hypothesis_full, ["metric"])
+    a = IN.campaign_aggregate(rows, keys=("metric", "grain"))
     return tidy(a, rounded=_GRID_R)
 
 
 @register("campaign_grid_coefs")
 def q_campaign_grid_coefs(spark, sf_dir):
     """M3 inside M7: 60 campaign-level models, solved together; tests compare them with NumPy."""
-    return ML.fit_campaign_level(IN.campaign_aggregate(_grid(campaigns(spark, sf_dir)), keys=("metric", "grain")),
-                                 ML.CAMPAIGN_BASE, keys=("metric", "grain"))
+    return _full_campaign(campaigns(spark, sf_dir))
+
+
+@register("driver_report")
+def q_driver_report(spark, sf_dir):
+    """O4 + F29 + S16: top three drivers of both models for every metric and grain, written as text in order and read
+    back with the place of every line."""
+    c = campaigns(spark, sf_dir)
+    path = sinks.table_path(spark, f"drivers-{uuid.uuid4().hex}")
+    sinks.write_lines(IN.driver_report(_full_weekly(c), _full_campaign(c)), path, order=["metric", "grain", "section", "ordinal"])
+    return readers.read_lines(spark, path).orderBy("file", "at").select("line")
 
 
 @register("campaign_grid_slopes", O.with_(*O.GRID_CTES) + f"""SELECT metric, grain, round(regr_slope(uplift_total, n_assets_total), 4) + 0.0 AS slope,
@@ -262,7 +282,8 @@ def q_campaign_grid_coefs(spark, sf_dir):
 GROUP BY metric, grain HAVING var_pop(n_assets_total) > 1e-12""")
 def q_campaign_grid_slopes(spark, sf_dir):
     """M3 on one feature for every metric and grain whose campaigns differ in it."""
-    agg = IN.campaign_aggregate(_grid(campaigns(spark, sf_dir)), keys=("metric", "grain"))
+    c = campaigns(spark, sf_dir)
+    agg = IN.campaign_aggregate(_grid(c, c.hypothesis_full, ["metric"])[0], keys=("metric", "grain"))
     fit = ML.fit_campaign_level(agg, ["n_assets_total"], keys=("metric", "grain"))
     of = lambda f: F.max(F.when(F.col("feature") == f, F.col("coef")))
     spread = agg.where("uplift_total is not null").groupBy("metric", "grain").agg(F.var_pop("n_assets_total").alias("v")).where("v > 1e-12")

@@ -58,13 +58,13 @@ def q_node_registry(spark, sf_dir):
 
 @register("weekly_panel_sales", W + "SELECT booking_number, level, node, week_start, CAST(y AS DOUBLE) AS y FROM panel")
 def q_weekly_panel(spark, sf_dir):
-    return tidy(campaigns(spark, sf_dir).panel())
+    return tidy(campaigns(spark, sf_dir).panel().drop("key"))
 
 
 @register("counterfactual_mean", W + """SELECT booking_number, level, node, ds, CAST(y AS DOUBLE) AS y,
        CAST(yhat AS DOUBLE) AS yhat, CAST(uplift AS DOUBLE) AS uplift FROM cmp""")
 def q_counterfactual_mean(spark, sf_dir):
-    return tidy(campaigns(spark, sf_dir).compare())
+    return tidy(campaigns(spark, sf_dir).compare().drop("key"))
 
 
 _TOT = ["promo_sku_total", "brand_category_total", "brand_subcategory_total", "brand_total", "category_total",
@@ -119,14 +119,14 @@ def q_counterfactual_cohort_ridge(spark, sf_dir):
 def q_counterfactual_ridge(spark, sf_dir):
     """Ridge learner with all regressors; tests compare it with a NumPy solve per node."""
     c = campaigns(spark, sf_dir)
-    return FC.counterfactual_ridge(c.panel(), c.windows, c.regressors(), alpha=1.0)
+    return FC.counterfactual_ridge(c.panel(), c.windows, c.regressors(), alpha=1.0).drop("key")
 
 
 @register("counterfactual_full", O.with_(*O.FULL_CTES) + """SELECT booking_number, metric, level, node, ds,
        CAST(y AS DOUBLE) AS y, CAST(yhat AS DOUBLE) AS yhat, CAST(uplift AS DOUBLE) AS uplift FROM fcmp""")
 def q_counterfactual_full(spark, sf_dir):
     """Ten metrics × six levels in one plan."""
-    return tidy(campaigns(spark, sf_dir).compare_full())
+    return tidy(campaigns(spark, sf_dir).compare_full().drop("key"))
 
 
 @register("uplift_totals_full", O.with_(*O.FULL_CTES) + """SELECT booking_number, metric,
@@ -145,11 +145,11 @@ def q_uplift_totals_full(spark, sf_dir):
 def q_counterfactual_gbt(spark, sf_dir):
     """Pooled gradient-boosted-trees learner (MLlib); no SQL oracle."""
     c = campaigns(spark, sf_dir)
-    return FC.counterfactual_gbt(c.panel(), c.windows, c.regressors())
+    return FC.counterfactual_gbt(c.panel(), c.windows, c.regressors()).drop("key")
 
 
-@register("counterfactual_dynamic")
+@register("counterfactual_dynamic", O.with_(*O.CAMPAIGN_CTES, O.DYNAMIC) + """SELECT booking_number, level, node, ds, CAST(y AS DOUBLE) AS y,
+       CAST(yhat AS DOUBLE) AS yhat, CAST(uplift AS DOUBLE) AS uplift FROM dyn_cmp""")
 def q_counterfactual_dynamic(spark, sf_dir):
-    """Mean learner over dynamic (per-week) cohorts; checked in tests against
-    the static result where the store sets coincide and on a micro-frame."""
+    """Mean learner over dynamic (per-week) cohorts."""
     return tidy(campaigns(spark, sf_dir).compare_dynamic())

@@ -82,6 +82,13 @@ def write_report_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_lines(df: DataFrame, path: str, column: str = "line") -> None:
-    """Text lines (one column) in the DataFrame's order."""
-    df.select(column).coalesce(1).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, column: str = "line", order: list[str] | None = None, partitions: int | None = None) -> None:
+    """Text lines (one column). With ``order`` the rows are dealt to the
+    files by ranges of these columns and sorted inside each, so the files in
+    the order of their names hold the lines in order, however many there are.
+    ``readers.read_lines`` reads them back with their place."""
+    if order:
+        df = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    else:
+        df = df.coalesce(1)
+    df.select(column).write.mode("overwrite").text(path)
