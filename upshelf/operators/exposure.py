@@ -56,6 +56,13 @@ def brand_pairs(media: DataFrame, dim: DataFrame) -> DataFrame:
             .select("study_id", "brand", "category").distinct())
 
 
+def asset_counts(media: DataFrame, dim: DataFrame) -> DataFrame:
+    """Per booking the assets, and those without a known article: they have no brand pair and so no exposure."""
+    known = brand_pairs(media, dim).select("study_id").distinct().withColumn("_known", F.lit(1))
+    return (media.select("booking_number", "study_id").join(known, "study_id", "left").groupBy("booking_number")
+            .agg(F.count("study_id").alias("n_assets"), F.count(F.when(F.col("_known").isNull(), 1)).alias("n_unknown_assets")))
+
+
 def _asset_weeks(at: DataFrame, pairs: DataFrame) -> DataFrame:
     return (at.join(pairs, "study_id")
             .withColumn("week_start", F.explode(week_range("media_start_date", "media_end_date"))))

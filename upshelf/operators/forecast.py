@@ -29,10 +29,14 @@ def _node_cols(panel: DataFrame) -> list[str]:
     return ["level", "node", *(["key"] if "key" in panel.columns else [])]
 
 
-def _split(panel: DataFrame, windows: DataFrame):
-    w = windows.select("booking_number", "min_d", "cutoff_week", "first_week", "last_week")
+def _split(panel: DataFrame, windows: DataFrame, cutoff: str = "week"):
+    """(training rows, campaign rows). ``cutoff="week"`` trains before the week of the first media day (decision 3);
+    ``"raw"`` up to the day before it, which lets that week itself in unless it starts with the media."""
+    end = {"week": "cutoff_week", "raw": "train_end_raw"}[cutoff]
+    w = windows.select("booking_number", "min_d", F.col(end).alias("_end"), "first_week", "last_week")
     j = panel.join(w, "booking_number")
-    train = j.where((F.col("week_start") >= F.col("min_d")) & (F.col("week_start") < F.col("cutoff_week")))
+    before = F.col("week_start") < F.col("_end") if cutoff == "week" else F.col("week_start") <= F.col("_end")
+    train = j.where((F.col("week_start") >= F.col("min_d")) & before)
     test = j.where(F.col("week_start").between(F.col("first_week"), F.col("last_week")))
     return train, test
 
@@ -43,12 +47,12 @@ def micro(x):
     return (F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).cast("decimal(38,6)")
 
 
-def counterfactual_mean(panel: DataFrame, windows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def counterfactual_mean(panel: DataFrame, windows: DataFrame, keys: tuple[str, ...] = (), cutoff: str = "week") -> DataFrame:
     """D24 with the ``mean`` learner, D25 uplift = y - yhat.
 
     yhat is the training mean in micro-units (exact decimal); uplift is then
     exact, so totals and caps do not depend on summation order."""
-    train, test = _split(panel, windows)
+    train, test = _split(panel, windows, cutoff)
     g = ["booking_number", *keys, *_node_cols(panel)]
     yhat = train.groupBy(*g).agg(micro(F.sum("y").cast("double") / F.count("y")).alias("yhat"))
     return (test.join(yhat, g, "left")

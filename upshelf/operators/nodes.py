@@ -63,16 +63,8 @@ ARTICLE_WEEK = ["booking_number", "week_start", "article_id", "brand", "category
 
 
 def slice_article_week(slice_rows: DataFrame) -> DataFrame:
-    """Slice rows summed to (booking, week, article hierarchy): sales plus the
-    sales-weighted sums the regressors need (A13/A14), so one pass over the
-    store-grain rows serves both the panel and the regressors."""
-    s = F.col("sales")
-    return slice_rows.groupBy(*ARTICLE_WEEK).agg(
-        F.sum(s).alias("sales"), F.count(F.lit(1)).alias("n_rows"),
-        *[F.sum(F.coalesce(F.col(c), F.lit(0)) * s).alias(f"ws_{c}") for c in NUMERIC_REGRESSORS if c in
-          slice_rows.columns],
-        F.sum(F.when(F.col("brochure") == "Not on brochure", s).otherwise(F.lit(0))).alias("ws_brochure_not_on_brochure"),
-        F.sum(F.when(F.col("multibuy") == "Not on Multibuy", s).otherwise(F.lit(0))).alias("ws_multibuy_not_on_multibuy"))
+    """Slice rows summed to (booking, week, article hierarchy): store detail goes before the six levels are expanded."""
+    return slice_rows.groupBy(*ARTICLE_WEEK).agg(F.sum("sales").alias("sales"))
 
 
 def weekly_panel(slice_agg: DataFrame, registry: DataFrame, target: str = "sales") -> DataFrame:
@@ -99,7 +91,7 @@ def weekly_regressors(slice_rows: DataFrame, weighting: str = "sales", p: Params
         shares = [over(F.when(F.col("brochure") == p.no_brochure_label, F.lit(1)).otherwise(F.lit(0))).alias("brochure_not_on_brochure"),
                   over(F.when(F.col("multibuy") == p.no_multibuy_label, F.lit(1)).otherwise(F.lit(0))).alias("multibuy_not_on_multibuy")]
     else:
-        num = [F.avg(c).alias(c) for c in NUMERIC_REGRESSORS]
+        num = [F.avg(F.col(c).cast("double")).alias(c) for c in NUMERIC_REGRESSORS]
         shares = [F.avg(F.when(F.col("brochure") == p.no_brochure_label, 1.0).otherwise(0.0)).alias(
                       "brochure_not_on_brochure"),
                   F.avg(F.when(F.col("multibuy") == p.no_multibuy_label, 1.0).otherwise(0.0)).alias(

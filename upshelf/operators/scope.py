@@ -102,23 +102,26 @@ def slice_rows(base: DataFrame, universe: DataFrame, windows: DataFrame, stores:
     return cohort_filter(in_window(j, windows), windows, stores)
 
 
-def preflight(base: DataFrame, skus: DataFrame, windows: DataFrame, stores: DataFrame) -> DataFrame:
+def preflight(base: DataFrame, skus: DataFrame, windows: DataFrame, stores: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """D21 + P22: per booking SKU / store counts, distinct non-blank brands in
-    scope, and the skip reason; ``ok`` is the exactly-one-brand guard."""
+    scope, and the skip reason; ``ok`` is the exactly-one-brand guard. A
+    booking over all stores counts the stores that sell its SKUs in its
+    window (A18). ``assets`` (booking, n_assets, n_unknown_assets) is added."""
     n_sku = skus.groupBy("booking_number").agg(F.count(F.lit(1)).alias("n_skus"))
-    n_st = stores.groupBy("booking_number").agg(F.count(F.lit(1)).alias("n_stores"))
-    rows = slice_rows(base.where(F.col("brand").isNotNull() & (F.trim("brand") != "")),
-                      skus, windows, stores)
-    br = rows.groupBy("booking_number").agg(
-        F.count_distinct("brand").alias("n_brands"),
-        F.min("brand").alias("first_brand"))
-    j = (windows.select("booking_number", "all_stores").join(n_sku, "booking_number", "left")
-         .join(n_st, "booking_number", "left").join(br, "booking_number", "left"))
+    n_st = stores.groupBy("booking_number").agg(F.count(F.lit(1)).alias("n_listed"))
+    named = F.when(F.col("brand").isNotNull() & (F.trim("brand") != ""), F.col("brand"))
+    rows = slice_rows(base, skus, windows, stores).select("booking_number", "store_id", named.alias("brand")).distinct()
+    br = rows.groupBy("booking_number").agg(F.count_distinct("brand").alias("n_brands"), F.min("brand").alias("first_brand"))
+    sold = rows.select("booking_number", "store_id").distinct().groupBy("booking_number").agg(F.count(F.lit(1)).alias("n_sold"))
+    j = windows.select("booking_number", "all_stores")
+    for more in (n_sku, n_st, br, sold, assets):
+        j = j if more is None else j.join(more, "booking_number", "left")
     nb = F.coalesce("n_brands", F.lit(0))
     reason = (F.when(F.coalesce("n_skus", F.lit(0)) == 0, "no promo SKUs")
               .when(nb == 0, "no brand in scope")
               .when(nb > 1, F.concat(F.lit("promo SKUs span "), nb.cast("string"), F.lit(" brands"))))
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_assets", "n_unknown_assets") if assets is not None]
     return j.select("booking_number", F.coalesce("n_skus", F.lit(0)).alias("n_skus"),
-                    F.coalesce("n_stores", F.lit(0)).alias("n_stores"), "all_stores",
+                    F.coalesce(F.when(F.col("all_stores"), F.col("n_sold")).otherwise(F.col("n_listed")), F.lit(0)).alias("n_stores"), "all_stores",
                     nb.alias("n_brands"), F.when(nb == 1, F.col("first_brand")).alias("brand"),
-                    reason.alias("skip_reason"), reason.isNull().alias("ok"))
+                    reason.alias("skip_reason"), reason.isNull().alias("ok"), *counted)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from upshelf.operators import base as B
 from upshelf.plans.params import DEFAULT, Params
 from upshelf.sources import fixtures as fx
-from upshelf.sources.sinks import materialise
+from upshelf.sources.sinks import input_version, materialise
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,11 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_base(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
-    """The weekly base, written once per session as a table partitioned by
-    week (the modelled app keeps it as a precomputed table too)."""
+    """The weekly base, written once per session and input as a table partitioned by
+    week and sorted by product and store (the modelled app keeps it as a precomputed table too)."""
     return materialise(spark, lambda: B.weekly_base(tx(spark, sf_dir), comp(spark, sf_dir), promo(spark, sf_dir), p),
-                       "weekly_base", (sf_dir, repr(p)))
+                       "weekly_base", (sf_dir, input_version(spark, sf_dir), repr(p)), partition_by=["week_start"],
+                       range_by=["week_start", "product_number", "store_id"])
 
 
 def weekly_base_lazy(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:

@@ -27,7 +27,7 @@ from upshelf.operators import reconcile as R
 from upshelf.operators import scope as S
 from upshelf.plans import inputs as I
 from upshelf.plans.params import DEFAULT, Params
-from upshelf.sources.sinks import materialise
+from upshelf.sources.sinks import input_version, materialise
 
 
 @dataclass
@@ -35,17 +35,25 @@ class Campaigns:
     spark: SparkSession
     sf_dir: str
     p: Params = DEFAULT
+    version: str = ""
     _memo: dict = field(default_factory=dict)
 
     def _m(self, name: str, fn, **kw) -> DataFrame:
         if name not in self._memo:
-            self._memo[name] = materialise(self.spark, fn, name, (self.sf_dir, repr(self.p)), **kw)
+            self._memo[name] = materialise(self.spark, fn, name, (self.sf_dir, self.version, repr(self.p)), **kw)
         return self._memo[name]
 
     @property
     def base(self) -> DataFrame:
         return I.weekly_base(self.spark, self.sf_dir, self.p)
 
+    @property
+    def window_base(self) -> DataFrame:
+        """The base from the first to the last week of any booking's window: the two bounds are scalars of the plan
+        and prune the base's week partitions before a file is opened."""
+        lo, hi = self.windows.select(F.min("min_d")).scalar(), self.windows.select(F.max("max_d")).scalar()
+        return self.base.where(F.col("week_start").between(lo, hi))
+
     @property
     def media(self) -> DataFrame:
         return self._m("media_master", lambda: M.media_master(I.bookings(self.spark, self.sf_dir), self.p))
@@ -66,18 +74,18 @@ class Campaigns:
 
     @property
     def promo_dim(self) -> DataFrame:
-        return self._m("promo_dim", lambda: S.promo_dim(self.base, self.skus, self.windows))
+        return self._m("promo_dim", lambda: S.promo_dim(self.window_base, self.skus, self.windows))
 
     def universe(self, mode: str = "wide") -> DataFrame:
         return self._m(f"universe_{mode}",
-                       lambda: S.sku_universe(self.base, self.skus, self.windows, mode, self.promo_dim, self.dim))
+                       lambda: S.sku_universe(self.window_base, self.skus, self.windows, mode, self.promo_dim, self.dim))
 
     def candidates(self, mode: str = "wide") -> DataFrame:
         return self._m(f"candidates_{mode}", lambda: S.candidates(self.skus, self.promo_dim, self.dim, mode))
 
     def slice_rows(self, mode: str = "wide") -> DataFrame:
         """Store-grain slice rows (lazy; used where stores matter)."""
-        return S.slice_rows(self.base, self.candidates(mode), self.windows, self.stores)
+        return S.slice_rows(self.window_base, self.candidates(mode), self.windows, self.stores)
 
     def slice_agg(self, mode: str = "wide") -> DataFrame:
         """The slice summed to (booking, week, article hierarchy): store detail
@@ -93,15 +101,23 @@ class Campaigns:
                 self.base, self.registry(), self.windows, self.stores, target, self.candidates()))
         return self._m(f"panel_{target}", lambda: N.weekly_panel(self.slice_agg(), self.registry(), target))
 
+    def regressor_rows(self) -> DataFrame:
+        """Slice rows with the largest discount among the price families of their (booking, week, store, brand, category)."""
+        x = self.slice_rows()
+        ic = CO.internal_features_by_booking(x, I.promo(self.spark, self.sf_dir))
+        k = ["booking_number", "week_start", "store_id", "brand", "category"]
+        c = "max_internal_competitor_discount_percent"
+        return x.join(ic.select(*k, c), k, "left").withColumn(c, F.coalesce(c, F.lit(0.0)))
+
     def regressors(self) -> DataFrame:
         """Sales-weighted regressors per (booking, week) over the slice."""
-        def rows():
-            x = self.slice_rows()
-            ic = CO.internal_features_by_booking(x, I.promo(self.spark, self.sf_dir))
-            k = ["booking_number", "week_start", "store_id", "brand", "category"]
-            c = "max_internal_competitor_discount_percent"
-            return x.join(ic.select(*k, c), k, "left").withColumn(c, F.coalesce(c, F.lit(0.0)))
-        return self._m("regressors", lambda: N.weekly_regressors(rows(), p=self.p))
+        return self._m("regressors", self.weekly_regressors)
+
+    def preflight(self) -> DataFrame:
+        return S.preflight(self.window_base, self.skus, self.windows, self.stores, EX.asset_counts(self.media, self.dim))
+
+    def weekly_regressors(self, weighting: str = "sales") -> DataFrame:
+        return N.weekly_regressors(self.regressor_rows(), weighting, self.p)
 
     def compare(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel(), self.windows)
@@ -110,7 +126,7 @@ class Campaigns:
         """D24 over dynamic cohorts (each week's own treated stores)."""
         sig, members = DY.week_cohorts(self.media, self.windows)
         panel = self._m("panel_dynamic", lambda: DY.dynamic_panel(
-            self.base, self.candidates(), self.windows, sig, members, self.registry()))
+            self.window_base, self.candidates(), self.windows, sig, members, self.registry()))
         return DY.counterfactual_dynamic(panel, self.windows, sig)
 
     def plane(self, validator: str = "regex") -> DataFrame:
@@ -140,7 +156,7 @@ class Campaigns:
 
     def cohort_week_totals(self) -> DataFrame:
         return self._m("cohort_week_totals", lambda: CO.cohort_week_totals(
-            self.base, I.promo(self.spark, self.sf_dir), self.plane("cast"), self.skus, self.windows, self.stores,
+            self.window_base, I.promo(self.spark, self.sf_dir), self.plane("cast"), self.skus, self.windows, self.stores,
             self.p))
 
     def cohort_panel(self) -> DataFrame:
@@ -151,10 +167,10 @@ class Campaigns:
         return FC.counterfactual_mean(self.cohort_panel(), self.windows, keys=("metric",))
 
     def exog_cohort_week(self) -> DataFrame:
-        return CO.exog_cohort_week(CO.base_cohort(self.base, self.skus, self.windows, self.stores), self.p)
+        return CO.exog_cohort_week(CO.base_cohort(self.window_base, self.skus, self.windows, self.stores), self.p)
 
     def scoped_slice(self, variant: str = "lag") -> DataFrame:
-        return CO.scoped_slice(self.base, I.promo(self.spark, self.sf_dir), self.scoped_lines(), self.candidates(),
+        return CO.scoped_slice(self.window_base, I.promo(self.spark, self.sf_dir), self.scoped_lines(), self.candidates(),
                                self.windows, self.stores, variant, self.p)
 
     # ---- insights -------------------------------------------------------
@@ -203,7 +219,8 @@ _CACHE: dict = {}
 
 
 def campaigns(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> Campaigns:
-    key = (spark.sparkContext.applicationId, sf_dir, repr(p))
+    version = input_version(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, version, repr(p))
     if key not in _CACHE:
-        _CACHE[key] = Campaigns(spark, sf_dir, p)
+        _CACHE[key] = Campaigns(spark, sf_dir, p, version)
     return _CACHE[key]

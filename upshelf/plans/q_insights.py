@@ -33,6 +33,19 @@ def q_exposure_calendar(spark, sf_dir):
     return tidy(campaigns(spark, sf_dir).exposure_calendar(), rounded=EXR)
 
 
+@register("exposure_calendar_weighted", W + """, xw AS (
+  SELECT booking_number, week_start, brand, category, cov, len(types) AS k,
+         list_sum(list_transform(types, lambda t: CASE t WHEN 'aisle fin' THEN 2.0 WHEN 'bus stop' THEN 1.25 ELSE 0.5 END)) AS w FROM ex_rows)
+SELECT booking_number, week_start, brand, category, round(sum(cov), 6) AS n_assets_cov, CAST(sum(k) AS DOUBLE) AS n_types, 1.0 AS running_carto_media,
+       round(CASE WHEN sum(cov) > 1 THEN 1.0 ELSE sum(cov) END, 6) AS coverage_frac, round(sum(w * cov), 6) AS exp_weight_brand_cat
+FROM xw GROUP BY booking_number, week_start, brand, category""")
+def q_exposure_calendar_weighted(spark, sf_dir):
+    """Exposure weighted by media type, with a default for all others."""
+    c = campaigns(spark, sf_dir)
+    weights = readers.type_weights(spark, {"Aisle Fin": 2.0, "bus stop": 1.25, "_default_": 0.5})
+    return tidy(EX.exposure_calendar(c.media, c.dim, EX.fleet_size(c.base), weights, c.p), rounded=EXR)
+
+
 @register("exposure_doses", W + "SELECT booking_number, week_start, brand, category, media_type, has, "
           "round(dose, 6) AS dose FROM exdose")
 def q_exposure_doses(spark, sf_dir):

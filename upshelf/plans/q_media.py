@@ -38,6 +38,13 @@ def q_booking_skus(spark, sf_dir):
     return M.booking_skus(media(spark, sf_dir))
 
 
+@register("campaign_windows_weeks", O.with_(*O.SCOPE_CTES) + f"""SELECT booking_number, media_start, media_end, train_end_raw, cutoff_week,
+       first_week, last_week, {O.wed('(media_start - 728)')} AS min_d, max_d, all_stores, {O.wed('(media_start - 728)')} - 400 AS lookback_start FROM bk_win""")
+def q_campaign_windows_weeks(spark, sf_dir):
+    """The pull window of 104 weeks."""
+    return tidy(M.campaign_windows(media(spark, sf_dir), pull="weeks"))
+
+
 @register("booking_stores", O.with_(*O.SCOPE_CTES) + "SELECT * FROM bk_stores")
 def q_booking_stores(spark, sf_dir):
     return M.booking_stores(media(spark, sf_dir))

@@ -38,17 +38,21 @@ def q_universe_narrow(spark, sf_dir):
   GROUP BY booking_number)
 SELECT w.booking_number,
        COALESCE((SELECT count(*) FROM bk_skus k WHERE k.booking_number = w.booking_number), 0) AS n_skus,
-       COALESCE((SELECT count(*) FROM bk_stores k WHERE k.booking_number = w.booking_number), 0) AS n_stores,
+       CASE WHEN w.all_stores THEN COALESCE((SELECT count(DISTINCT store_id) FROM sl WHERE sl.booking_number = w.booking_number
+              AND sl.article_id IN (SELECT article_id FROM bk_skus k WHERE k.booking_number = w.booking_number)), 0)
+            ELSE COALESCE((SELECT count(*) FROM bk_stores k WHERE k.booking_number = w.booking_number), 0) END AS n_stores,
        w.all_stores, COALESCE(b.n_brands, 0) AS n_brands,
        CASE WHEN COALESCE(b.n_brands, 0) = 1 THEN b.first_brand END AS brand,
        CASE WHEN (SELECT count(*) FROM bk_skus k WHERE k.booking_number = w.booking_number) = 0 THEN 'no promo SKUs'
             WHEN COALESCE(b.n_brands, 0) = 0 THEN 'no brand in scope'
             WHEN b.n_brands > 1 THEN 'promo SKUs span ' || CAST(b.n_brands AS VARCHAR) || ' brands' END AS skip_reason,
-       COALESCE(b.n_brands, 0) = 1 AS ok
+       COALESCE(b.n_brands, 0) = 1 AS ok,
+       (SELECT count(*) FROM media_master m WHERE m.booking_number = w.booking_number) AS n_assets,
+       (SELECT count(*) FROM media_master m WHERE m.booking_number = w.booking_number AND NOT EXISTS (
+          SELECT 1 FROM base d WHERE list_contains(string_split(m.sorted_sku_list, ','), d.article_id) AND d.brand IS NOT NULL AND d.category IS NOT NULL)) AS n_unknown_assets
 FROM bk_win w LEFT JOIN pf_br b ON b.booking_number = w.booking_number""")
 def q_preflight(spark, sf_dir):
-    c = campaigns(spark, sf_dir)
-    return tidy(S.preflight(c.base, c.skus, c.windows, c.stores))
+    return tidy(campaigns(spark, sf_dir).preflight())
 
 
 @register("node_registry", W + "SELECT booking_number, level, node FROM reg")
@@ -67,6 +71,50 @@ def q_counterfactual_mean(spark, sf_dir):
     return tidy(campaigns(spark, sf_dir).compare().drop("key"))
 
 
+@register("counterfactual_mean_raw", W + f""", rw_yh AS (
+  SELECT p.booking_number, p.level, p.node, CAST(floor(CAST(sum(p.y) AS DOUBLE) / count(p.y) * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE))
+              / CAST(1000000 AS DOUBLE) AS DECIMAL(38,6)) AS yhat
+  FROM panel p JOIN bk_win w ON w.booking_number = p.booking_number
+  WHERE p.week_start >= w.min_d AND p.week_start <= w.train_end_raw GROUP BY p.booking_number, p.level, p.node)
+SELECT c.booking_number, c.level, c.node, c.ds, CAST(c.y AS DOUBLE) AS y, CAST(h.yhat AS DOUBLE) AS yhat, CAST(c.y - h.yhat AS DOUBLE) AS uplift
+FROM cmp c LEFT JOIN rw_yh h ON h.booking_number = c.booking_number AND h.level = c.level AND h.node = c.node""")
+def q_counterfactual_mean_raw(spark, sf_dir):
+    """Trained up to the day before the media start."""
+    c = campaigns(spark, sf_dir)
+    return tidy(FC.counterfactual_mean(c.panel(), c.windows, cutoff="raw").drop("key"))
+
+
+_NUM = N.NUMERIC_REGRESSORS
+_WR = O.with_(*O.slice_ctes("lag"), """wr AS (
+  SELECT r.*, COALESCE(i.max_internal_competitor_discount_percent, 0.0) AS max_internal_competitor_discount_percent
+  FROM ss_rows r LEFT JOIN ss_ic i ON i.booking_number = r.booking_number AND i.week_start = r.week_start
+   AND i.store_id = r.store_id AND i.brand = r.brand AND i.category = r.category)""")
+
+
+def _label(col, value, weight):
+    return f"sum(CASE WHEN {col} = '{value}' THEN {weight} ELSE 0 END)"
+
+
+@register("weekly_regressors", _WR + "SELECT booking_number, week_start, "
+          + ", ".join(f"round(sum(COALESCE({c}, 0) * CAST(sales AS DOUBLE)) / NULLIF(CAST(sum(sales) AS DOUBLE), 0), 5) + 0.0 AS {c}" for c in _NUM)
+          + ", " + ", ".join(f"round({_label(col, v, 'CAST(sales AS DOUBLE)')} / NULLIF(CAST(sum(sales) AS DOUBLE), 0), 5) + 0.0 AS {n}" for col, v, n in (
+              ("brochure", "Not on brochure", "brochure_not_on_brochure"), ("multibuy", "Not on Multibuy", "multibuy_not_on_multibuy")))
+          + " FROM wr GROUP BY booking_number, week_start")
+def q_weekly_regressors(spark, sf_dir):
+    """The regressors of the wide slice, weighted by sales."""
+    return tidy(campaigns(spark, sf_dir).weekly_regressors(), rounded=N.REGRESSORS, digits=5)
+
+
+@register("weekly_regressors_mean", _WR + "SELECT booking_number, week_start, "
+          + ", ".join(f"round(avg(CAST({c} AS DOUBLE)), 9) + 0.0 AS {c}" for c in _NUM)
+          + ", " + ", ".join(f"round({_label(col, v, '1.0')} / count(*), 9) + 0.0 AS {n}" for col, v, n in (
+              ("brochure", "Not on brochure", "brochure_not_on_brochure"), ("multibuy", "Not on Multibuy", "multibuy_not_on_multibuy")))
+          + " FROM wr GROUP BY booking_number, week_start")
+def q_weekly_regressors_mean(spark, sf_dir):
+    """The unweighted row means."""
+    return tidy(campaigns(spark, sf_dir).weekly_regressors("mean"), rounded=N.REGRESSORS, digits=9)
+
+
 _TOT = ["promo_sku_total", "brand_category_total", "brand_subcategory_total", "brand_total", "category_total",
         "subcategory_total"]
 

@@ -13,55 +13,57 @@ from pyspark.sql import DataFrame, SparkSession
 
 from upshelf.session import ensure_checkpoint_dir
 
-_MATERIALISED: dict[tuple, str] = {}
+_MATERIALISED: dict[tuple, tuple] = {}
 
 
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/upshelf/{name}"
 
 
+def input_version(spark: SparkSession, folder: str) -> str:
+    """A short hash of the names, lengths and times of the files below ``folder``: tables written from rewritten
+    inputs get names of their own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:12]
+
+
 def materialise(spark: SparkSession, df_fn, name: str, key: tuple = (), partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None, bucket_by: list[str] | None = None) -> DataFrame:
+                range_by: list[str] | None = None, bucket_by: list[str] | None = None) -> DataFrame:
     """Write ``df_fn()`` once per (session, name, key) and return a DataFrame
-    reading the written table. ``bucket_by`` hashes the rows into as many
-    buckets as the session has shuffle partitions, kept as a table of the
-    session's catalog: joins on these columns then need no exchange of it."""
-    app = spark.sparkContext.applicationId
-    k = (app, name, key)
+    reading the written table.
+
+    ``range_by`` deals the rows to the tasks by ranges of these columns (a
+    sample sets the ranges, so a heavy value is split over tasks) and sorts
+    them; with ``partition_by`` each task then writes few folders.
+    ``bucket_by`` hashes the rows into as many buckets as the session has
+    shuffle partitions, kept as a table of the session's catalog: joins on
+    these columns then need no exchange of it."""
+    k = (spark.sparkContext.applicationId, name, key)
     if k not in _MATERIALISED:
         h = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
         path = table_path(spark, f"{name}-{h}")
         df = df_fn()
-        if sort_by:
-            df = df.sortWithinPartitions(*sort_by)
-        w = df.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
+        schema = df.schema
+        if range_by:
+            df = df.repartitionByRange(*range_by).sortWithinPartitions(*range_by)
         if bucket_by:
             table = f"upshelf_{name}_{h}".replace("-", "_")
             # one file a bucket: rows are dealt to the buckets' tasks before they are written
             n = int(spark.conf.get("spark.sql.shuffle.partitions"))
             w = df.repartition(n, *bucket_by).write.mode("overwrite").bucketBy(n, *bucket_by).format("parquet").option("path", path)
             w.saveAsTable(table)
-            _MATERIALISED[k] = f"table:{table}"
+            _MATERIALISED[k] = (table, None)
         else:
-            w.parquet(path)
-            _MATERIALISED[k] = path
-    at = _MATERIALISED[k]
-    return spark.table(at.removeprefix("table:")) if at.startswith("table:") else spark.read.parquet(at)
-
-
-def write_weekly_base(base: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Weekly base partitioned by week, clustered by product and store.
-
-    Range partitioning on (week, product, store) samples the data, so tasks
-    get equal-sized slices: a heavy week is split over many tasks (one week
-    in one task would not survive 100 TB), while each task still writes few
-    week folders with rows sorted by product and store (min/max skipping)."""
-    b = (base.repartitionByRange(partitions, "week_start", "product_number", "store_id") if partitions
-         else base.repartitionByRange("week_start", "product_number", "store_id"))
-    (b.sortWithinPartitions("week_start", "product_number", "store_id")
-     .write.mode("overwrite").partitionBy("week_start").parquet(path))
+            w = df.write.mode("overwrite")
+            (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+            _MATERIALISED[k] = (path, schema)
+    at, schema = _MATERIALISED[k]
+    return spark.table(at) if schema is None else spark.read.schema(schema).parquet(at)
 
 
 def write_table(df: DataFrame, name: str) -> None:
@@ -69,6 +71,13 @@ def write_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
+def write_weekly_base(base: DataFrame, path: str) -> None:
+    """The weekly base partitioned by week, rows in ranges of (week, product, store): tasks get equal shares, so a
+    heavy week is split over many tasks, and rows are sorted for min/max skipping."""
+    cols = ["week_start", "product_number", "store_id"]
+    base.repartitionByRange(*cols).sortWithinPartitions(*cols).write.mode("overwrite").partitionBy("week_start").parquet(path)
+
+
 def write_compare(compare: DataFrame, path: str) -> None:
     """One dataset of compare rows partitioned by campaign / metric / grain
     (instead of one file per combination)."""
