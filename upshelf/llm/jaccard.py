@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upshelf.llm import shingles
-from upshelf.llm.common import components, forget, pick, small_batches, written
+from upshelf.llm.common import components, forget, pick, release, small_batches, written
 
 #: Buckets of the corpus count and bits of the candidate filter: fixed, so what is sent to all tasks has a fixed size.
 BUCKETS, FILTER_BITS = 1 << 16, 1 << 22
@@ -231,20 +231,26 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     reps = written(card.where("doc_id is not null and n > 0").groupBy("key")
                    .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
                         F.first("prefix").alias("prefix")), "jaccard-reps")
+    release(spark)
     post = _posts(reps, num, den)
     pivot = (post.groupBy("token", "band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c"))
              .where("c > 1").select("token", "band", F.col("p.rep").alias("a"), F.col("p.n").alias("na")))
-    star = (post.join(pivot, ["token", "band"]).where("rep <> a").where(_sizes("n", "na", num, den))
+    # tiles of one member hold no pair: only the others are written, for both passes
+    tiles = written(post.join(pivot, ["token", "band"]), "jaccard-tiles")
+    release(spark)
+    star = (tiles.where("rep <> a").where(_sizes("n", "na", num, den))
             .groupBy("rep", "a").agg(F.count("*").alias("c"))
             .groupBy(F.col("rep").alias("b")).agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("p"))
             .select((-F.col("p.a")).alias("a"), "b"))
     links = verified(star, reps, docs, k, num, den)
+    release(spark)
     so_far = components(links, "jaccard-cc1")
-    rooted = (reps.join(so_far, reps.rep == so_far.node, "left")
-              .select("rep", "n", "prefix", F.coalesce("component", "rep").alias("root")))
-    across, shared = _crossing(_posts(rooted, num, den, "root"), reps, num, den)
+    rooted = (tiles.join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left")
+              .select("token", "band", "rep", "n", F.coalesce("component", "rep").alias("root")))
+    across, shared = _crossing(rooted, reps, num, den)
     more = verified(across, reps, docs, k, num, den)
-    forget(shared)
+    forget(shared, tiles)
+    release(spark)
     comp = components(links.union(more), "jaccard-cc2")
     named = (reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left")
              .select("key", F.coalesce("component", "rep").alias("component_id")))
