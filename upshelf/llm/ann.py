@@ -15,8 +15,9 @@ No true neighbour is lost: pruning uses proven bounds only. Heaps are carried
 over the tiles of a slice of candidate blocks; a window merges the slices.
 
 Rules: vectors null, empty, all zero, or holding a null or non-finite component
-take no part; null ids neither. Rows that repeat id and vector count once. A
-query never returns its own id. Vectors of different length never meet. Ties
+take no part; null ids neither. Rows that repeat id and vector count once; the
+different vectors of one query id are one query with the best of all. A query never
+returns its own id. Vectors of different length never meet. Ties
 go to the smaller id. Fewer than k candidates: all of them. Empty table: no rows."""
 
 from __future__ import annotations
@@ -76,11 +77,12 @@ def _tile(q: _Block, c: _Block, dim: int, k: int, heaps: list) -> int:
     err += 1e-12 * (q.norm[:, None] * c.norm[None, :])  # rounding of the bounds themselves
     own = q.ids[:, None] == c.ids[None, :]
     low = np.where(own, -np.inf, approx - err)
+    low[np.isnan(low)] = -np.inf                        # beyond the range of doubles nothing is known
     high = approx + err
     floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
     if low.shape[1] >= k:
         floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
-    qi, ci = np.nonzero((high >= floor[:, None]) & ~own)
+    qi, ci = np.nonzero(~(high < floor[:, None]) & ~own)
     for a in range(0, len(qi), 65536):
         i, j = qi[a:a + 65536], ci[a:a + 65536]
         # added up left to right, so equal vectors score equally wherever they stand

@@ -1,8 +1,8 @@
 """Operator 5 [native]: line deduplication by an exact set-similarity join.
 
 A line's tokens are its distinct words, A-Z lower-cased. Every token has a code
-that sorts by rarity first (the corpus counts of a fixed number of commonest
-words, laid out in hash buckets; all other words are rare) and by hash then; a line is the sorted array of its codes. Lines of equal sets
+that sorts by rarity first (the corpus counts of a fixed number of hash buckets
+of words, the fullest ones; words of the others are rare) and by hash then; a line is the sorted array of its codes. Lines of equal sets
 are one class. Classes of Jaccard similarity ``num / den`` or more are found by
 
 * prefix: they share one of their ``n - ceil(t*n) + 1`` rarest tokens;
@@ -12,11 +12,11 @@ are one class. Classes of Jaccard similarity ``num / den`` or more are found by
 * verification of the candidates on their whole sets.
 
 A line is removed if an earlier line (by doc_id, then line number) equals or
-matches it. Prefix tokens among the commonest words are met in two steps:
+matches it. Prefix tokens in the fullest buckets are met in two steps:
 every line of such a token is first compared with the token's earliest line, which removes the
 members of a group of near copies; then only lines still there are compared
-with all earlier ones. Lines below ``least`` distinct tokens are not compared;
-the query and the pipeline take all from one token up. Sets too small to match
+with all earlier ones. Lines below ``least`` distinct tokens (default: one) are
+not compared. Sets too small to match
 any but an equal one (up to three tokens at 0.8) need their class key alone. A
 line written without blanks is one token: its repeats are found, near repeats not.
 
@@ -46,7 +46,6 @@ from upshelf.llm.common import forget, odd_ids, release, written
 from upshelf.llm.linkrank import LOWER, UPPER
 
 FREQUENT, BUCKETS, FILTER_BITS, HOT = 1 << 15, 1 << 17, 1 << 22, 32
-LEAST = 5       # of direct calls that name no other; digests and the pipeline compare every line
 XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
@@ -60,15 +59,13 @@ def _fixed(values: list[int], kind: str) -> Column:
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """Class of every bucket: 0, or by the count of the most frequent of the FREQUENT commonest words in it.
-
-    Words are counted exactly and over all lines; only the commonest leave the count."""
-    rows = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
+    """Class of every bucket of word hashes: by the words that fall in it over all lines for the FREQUENT fullest
+    buckets, 0 for the rest. At most BUCKETS counts reach the driver, whatever the vocabulary."""
+    rows = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b"))
+            .agg(F.count("*").alias("n")).collect())
     out = [0] * BUCKETS
-    for r in rows:
-        b = r.h & (BUCKETS - 1)
-        out[b] = max(out[b], min(63, 1 + int(1.5 * math.log2(r.n))))
+    for r in sorted(rows, key=lambda r: (-r.n, r.b))[:FREQUENT]:
+        out[r.b] = min(63, 1 + int(1.5 * math.log2(r.n)))
     return _fixed(out, "int")
 
 
@@ -130,7 +127,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den
     return hit
 
 
-def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
+def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> DataFrame:
     """(doc_id, line_no) of every line to remove, each once, as a written table."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))   # plans hold constant arrays: keep their text short
@@ -200,7 +197,7 @@ def _numbered(rows: DataFrame, nulls: bool) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST, nulls: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1, nulls: bool = False) -> DataFrame:
     """The documents with their columns, text without the removed lines, and n_lines, n_removed.
 
     Only documents that may lose a line meet the table of removed lines."""
@@ -219,7 +216,7 @@ def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = LEAST, nulls
     rows = rows.withColumn("n_removed", F.size("out").cast("long")).withColumn("n_lines", F.size(split).cast("long"))
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("out", i)), "\n")
     text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("in_text"))
-    return rows.select(*[(text if c == "text" else F.col(f"in_{c}")).alias(c) for c in own],
+    return rows.select(*[(text if c == "text" else F.col(f"`in_{c}`")).alias(c) for c in own],
                        *[c for c in ("n_lines", "n_removed") if c not in own])
 
 
