@@ -20,7 +20,7 @@ from upshelf.llm.queries import RULES
 
 SF = "/root/testdata/sf0.001"
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
-ODD = ["", "a  b \n c\n\n  d", "  lead", "tail  ", "x \t y", "日本語テキスト 🙂🙂", "it's we'll THEY'RE 12345 x²½", "a  b　c", "<|endoftext|> z", "é ‍ \x1c \x85 q"]
+ODD = ["", "a  b \n c\n\n  d", "  lead", "tail  ", "x \t y", "日本語テキスト 🙂🙂", "it's we'll THEY'RE 12345 x²½", "a  b　c", "<|endoftext|> z", "a<|endoftext|>b", "x\U0001355ey 1", "\U000116de2", "z \U000136db", "\U0001e5e2 q", "é ‍ \x1c \x85 q"]
 
 
 @pytest.mark.parametrize("key", sorted(k for k in E.oracle_sql() if k.startswith("op")))
@@ -64,7 +64,6 @@ def test_bpe_offsets_and_decoding(spark):
 
 def test_frames(spark, docs, empty):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     table = _tables(spark, docs)
     folder = scratch(spark, "t")
     files = frames.write(table, JSON, folder, partitions=3)
@@ -210,6 +209,24 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.run(spark, SF).count() == d.count()
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, docs):
+    odd = docs.withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit("xx")).withColumn("n_removed", F.lit(0)).withColumn("a.b", F.lit(1)).withColumn("prob", F.lit("p"))
+    d = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, SF)
+        assert d.columns == odd.columns
+    rows = d.select("score", "lang_pred", "n_removed", "`a.b`", "prob").distinct().collect()
+    assert [tuple(r) for r in rows] == [(7, "xx", 0, 1, "p")]
+    lost = spark.createDataFrame([(1, "one line of words", 0), (2, "one line of words", 0)], "doc_id long, text string, n_removed long")
+    assert [r.doc_id for r in corpus_pipeline.lines(spark, lost.withColumn("lang", F.lit("en")), SF).collect()] == [1]
+
+
+def test_language_of_one_repeated_id(spark):
+    rows = [(1, f"words of text number {i % 3}", "en") for i in range(3000)] + [(i, f"des mots du texte {i}", "fr") for i in range(2, 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(table).langs == ["en", "fr"] and langid.identify(table).count() == len(rows)
+
+
 def test_pipeline_empty(spark, empty):
     d = empty
     for name, stage in corpus_pipeline.STAGES:

@@ -5,7 +5,8 @@ gives back bytes (and text) from ids through the reversed byte table, so a
 character split over tokens comes back whole once its last byte is there.
 
 Rules: null text counts as empty and has no tokens; every row of the input
-gives one row, repeated ids too; ids outside the vocabulary decode to nothing;
+gives one row, repeated ids too; a tokenizer file's special tokens are found in
+texts as the library's own ``encode`` does, a rank file has none; ids outside the vocabulary decode to nothing;
 bytes that are no UTF-8 show as U+FFFD in ``text`` and stay in ``bytes``."""
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ def coder(path: str) -> tuple[Pieces, list[bytes], np.ndarray]:
     if path.endswith(".json"):
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
     else:
         tok = tokenizer_of_ranks(rank_file(path))
     pieces = Pieces(tok)

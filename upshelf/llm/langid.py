@@ -12,7 +12,8 @@ Training order and start weights are fixed, so a table always gives one model.
 
 Rules: null text or text without a letter is ``und`` with score 0; so is every
 text when there is nothing to learn from. Documents with null doc_id are
-judged but not learned from and not held out. Every row gives one row; ties go
+judged but not learned from and not held out. Of rows that repeat an id and
+label one is learned from (smallest windows). Every row gives one row; ties go
 to the alphabetically first language."""
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from upshelf.llm.common import pick, small_batches
 from upshelf.llm.shingles import buffers
 
 HIDDEN, PIECE, BATCH = 8, 128, 4096
-PER_LANG, WINDOW = 160, 160
+PER_LANG, WINDOW, SHARES = 160, 160, 64
 STEPS, TRAIN_BATCH, TRAIN_PIECE, RATE = 220, 192, 64, 0.03
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -189,14 +190,16 @@ def train(docs: DataFrame) -> Model | None:
     langs = sorted(r.lang for r in d.select("lang").distinct().collect())
     if not langs:
         return None
-    # ids first (no text is read), at most PER_LANG a language leave each task
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in (d.select("doc_id", "lang").distinct()
-                              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG)
-                              .select("doc_id").collect())]
+    # ids first (no text is read): the smallest hashes of every share of a language, then those of the language
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = (d.select("doc_id", "lang").distinct().withColumn("share", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(SHARES)))
+           .withColumn("n", first("share")).where(F.col("n") <= PER_LANG))
+    ids = [r.doc_id for r in few.withColumn("n", first()).where(F.col("n") <= PER_LANG).select("doc_id").collect()]
     cut = [F.substring("text", F.floor(F.length("text") * i / 4).cast("int") + 1, F.lit(WINDOW)) for i in range(4)]
-    rows = d.where(F.col("doc_id").isin(ids)).select("lang", *[c.alias(f"w{i}") for i, c in enumerate(cut)]).collect()
-    pieces = sorted({(r.lang, w) for r in rows for w in r[1:] if w and any(c.isalpha() for c in w)})
+    windows = F.struct(*[c.alias(f"w{i}") for i, c in enumerate(cut)])
+    # one row an id and label, however often it repeats
+    rows = [(r.lang, *r.w) for r in d.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min(windows).alias("w")).collect()]
+    pieces = sorted({(r[0], w) for r in rows for w in r[1:] if w and any(c.isalpha() for c in w)})
     pieces += [(lang, w.upper()) for lang, w in pieces[::10]]   # capitals are rare in the sample
     x, y = [], []
     for lang, w in pieces:

@@ -44,14 +44,14 @@ def topic_of(text: str = "text") -> Column:
 
 def described(docs: DataFrame, topic: Column | None = None, *more: str) -> DataFrame:
     """(<more>, doc_id, source, lang, topic, n_words, u) of every row; u is the document's uniform number."""
-    d = docs.select(*[F.col(c).alias(f"in_{c}") for c in more], *[pick_ for pick_ in (
+    d = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in more], *[pick_ for pick_ in (
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"))])
     d = d.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
     u = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 4294967296.0
-    return d.select(*[f"in_{c}" for c in more], "doc_id", "source", "lang",
+    return d.select(*[f"`in_{c}`" for c in more], "doc_id", "source", "lang",
                     (topic if topic is not None else topic_of()).alias("topic"), "n_words", u.alias("u"))
 
 
@@ -93,7 +93,7 @@ def sampled(docs: DataFrame, targets: Targets | None = None, topic: Column | Non
     cols = docs.columns
     rows = described(docs, topic, *cols)
     probs = rake(rows.select(*DIMS, "n_words"), targets)
-    return rows.join(probs, list(DIMS)).where("u < prob").select(*[F.col(f"in_{c}").alias(c) for c in cols])
+    return rows.join(probs, list(DIMS)).where("u < prob").select(*[F.col(f"`in_{c}`").alias(c) for c in cols])
 
 
 def oracle(alpha: float = ALPHA, rounds: int = ROUNDS) -> str:

@@ -49,6 +49,20 @@ def splitter() -> re.Pattern:
 CROSSING = re.compile(f" (?:[{SPACES}]|\\Z)")
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """A character that the interpreter's Unicode tables do not know; newer tables may call it a letter or number."""
+    out, start = [], None
+    for i in range(0x110001):
+        inside = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(out)}]")
+
+
 def rank_file(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -84,6 +98,7 @@ class Pieces:
         self.tokenize, self.keep = tok.model.tokenize, keep
         self.tok = tok
         self.known: dict[str, bytes] = {}
+        self.special = [] if tok.encode_special_tokens else [t.content for t in tok.get_added_tokens_decoder().values()]
         self.words = _Words(self)
 
     def piece(self, p: str) -> bytes:
@@ -101,11 +116,24 @@ class Pieces:
     def ids(self, text: str) -> bytes:
         """Ids of a whole text. A blank before other text always starts a piece, so
         texts without white space crossing such a cut are looked up word by word."""
+        if not self.own(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if CROSSING.search(text):
             return self.cut(text)
         first, *rest = text.split(" ")
         return self.cut(first) + b"".join(map(self.words.__getitem__, rest))
 
+    def own(self, text: str) -> bool:
+        """Whether the pattern above cuts the text as the library does: it holds no special token of the file and no
+        character newer than the interpreter's tables."""
+        if any(s in text for s in self.special):
+            return False
+        try:
+            text.encode("latin-1")                  # most texts; these characters are all known
+            return True
+        except UnicodeEncodeError:
+            return unassigned().search(text) is None
+
     def token_bytes(self) -> list[bytes]:
         """Bytes of every id: the byte table read backwards."""
         vocab = self.tok.get_vocab(with_added_tokens=True)
