@@ -1,7 +1,8 @@
 """Corpus pipeline: the stages that turn ``documents`` into encoded training text.
 
 Every stage reads what its predecessor wrote and returns the columns of
-documents, the last one the token digests. Stages 2 to 4 keep extra columns.
+documents, the last one the token digests. Stages 1 to 4 keep extra columns,
+whatever their names.
 
 1. language: documents whose language cannot be told (no text, no letter) go;
    an unlabelled document takes the language found. A label that is there is
@@ -18,8 +19,10 @@ documents, the last one the token digests. Stages 2 to 4 keep extra columns.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,20 @@ from upshelf.llm import bpe, jaccard, langid, linededup, mixing  # noqa: E402
 from upshelf.llm.common import odd_ids, written  # noqa: E402
 
 
+#: The columns of documents; a stage sees all others under numbered names that clash with nothing.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _extra_columns_kept(stage: Callable) -> Callable:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = [c if c in OWN else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*inner), sf_dir)
+        return out.select(*inner).toDF(*docs.columns)
+    return run
+
+
+@_extra_columns_kept
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     found = langid.predict(docs, langid.train(docs), *cols).where("lang_pred <> 'und'")
@@ -47,12 +64,14 @@ def _single(docs: DataFrame) -> DataFrame:
     return least.select(*[F.col("_own").getField(c).alias(c) if c in rest else c for c in docs.columns])
 
 
+@_extra_columns_kept
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = linededup.dedup(_single(docs), least=1, nulls=True)
     left = cut.where("n_removed = 0 or trim(translate(text, '\\t\\n\\r', '   ')) <> ''")
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@_extra_columns_kept
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not odd_ids(docs):
         found = jaccard.join(docs.select("doc_id", "text"), k=5, num=4, den=5)
@@ -66,6 +85,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
+@_extra_columns_kept
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sampled(docs)
 
