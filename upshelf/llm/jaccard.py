@@ -235,8 +235,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     post = _posts(reps, num, den)
     pivot = (post.groupBy("token", "band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c"))
              .where("c > 1").select("token", "band", F.col("p.rep").alias("a"), F.col("p.n").alias("na")))
-    # tiles of one member hold no pair: only the others are written, for both passes
-    tiles = written(post.join(pivot, ["token", "band"]), "jaccard-tiles")
+    # tiles of one member hold no pair: only the others are written, for both passes. A merge join at every size: its
+    # hot tiles are split at run time, and pivots grow with the documents
+    tiles = written(post.join(pivot.hint("merge"), ["token", "band"]), "jaccard-tiles")
     release(spark)
     star = (tiles.where("rep <> a").where(_sizes("n", "na", num, den))
             .groupBy("rep", "a").agg(F.count("*").alias("c"))
