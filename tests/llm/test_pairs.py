@@ -125,8 +125,10 @@ def _removed(rows, least=1):
     return out
 
 
-def test_line_dedup(spark, docs, monkeypatch):
+@pytest.mark.parametrize("named", [1 << 21, 3])
+def test_line_dedup(spark, docs, named, monkeypatch):
     monkeypatch.setattr(linededup, "HOT", 2)
+    monkeypatch.setattr(linededup, "NAMED", named)          # bit sets, and the join beyond them
     some = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text").where("doc_id < 150")
     near = spark.createDataFrame([(1000 + i, f"alpha beta gamma delta epsilon zeta eta theta iota variant{i}") for i in range(12)], "doc_id long, text string")
     table = docs.select("doc_id", "text").union(some).union(near)

@@ -20,9 +20,9 @@ not compared. Sets too small to match
 any but an equal one (up to three tokens at 0.8) need their class key alone. A
 line written without blanks is one token: its repeats are found, near repeats not.
 
-What is sent to all tasks has a fixed size: the bucket classes and two bit sets
+What is sent to all tasks has a bounded size: the bucket classes and two bit sets
 that name lines and documents to be looked at again (they may name others too,
-which only costs time).
+which only costs time); where there are more of these, joins take their place.
 
 A row's key is (doc_id, hash of its text): rows of equal key share their lines
 and do not remove each other's; rows of one doc_id and different texts are
@@ -45,7 +45,10 @@ from pyspark.sql import functions as F
 from upshelf.llm.common import forget, odd_ids, release, written
 from upshelf.llm.linkrank import LOWER, UPPER
 
-FREQUENT, BUCKETS, FILTER_BITS, HOT = 1 << 15, 1 << 17, 1 << 22, 32
+FREQUENT, BUCKETS, HOT = 1 << 15, 1 << 17, 32
+
+#: Rows that a bit set names at most (it has 8 to 16 bits a row); more are met by a join.
+NAMED = 1 << 21
 XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
@@ -78,10 +81,14 @@ def _codes(line: str, classes: Column) -> Column:
 
 
 def _maybe(frame: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
-    """frame with ``maybe``: whether a row may be one of ``rows`` by these columns.
-
-    A bit set of FILTER_BITS bits, as a table of at most FILTER_BITS / 64 rows that is broadcast."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    """frame with ``maybe``: whether a row may be one of ``rows``, a written table, by these columns.
+
+    Up to NAMED rows, a bit set sized by their number (at most 16 * NAMED bits), as a table of 64-bit words that is
+    broadcast; beyond it, an exact join."""
+    count = rows.count()
+    if count > NAMED:
+        return frame.join(rows.select(*cols).distinct().withColumn("maybe", F.lit(True)), list(cols), "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+    h = F.pmod(F.xxhash64(*cols), F.lit(1 << max(16, (8 * count).bit_length())))
     word, bit = F.shiftright(h, 6).alias("_word"), h.bitwiseAND(63).cast("int")
     bits = (rows.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
             .groupBy("_word").agg(F.bit_or("b").alias("_bits")))
@@ -116,14 +123,14 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
     """(y_doc, y_line) of the lines whose earlier candidate x links with them."""
     pairs = written(pairs, "lines-pairs")
-    ends = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line"))
+    ends = written(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line")).distinct(), "lines-ends")
     release(lines.sparkSession)
     held = _maybe(lines, ends, "doc_id", "line_no").where("maybe").select("doc_id", "line_no", _codes("line", classes).alias("s"))
     side = lambda s: held.toDF(f"{s}_doc", f"{s}_line", f"{s}_set")
     both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
     over = F.size(F.array_intersect("x_set", "y_set"))
     hit = written(both.where(over * (num + den) >= (F.size("x_set") + F.size("y_set")) * num).select("y_doc", "y_line").distinct(), "lines-hit")
-    forget(pairs)
+    forget(pairs, ends)
     return hit
 
 
