@@ -125,7 +125,7 @@ def _removed(rows, least=1):
     return out
 
 
-@pytest.mark.parametrize("named", [1 << 21, 3])
+@pytest.mark.parametrize("named", [1 << 19, 3])
 def test_line_dedup(spark, docs, named, monkeypatch):
     monkeypatch.setattr(linededup, "HOT", 2)
     monkeypatch.setattr(linededup, "NAMED", named)          # bit sets, and the join beyond them

@@ -47,8 +47,8 @@ from upshelf.llm.linkrank import LOWER, UPPER
 
 FREQUENT, BUCKETS, HOT = 1 << 15, 1 << 17, 32
 
-#: Rows that a bit set names at most (it has 8 to 16 bits a row); more are met by a join.
-NAMED = 1 << 21
+#: Bits of a bit set at most, and rows that it names at most; more are met by a join.
+BITS, NAMED = 1 << 22, 1 << 19
 XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
@@ -83,12 +83,12 @@ def _codes(line: str, classes: Column) -> Column:
 def _maybe(frame: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
     """frame with ``maybe``: whether a row may be one of ``rows``, a written table, by these columns.
 
-    Up to NAMED rows, a bit set sized by their number (at most 16 * NAMED bits), as a table of 64-bit words that is
-    broadcast; beyond it, an exact join."""
+    Up to NAMED rows, a bit set sized by their number, as a table of at most BITS / 64 words that is broadcast; beyond
+    it, an exact join."""
     count = rows.count()
     if count > NAMED:
         return frame.join(rows.select(*cols).distinct().withColumn("maybe", F.lit(True)), list(cols), "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
-    h = F.pmod(F.xxhash64(*cols), F.lit(1 << max(16, (8 * count).bit_length())))
+    h = F.pmod(F.xxhash64(*cols), F.lit(min(BITS, 1 << max(16, (8 * count).bit_length()))))
     word, bit = F.shiftright(h, 6).alias("_word"), h.bitwiseAND(63).cast("int")
     bits = (rows.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
             .groupBy("_word").agg(F.bit_or("b").alias("_bits")))
