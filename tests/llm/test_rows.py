@@ -184,17 +184,51 @@ def test_url_rules_and_ranks(spark):
     assert linkrank.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
+def test_ranks_reach_the_end_of_long_chains_and_settle(spark):
+    n = 33
+    chain = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(n)] + [(n, f"http://h{n}.org/", '<a href="//bad.net">'), (n + 1, "http://bad.net/es/", "")]
+    got = linkrank.judge(spark.createDataFrame(chain, "page_id long, url string, html string"), RULES).collect()
+    assert {r.verdict for r in got} == {"block"}
+    rng = np.random.default_rng(5)
+    w = np.where(rng.random((12, 12)) < 0.25, rng.integers(1, 5, (12, 12)), 0).astype(float)
+    np.fill_diagonal(w, 0)
+    edges = spark.createDataFrame([(f"h{i}", f"h{j}", float(w[i, j])) for i, j in zip(*np.nonzero(w))], "src string, dst string, w double")
+    seeds = spark.createDataFrame([("trust", "h1", 0.25), ("trust", "h4", 0.75), ("distrust", "h2", 1.0)], "kind string, host string, mass double")
+    got = {r.host: r for r in linkrank.ranks(edges, seeds).collect()}
+    for kind, m, at in (("trust", w, {1: 0.25, 4: 0.75}), ("distrust", w.T, {2: 1.0})):
+        out = m.sum(axis=1, keepdims=True)
+        p = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+        start = np.array([0.15 * at.get(i, 0) for i in range(12)])
+        want = np.linalg.solve(np.eye(12) - 0.85 * p.T, start)
+        np.testing.assert_allclose([got[f"h{i}"][kind] if f"h{i}" in got else 0 for i in range(12)], want, rtol=1e-4, atol=1e-15)
+
+
 def test_mixture_meets_targets(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mixing.mix(table, {"lang": {"en": 0.4, "fr": 0.3, "de": 0.3, "xx": 0.5}}).toPandas()
-    words = (got.n_words * got.prob).groupby(got.lang).sum()
-    share = words / words.sum()
+    tokens = (got.n_tokens * got.prob).groupby(got.lang).sum()
+    share = tokens / tokens.sum()
     assert abs(share["en"] - 0.4) < 0.02 and abs(share["fr"] - 0.3) < 0.02 and share["es"] == 0
     assert got.prob.between(0, 1).all()
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(empty).count() == 0
     assert mixing.sampled(docs).columns == docs.columns
 
 
+def test_raking_goes_on_until_all_targets_are_met(spark):
+    texts = {"a": "one two three four", "b": "日本語 ab", "c": "x " * 50}
+    rows = [(i, texts["abc"[(i * i + i // 3) % 3]] + " w" * (i % 7), "xyz"[i % 3], "pqrs"[(i // 2) % 4]) for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"x": 0.7, "y": 0.2, "z": 0.1}, "lang": {"p": 0.1, "q": 0.4, "r": 0.4, "s": 0.1}}
+    got = mixing.mix(table, targets).toPandas()
+    assert got.set_index("doc_id").n_tokens[[i for i, r in enumerate(rows) if r[1] == texts["b"]]].eq(4).all()
+    for dim, want in targets.items():
+        tokens = (got.n_tokens * got.prob).groupby(got[dim]).sum()
+        assert all(abs(tokens[k] / tokens.sum() - v) < 1e-5 for k, v in want.items())
+    # two values that only ever stand together cannot get different shares: the rounds end all the same
+    apart = table.withColumn("lang", F.col("source"))
+    assert mixing.mix(apart, {"source": {"x": 0.7, "y": 0.2, "z": 0.1}, "lang": {"x": 0.2, "y": 0.4, "z": 0.4}}).count() == 90
+
+
 def test_pipeline_stages(spark, docs):
     kept = corpus_pipeline.language(spark, docs, SF)
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {3, 4, 6}
