@@ -104,6 +104,19 @@ def test_jaccard_components(spark, docs, k, num, den, monkeypatch):
     assert got == want
 
 
+def test_jaccard_links_across_size_bands_at_the_threshold(spark):
+    """Pairs that just reach or just miss the threshold, the larger in the next band of sizes."""
+    rows, want = [], {}
+    for i, large in enumerate((64, 65, 70, 79, 128, 131, 256)):
+        for j, small in enumerate((large * 4 // 5, -(-large * 4 // 5), large - 1)):
+            a = 2 * (3 * i + j)
+            words = [f"w{a}x{v}" for v in range(large)]
+            rows += [(a, " ".join(words)), (a + 1, " ".join(words[:small]))]
+            want |= {a: a, a + 1: a if 5 * small >= 4 * large else a + 1}
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=1, num=4, den=5).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_jaccard_empty_and_bounds(empty):
     assert jaccard.join(empty).count() == 0
     rng = np.random.default_rng(3)

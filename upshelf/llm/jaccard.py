@@ -3,9 +3,10 @@
 Documents of equal sets are one class, and only class representatives
 (smallest doc_id) are compared. A representative lies in *tiles*: one per size
 band (powers of two, and the next band where a partner may lie in it) and per
-shingle of its prefix. The prefix holds the ``n - ceil(t*n) + 1`` rarest
-shingles, by a corpus count in a fixed number of hash buckets, so two linked
-sets always share a tile. In a tile pairs pass
+shingle of its prefix. In its own band the prefix holds the ``n - ceil(t*n) + 1`` rarest
+shingles, by a corpus count in a fixed number of hash buckets. In the next band ``m`` is the
+smallest size of a partner, a link takes ``o = ceil((n + m) * t / (1 + t))`` shared shingles, and
+the ``n - o + 1`` rarest do. So two linked sets always share a tile. In a tile pairs pass
 
 1. the size bound ``t * larger <= smaller``,
 2. the bitmap bound: each set is hashed to a bitmap of its band's length; a bit
@@ -87,7 +88,7 @@ def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
 
 
 def cards(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, sig, prefix): size, class key, bitmap and rarest shingles of every row."""
+    """(doc_id, n, key, sig, prefix): size, class key, bitmap and rarest shingles, rarest first, of every row."""
     low = np.minimum(counts, (1 << 24) - 1).astype(U) << U(40)
 
     def run(batches):
@@ -100,7 +101,7 @@ def cards(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> Da
                 sig.append(bitmap(x) if m else None)
                 order = low[(x & U(BUCKETS - 1)).astype(np.int64)] | (x >> U(24))
                 p = m - (num * m + den - 1) // den + 1 if m else 0
-                pre.append((np.partition(order, p - 1)[:p] if 0 < p < m else order).view(np.int64))
+                pre.append(np.sort(np.partition(order, p - 1)[:p] if 0 < p < m else order).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()),
                  pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "key", "sig", "prefix"])
@@ -112,10 +113,13 @@ def cards(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> Da
 def _posts(reps: DataFrame, num: int, den: int, *more: str) -> DataFrame:
     """A row per tile (token, band) of a representative."""
     band = F.floor(F.log2(F.col("n"))).cast("int")
-    tiles = F.when(F.col("n") * den >= num * F.pow(F.lit(2.0), band + 1),
-                   F.array(band, band + 1)).otherwise(F.array(band))
-    return (reps.select("rep", "n", *more, F.explode(tiles).alias("band"), "prefix")
-            .select(F.explode("prefix").alias("token"), "band", "rep", "n", *more))
+    above = F.pow(F.lit(2.0), band + 1).cast("long")
+    need = F.ceil((F.col("n") + above) * num / (num + den))
+    tile = lambda b, size: F.struct(b.alias("band"), F.slice("prefix", F.lit(1), size.cast("int")).alias("tokens"))
+    own = tile(band, F.size("prefix"))
+    tiles = F.when(F.col("n") * den >= num * above, F.array(own, tile(band + 1, F.col("n") - need + 1))).otherwise(F.array(own))
+    return (reps.select("rep", "n", *more, F.explode(tiles).alias("tile"))
+            .select(F.explode("tile.tokens").alias("token"), "tile.band", "rep", "n", *more))
 
 
 def _sizes(a: str, b: str, num: int, den: int):
@@ -233,14 +237,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
                         F.first("prefix").alias("prefix")), "jaccard-reps")
     release(spark)
     post = _posts(reps, num, den)
-    pivot = (post.groupBy("token", "band").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c"))
-             .where("c > 1").select("token", "band", F.col("p.rep").alias("a"), F.col("p.n").alias("na")))
+    pivot = (post.groupBy("token", "band").agg(F.min("rep").alias("a"), F.count("*").alias("c"))
+             .where("c > 1").select("token", "band", "a"))
     # tiles of one member hold no pair: only the others are written, for both passes. A merge join at every size: its
     # hot tiles are split at run time, and pivots grow with the documents
     tiles = written(post.join(pivot.hint("merge"), ["token", "band"]), "jaccard-tiles")
     release(spark)
-    star = (tiles.where("rep <> a").where(_sizes("n", "na", num, den))
-            .groupBy("rep", "a").agg(F.count("*").alias("c"))
+    star = (tiles.where("rep <> a").groupBy("rep", "n", "a").agg(F.count("*").alias("c"))
+            .join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").where(_sizes("n", "na", num, den))
             .groupBy(F.col("rep").alias("b")).agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("p"))
             .select((-F.col("p.a")).alias("a"), "b"))
     links = verified(star, reps, docs, k, num, den)
