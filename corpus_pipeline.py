@@ -97,7 +97,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("encode", encode)]
 
 #: A trained model, set-similarity links and BPE merges are not SQL; tests compare lines, links and merges with brute
-#: force and the stages on small tables, not a whole run.
+#: force, and a whole run on a labelled table with plain Python.
 ORACLE_SQL = None
 
 
