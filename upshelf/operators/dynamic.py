@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from upshelf.operators import media as M
 from upshelf.operators.forecast import micro
-from upshelf.operators.nodes import ARTICLE_WEEK, expand_levels
-from upshelf.operators.scope import in_window
+from upshelf.operators.nodes import ARTICLE_WEEK, NODE, expand_levels
+from upshelf.operators.scope import in_window, spread
 
 ALL = "ALL"   # cohort name of an all-stores week
 
@@ -37,14 +37,14 @@ def week_cohorts(media: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataF
 def dynamic_panel(base: DataFrame, candidates: DataFrame, windows: DataFrame, sig: DataFrame, members: DataFrame,
                   registry: DataFrame) -> DataFrame:
     """y per (booking, cohort, level, node, week) over each cohort's stores."""
-    rows = in_window(base.join(candidates, "article_id"), windows)
+    rows = in_window(spread(base, "article_id").join(candidates, "article_id"), windows)
     listed = rows.join(members, ["booking_number", "store_id"])
     allc = rows.join(sig.where(F.col("cohort") == ALL).select("booking_number", "cohort").distinct(), "booking_number")
     r = listed.unionByName(allc)
     pre = r.groupBy(*ARTICLE_WEEK, "cohort").agg(F.sum("sales").alias("y"))
-    x = expand_levels(pre, ["cohort", "y"])
+    x = expand_levels(pre, ["cohort", "y"]).withColumn("key", F.struct("k1", "k2"))
     return (x.join(registry, ["booking_number", "level", "k1", "k2"])
-            .groupBy("booking_number", "cohort", "level", "node", "week_start").agg(F.sum("y").alias("y")))
+            .groupBy("booking_number", "cohort", *NODE, "week_start").agg(F.sum("y").alias("y")))
 
 
 def counterfactual_dynamic(panel: DataFrame, windows: DataFrame, sig: DataFrame) -> DataFrame:
@@ -52,11 +52,12 @@ def counterfactual_dynamic(panel: DataFrame, windows: DataFrame, sig: DataFrame)
     before the cutoff, predict each campaign week from its own cohort."""
     w = windows.select("booking_number", "min_d", "cutoff_week", "first_week", "last_week")
     j = panel.join(w, "booking_number")
-    g = ["booking_number", "cohort", "level", "node"]
+    node = [c for c in NODE if c in panel.columns]
+    g = ["booking_number", "cohort", *node]
     train = j.where((F.col("week_start") >= F.col("min_d")) & (F.col("week_start") < F.col("cutoff_week")))
     yhat = train.groupBy(*g).agg(micro(F.sum("y").cast("double") / F.count("y")).alias("yhat"))
     test = (j.where(F.col("week_start").between(F.col("first_week"), F.col("last_week")))
             .join(sig, ["booking_number", "week_start", "cohort"], "left_semi"))
     return (test.join(yhat, g, "left")
-            .select("booking_number", "level", "node", F.col("week_start").alias("ds"), "y", "yhat",
+            .select("booking_number", *node, F.col("week_start").alias("ds"), "y", "yhat",
                     (F.col("y") - F.col("yhat")).alias("uplift")))

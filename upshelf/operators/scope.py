@@ -40,6 +40,12 @@ def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
             .drop("_lo", "_hi"))
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` dealt to as many tasks as the session has shuffle partitions. Every row meets all its bookings next, so
+    tasks merged by the size of their input would hold many times that in their aggregates."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def dim_weeks(base: DataFrame) -> DataFrame:
     """Distinct (week, article, hierarchy) of the base: store detail removed
     before anything is replicated per booking."""
@@ -98,7 +104,7 @@ def slice_rows(base: DataFrame, universe: DataFrame, windows: DataFrame, stores:
 
     ``universe`` may be the hierarchy candidates: a base row inside the window
     proves the article sells there, so no separate activity check is needed."""
-    j = base.join(universe, "article_id")
+    j = spread(base, "article_id").join(universe, "article_id")
     return cohort_filter(in_window(j, windows), windows, stores)
 
 

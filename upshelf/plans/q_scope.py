@@ -200,4 +200,4 @@ def q_counterfactual_gbt(spark, sf_dir):
        CAST(yhat AS DOUBLE) AS yhat, CAST(uplift AS DOUBLE) AS uplift FROM dyn_cmp""")
 def q_counterfactual_dynamic(spark, sf_dir):
     """Mean learner over dynamic (per-week) cohorts."""
-    return tidy(campaigns(spark, sf_dir).compare_dynamic())
+    return tidy(campaigns(spark, sf_dir).compare_dynamic().drop("key"))
