@@ -176,3 +176,23 @@ def internal_features_by_booking(rows: DataFrame, promo: DataFrame) -> DataFrame
             .agg(F.max(flag("brochure")).alias("internal_competitor_brochure"),
                  F.max(flag("multibuy")).alias("internal_competitor_multibuy"),
                  F.max(F.coalesce("discountpercent", F.lit(0.0))).alias("max_internal_competitor_discount_percent")))
+
+
+def weekly_internal_discount(rows: DataFrame, promo: DataFrame, weighting: str = "sales") -> DataFrame:
+    """Per (booking, week) the mean of the largest discount among the price families of a slice row's (booking, week,
+    store, brand, category), weighted by sales or (``"mean"``) by rows.
+
+    A group's rows share the discount, so a group's weight is summed before it: rows are dealt out once, and only with
+    these keys. A group with a null key has no discount."""
+    pr = promo.where((F.col("district") == "National") & (F.col("future_flag") == "PAST")) \
+        .groupBy("week_start", "price_family").agg(F.max(F.coalesce("discountpercent", F.lit(0.0))).alias("_d"))
+    c = "max_internal_competitor_discount_percent"
+    by = ["store_id", "brand", "category"]
+    weight = F.col("sales") if weighting == "sales" else F.lit(1)
+    g = (rows.select("booking_number", "week_start", *by, "price_family", weight.alias("_w"))
+         .join(pr, ["week_start", "price_family"], "left")
+         .groupBy("booking_number", "week_start", *by).agg(F.sum("_w").alias("_w"), F.max(F.coalesce("_d", F.lit(0.0))).alias("_d")))
+    known = F.col("store_id").isNotNull() & F.col("brand").isNotNull() & F.col("category").isNotNull()
+    d = F.when(known, F.col("_d").cast("double")).otherwise(F.lit(0.0))
+    return g.groupBy("booking_number", "week_start").agg(F.try_divide(
+        F.sum(d * F.coalesce("_w", F.lit(0))), F.nullif(F.sum("_w").cast("double"), F.lit(0.0))).alias(c))

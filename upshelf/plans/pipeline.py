@@ -105,14 +105,6 @@ class Campaigns:
                 self.base, self.registry(), self.windows, self.stores, target, self.candidates()))
         return self._m(f"panel_{target}", lambda: N.weekly_panel(self.slice_agg(), self.registry(), target))
 
-    def regressor_rows(self) -> DataFrame:
-        """Slice rows with the largest discount among the price families of their (booking, week, store, brand, category)."""
-        x = self.slice_rows()
-        ic = CO.internal_features_by_booking(x, self.promo)
-        k = ["booking_number", "week_start", "store_id", "brand", "category"]
-        c = "max_internal_competitor_discount_percent"
-        return x.join(ic.select(*k, c), k, "left").withColumn(c, F.coalesce(c, F.lit(0.0)))
-
     def regressors(self) -> DataFrame:
         """Sales-weighted regressors per (booking, week) over the slice."""
         return self._m("regressors", self.weekly_regressors)
@@ -121,7 +113,10 @@ class Campaigns:
         return S.preflight(self.window_base, self.skus, self.windows, self.stores, EX.asset_counts(self.media, self.dim))
 
     def weekly_regressors(self, weighting: str = "sales") -> DataFrame:
-        return N.weekly_regressors(self.regressor_rows(), weighting, self.p)
+        rows = self.slice_rows()
+        means = N.weekly_regressors(rows, weighting, self.p)
+        most = CO.weekly_internal_discount(rows, self.promo, weighting)
+        return means.join(most, ["booking_number", "week_start"]).select("booking_number", "week_start", *N.REGRESSORS)
 
     def compare(self) -> DataFrame:
         return FC.counterfactual_mean(self.panel(), self.windows)
