@@ -41,14 +41,9 @@ def promotions_unique(promo: DataFrame, p: Params = DEFAULT) -> DataFrame:
                  F.min("brochure").alias("brochure"), F.min("multibuy").alias("multibuy")))
 
 
-def competitor_best_offers(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """A2 + U5: per (product, week, competitor) the lowest unit price among the
-    shelf price and two offers, its hurdle quantity (tie -> lowest quantity),
-    and the lowest shelf price.
-
-    Each price row is first reduced to its own best option with ``least``
-    (nulls skipped), so the (sort-based) struct minimum sees one row per price
-    row instead of three exploded options."""
+def price_rows(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Each price row reduced to its own best option ``o`` (unit price, hurdle quantity) of the shelf price and two
+    offers, with ``least`` (nulls skipped), beside its shelf price and own price."""
     c = comp.where(F.col("fw_end_date") >= history_start(p))
     shelf = F.col("shelf_price").cast("double")
 
@@ -61,13 +56,23 @@ def competitor_best_offers(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
     opts = [(shelf, F.lit(1)), (unit("offer1_price", "offer1_qty"), hurdle("offer1_qty")),
             (unit("offer2_price", "offer2_qty"), hurdle("offer2_qty"))]
     x = c.select("product_number", week_start("fw_end_date").alias("week_start"), "competitor",
-                 shelf.alias("shelf_unit"), *[u.alias(f"u{i}") for i, (u, _) in enumerate(opts)],
-                 *[q.alias(f"q{i}") for i, (_, q) in enumerate(opts)])
+                 shelf.alias("shelf_unit"), F.col("own_price").cast("double").alias("own_price"),
+                 *[u.alias(f"u{i}") for i, (u, _) in enumerate(opts)], *[q.alias(f"q{i}") for i, (_, q) in enumerate(opts)])
     bu = F.least(F.col("u0"), F.col("u1"), F.col("u2"))
     bq = F.least(*[F.when(F.col(f"u{i}") == bu, F.col(f"q{i}")) for i in range(3)])
-    x = x.select("product_number", "week_start", "competitor", "shelf_unit",
-                 F.struct(bu.alias("unit"), bq.alias("qty")).alias("o")).where(F.col("o.unit").isNotNull())
-    return (x.groupBy("product_number", "week_start", "competitor")
+    return x.select("product_number", "week_start", "competitor", "shelf_unit", "own_price",
+                    F.struct(bu.alias("unit"), bq.alias("qty")).alias("o"))
+
+
+def competitor_best_offers(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A2 + U5: per (product, week, competitor) the lowest unit price among the
+    shelf price and two offers, its hurdle quantity (tie -> lowest quantity),
+    and the lowest shelf price.
+
+    The (sort-based) struct minimum sees one row per price row (see
+    ``price_rows``) instead of three exploded options."""
+    return (price_rows(comp, p).where(F.col("o.unit").isNotNull())
+            .groupBy("product_number", "week_start", "competitor")
             .agg(F.min("o").alias("best"), F.min("shelf_unit").alias("shelf_unit"))
             .select("product_number", "week_start", "competitor",
                     F.col("best.unit").alias("best_unit_price"), F.col("best.qty").alias("hurdle_qty"),
@@ -82,13 +87,29 @@ def own_prices(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
             .distinct())
 
 
+def offers_with_own_prices(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """``competitor_best_offers`` joined to ``own_prices`` on (product, week), in one pass over the price rows: a
+    product-week's few competitors and own prices meet in one group, so neither side is dealt out again."""
+    keys = ["product_number", "week_start"]
+    x = price_rows(comp, p).where(F.col("product_number").isNotNull() & F.col("week_start").isNotNull())
+    per = x.groupBy(*keys, "competitor").agg(
+        F.min(F.when(F.col("o.unit").isNotNull(), F.col("o"))).alias("best"),
+        F.min(F.when(F.col("o.unit").isNotNull(), F.col("shelf_unit"))).alias("shelf_unit"),
+        F.collect_set(F.struct("own_price")).alias("own"))
+    week = per.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("best").isNotNull(), F.struct("competitor", "best", "shelf_unit"))).alias("offers"),
+        F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+    return (week.select(*keys, "offers", F.inline("own")).select(*keys, "own_price", F.inline("offers"))
+            .select(*keys, "competitor", F.col("best.unit").alias("best_unit_price"), F.col("best.qty").alias("hurdle_qty"),
+                    "shelf_unit", "own_price"))
+
+
 def competitor_metrics(comp: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Per (product, week) competitor counts and price gaps.
 
     The own-price join is kept as the warehouse has it: several own prices in
     one week multiply the counts (a documented fan-out, decision 10)."""
-    best = competitor_best_offers(comp, p)
-    j = best.join(own_prices(comp, p), ["product_number", "week_start"])
+    j = offers_with_own_prices(comp, p)
     cheaper = F.col("best_unit_price") < F.col("own_price")
     gap = F.when(cheaper, F.col("best_unit_price") - F.col("own_price"))
     return j.groupBy("product_number", "week_start").agg(
