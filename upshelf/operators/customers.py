@@ -97,8 +97,9 @@ def customer_days(lines: DataFrame) -> DataFrame:
 
 
 def customer_plane(lines: DataFrame, days: tuple[str, ...] = tuple(KEYS), weeks: tuple[str, ...] = (), once=None) -> DataFrame:
-    """The rows of ``customer_days`` (written by ``once``, if given, as every key reads them twice) with ``prev_<key>`` (previous purchase day) for every key of ``days`` and
-    ``prevw_<key>`` / ``prevl_<key>`` (previous purchase week and its last day)
+    """The rows of ``customer_days`` (written by ``once``, if given, as every
+    key reads them) with ``prev_<key>`` (previous purchase day) for every key
+    of ``days`` and ``prevw_<key>`` / ``prevl_<key>`` (previous purchase week and its last day)
     for those of ``weeks``.
 
     A day or week is on the join keys, so a customer or key that holds a third
