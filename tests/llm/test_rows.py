@@ -277,3 +277,13 @@ def test_pipeline_keeps_one_row_of_each_and_every_clean_text(spark):
     assert sorted(((r.doc_id, r.text, r.lang) for r in kept.collect()), key=str) == [(3, a, "en"), (5, b, "en"), (7, c + "\nmore", "en")]
     left = corpus_pipeline.near_copies(spark, table, SF).collect()
     assert sorted((r.doc_id, r.text) for r in left) == [(3, a), (5, b), (7, c + "\nmore")]
+
+
+def test_words_over_a_line_break_are_not_kept():
+    # they seldom come again and would fill the worker's bounded table of words
+    pieces, _, _ = bpe.coder(JSON)
+    text = "One fly.\nAtree fly. fly.\nAtree ~ é\tx \x7f\x1f it's  two\x00 naïve 日本 42"
+    assert pieces.ids(text) == np.array(pieces.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    plain = "Zwei fly.\nAtree fly. mehr"
+    assert pieces.ids(plain) == np.array(pieces.tok.encode(plain, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert "mehr" in pieces.words and not any("\n" in w for w in pieces.words)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -95,23 +96,22 @@ class Pieces:
         chars = byte_chars()
         self.table = {b: chars[b] for b in range(256)}
         self.back = {c: b for b, c in enumerate(chars)}
-        self.tokenize, self.keep = tok.model.tokenize, keep
+        self.tokenize, self.keep, self.find = tok.model.tokenize, keep, splitter().findall
         self.tok = tok
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
         self.special = [] if tok.encode_special_tokens else [t.content for t in tok.get_added_tokens_decoder().values()]
         self.words = _Words(self)
 
     def piece(self, p: str) -> bytes:
-        got = self.known.get(p)
-        if got is None:
+        if p.isascii() and p.isprintable():             # of these the byte table moves the blank alone
+            shown = p.replace(" ", self.table[32])
+        else:
             shown = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-            got = np.array([t.id for t in self.tokenize(shown)], dtype="<u4").tobytes()
-            if len(self.known) < self.keep:
-                self.known[p] = got
-        return got
+        found = [t.id for t in self.tokenize(shown)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def cut(self, text: str) -> bytes:
-        return b"".join(map(self.piece, splitter().findall(text)))
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text. A blank before other text always starts a piece, so
@@ -143,15 +143,29 @@ class Pieces:
         return out
 
 
+class _Known(dict):
+    """Piece -> its ids."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, p: str) -> bytes:
+        got = self.pieces.piece(p)
+        if len(self) < self.pieces.keep:
+            self[p] = got
+        return got
+
+
 class _Words(dict):
-    """Word -> ids of the word with the blank before it."""
+    """Word -> ids of the word with the blank before it. Two words with a line break between them seldom come again and
+    are not kept."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
 
     def __missing__(self, word: str) -> bytes:
         got = self.pieces.cut(" " + word)
-        if len(self) < self.pieces.keep:
+        if len(self) < self.pieces.keep and "\n" not in word:
             self[word] = got
         return got
 
