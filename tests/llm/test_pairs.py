@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -180,3 +181,30 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want[4:] = rows[4:]
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_folded_lines_have_the_words_of_plain_python(spark):
+    texts = ["Foo BAR\nfoo", "a\tB\x0bC\x0cD\rE", "É Ünd ÀB cD", "İ K \u2028X", "", None, " x  Y "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.w for r in linededup._lines(df).select("doc_id", "line_no", linededup._words("line").alias("w")).collect()}
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    assert got == {(d, i): [w for w in re.split("[\x20\x09-\x0d]+", x.translate(fold)) if w] for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n"))}
+
+
+def test_bit_sets_name_a_small_share_only():
+    # whatever the size of the table: most of its rows are met by a join
+    assert linededup._few(100, 800) and not linededup._few(101, 800) and not linededup._few(linededup.NAMED + 1, 1 << 40)
+
+
+def test_links_are_confirmed_by_merge_joins_at_every_size(spark, monkeypatch):
+    plans, write = {}, jaccard.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+    monkeypatch.setattr(jaccard, "written", seen)
+    words = [f"w{i}" for i in range(30)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + ["z"])), (3, "q r s")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, 3, 4, 5).collect()} == {1: 1, 2: 1, 3: 3}
+    for name in ("jaccard-near", "jaccard-links"):
+        assert plans[name].count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plans[name], name

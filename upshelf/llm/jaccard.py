@@ -183,8 +183,9 @@ def _crossing(post: DataFrame, reps: DataFrame, num: int, den: int) -> tuple[Dat
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs that link: bitmap bound first, exact intersection of the rest."""
-    sig = reps.select("rep", "n", "sig")
+    """The (a, b) pairs that link: bitmap bound first, exact intersection of the rest. Pairs grow with the documents, so
+    merge joins at every size: no pairs are gathered on the driver for a broadcast, and one plan serves all sizes."""
+    sig = reps.select("rep", "n", "sig").hint("merge")
     both = (pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
             .select("a", "b", "na", "nb", "sa", "sb"))
 
@@ -209,7 +210,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
 
     held = (docs.where("doc_id is not null")
             .select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"))
-            .mapInArrow(load, "id long, x binary"))
+            .mapInArrow(load, "id long, x binary").hint("merge"))
     full = near.join(held.toDF("a", "xa"), "a").join(held.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
 
     def exact(batches):

@@ -20,9 +20,9 @@ not compared. Sets too small to match
 any but an equal one (up to three tokens at 0.8) need their class key alone. A
 line written without blanks is one token: its repeats are found, near repeats not.
 
-What is sent to all tasks has a bounded size: the bucket classes and two bit sets
-that name lines and documents to be looked at again (they may name others too,
-which only costs time); where there are more of these, joins take their place.
+What is sent to all tasks has a bounded size: the bucket classes and, where few
+lines or documents are to be looked at again, bit sets that name them (they may
+name others too, which only costs time); where there are more, joins take their place.
 
 A row's key is (doc_id, hash of its text): rows of equal key share their lines
 and do not remove each other's; rows of one doc_id and different texts are
@@ -52,8 +52,18 @@ BITS, NAMED = 1 << 22, 1 << 19
 XY = ["x_doc", "x_line", "y_doc", "y_line"]
 
 
+def _folded(text: Column) -> Column:
+    """text with A-Z lower-cased and blanks for other white space inside lines. ``lower`` does it for ASCII without such
+    white space, at a small part of the cost of ``translate``."""
+    plain = F.length(text) == F.octet_length(text)
+    for c in "\t\x0b\x0c\r":
+        plain = plain & ~F.contains(text, F.lit(c))
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER + "\t\x0b\x0c\r", LOWER + "    "))
+
+
 def _words(line: str) -> Column:
-    return F.array_remove(F.split(F.translate(F.col(line), UPPER + "\t\x0b\x0c\r", LOWER + "    "), " "), "")
+    """The words of a folded line."""
+    return F.array_remove(F.split(F.col(line), " "), "")
 
 
 def _fixed(values: list[int], kind: str) -> Column:
@@ -75,19 +85,21 @@ def _rarity(lines: DataFrame) -> Column:
 def _codes(line: str, classes: Column) -> Column:
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
-        c = F.element_at(classes, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int")).cast("long")
+        # never null: arrays of codes are then sorted as plain numbers
+        c = F.coalesce(F.element_at(classes, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int")).cast("long"), F.lit(0).cast("long"))
         return F.shiftleft(c, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
 
 
-def _maybe(frame: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
-    """frame with ``maybe``: whether a row may be one of ``rows``, a written table, by these columns.
+def _few(count: int, total: int) -> bool:
+    """Whether so few of ``total`` rows are named that a bit set is worth its broadcast; else most rows are met anyway,
+    and a join costs no more on large tables than on small ones."""
+    return count <= NAMED and 8 * count <= total
 
-    Up to NAMED rows, a bit set sized by their number, as a table of at most BITS / 64 words that is broadcast; beyond
-    it, an exact join."""
-    count = rows.count()
-    if count > NAMED:
-        return frame.join(rows.select(*cols).distinct().withColumn("maybe", F.lit(True)), list(cols), "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+
+def _maybe(frame: DataFrame, rows: DataFrame, count: int, *cols: str) -> DataFrame:
+    """frame with ``maybe``: whether a row may be one of ``rows``, a written table of ``count`` rows, by these columns,
+    told by a bit set sized by their number, as a table of at most BITS / 64 words that is broadcast."""
     h = F.pmod(F.xxhash64(*cols), F.lit(min(BITS, 1 << max(16, (8 * count).bit_length()))))
     word, bit = F.shiftright(h, 6).alias("_word"), h.bitwiseAND(63).cast("int")
     bits = (rows.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
@@ -98,7 +110,8 @@ def _maybe(frame: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return (docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """(doc_id, line_no, line): the folded lines of every document with an id."""
+    return (docs.select("doc_id", F.posexplode(F.split(_folded(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
             .where("doc_id is not null"))
 
 
@@ -120,12 +133,14 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
             .select((-F.col("p.d")).alias("x_doc"), (-F.col("p.l")).alias("x_line"), "y_doc", "y_line"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, classes: Column, num: int, den: int) -> DataFrame:
-    """(y_doc, y_line) of the lines whose earlier candidate x links with them."""
+def _verified(pairs: DataFrame, lines: DataFrame, total: int, classes: Column, num: int, den: int) -> DataFrame:
+    """(y_doc, y_line) of the lines whose earlier candidate x links with them; ``total`` lines are compared in all."""
     pairs = written(pairs, "lines-pairs")
     ends = written(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line")).distinct(), "lines-ends")
     release(lines.sparkSession)
-    held = _maybe(lines, ends, "doc_id", "line_no").where("maybe").select("doc_id", "line_no", _codes("line", classes).alias("s"))
+    at, count = ["doc_id", "line_no"], ends.count()
+    named = _maybe(lines, ends, count, *at).where("maybe") if _few(count, total) else lines.join(ends, at)
+    held = named.select(*at, _codes("line", classes).alias("s"))
     side = lambda s: held.toDF(f"{s}_doc", f"{s}_line", f"{s}_set")
     both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
     over = F.size(F.array_intersect("x_set", "y_set"))
@@ -152,6 +167,7 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> Data
                                 *[F.when(wide, _bits("s", h)).alias(c) for h, c in enumerate(("lo", "hi"))],
                                 F.when(wide, prefix).otherwise(none).alias("prefix")), "lines-cards")
     release(spark)
+    total = cards.count()
     pos = F.struct("doc_id", "line_no")
     reps = written(cards.groupBy("k1", "k2").agg(F.min(pos).alias("p"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
                                                   F.first("prefix").alias("prefix"))
@@ -174,14 +190,14 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> Data
     first = (common.groupBy("token").agg(F.min(F.struct(*own)).alias("p"), F.count("*").alias("k")).where(F.col("k") > HOT)
              .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in own]))
     star = side("y", common).join(first, "token").where(may)
-    hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, classes, num, den)
+    hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, total, classes, num, den)
     release(spark)
     # a line that is out already only serves as the earlier one: its size turns negative, which no y passes (as
     # a filter of one side it would part the two sides' exchange, which is now written once and read twice)
     out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(-1).alias("sign"))
     still = posts(reps.join(out, ["doc", "line"], "left").withColumn("n", F.col("n") * F.coalesce("sign", F.lit(1))))
     rest = side("x", still).join(side("y", still), "token").where(met(F.abs("x_n"), F.col("y_n"))).select(*XY).distinct()
-    more = _verified(rest, lines, classes, num, den)
+    more = _verified(rest, lines, total, classes, num, den)
     found = hit.union(more).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
     # a removed representative takes its class along; else its later copies go
     gone = reps.join(found.withColumn("hit", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", "doc", "line", F.coalesce("hit", F.lit(False)).alias("hit"))
@@ -207,18 +223,21 @@ def _numbered(rows: DataFrame, nulls: bool) -> DataFrame:
 def dedup(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1, nulls: bool = False) -> DataFrame:
     """The documents with their columns, text without the removed lines, and n_lines, n_removed.
 
-    Only documents that may lose a line meet the table of removed lines."""
+    Where few documents lose a line, only those that may do so meet the table of removed lines."""
     own = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in own], F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
     if odd_ids(inner, nulls):
         inner = _numbered(inner, nulls)
     gone = removed(inner.select("doc_id", "text"), num, den, least)
-    inner = _maybe(inner, gone, "doc_id")
     lists = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("out"))      # at most the lines of one document
-    none = F.array().cast("array<int>")
-    some = inner.where("maybe").join(lists, "doc_id", "left").withColumn("out", F.coalesce("out", none))
-    rows = inner.where("not maybe").withColumn("out", none).unionByName(some)
+    none, count = F.array().cast("array<int>"), gone.select("doc_id").distinct().count()
+    if _few(count, inner.count()):
+        inner = _maybe(inner, gone, count, "doc_id")
+        some = inner.where("maybe").join(lists, "doc_id", "left").withColumn("out", F.coalesce("out", none))
+        rows = inner.where("not maybe").withColumn("out", none).unionByName(some)
+    else:
+        rows = inner.join(lists, "doc_id", "left").withColumn("out", F.coalesce("out", none))
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = rows.withColumn("n_removed", F.size("out").cast("long")).withColumn("n_lines", F.size(split).cast("long"))
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("out", i)), "\n")
