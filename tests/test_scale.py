@@ -58,3 +58,9 @@ def test_offers_meet_own_prices_in_one_pass(spark):
     got = sorted(map(str, B.offers_with_own_prices(comp).select(*cols).collect()))
     assert got == sorted(map(str, joined.select(*cols).collect())) and len(got) == 6
     assert _plan(B.competitor_metrics(I.comp(spark, SF))).count("lineitem.parquet") == 1
+
+
+def test_scoped_slices_are_joined_from_written_parts(spark):
+    c = campaigns(spark, SF)
+    for variant in ("lag", "first", "lag_brand_subcat"):
+        assert "Aggregate" not in _plan(c.scoped_slice(variant)), variant
