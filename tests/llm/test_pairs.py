@@ -208,3 +208,19 @@ def test_links_are_confirmed_by_merge_joins_at_every_size(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.join(df, 3, 4, 5).collect()} == {1: 1, 2: 1, 3: 3}
     assert all(plans[name].count("SortMergeJoin") >= 2 for name in ("jaccard-near", "jaccard-links"))
     assert "BroadcastHashJoin" not in plans["jaccard-links"]
+
+
+@pytest.mark.parametrize("named", [1 << 19, 0])
+def test_joins_of_candidate_lines_hold_no_classes(spark, docs, named, monkeypatch):
+    """The classes of all word buckets stand in plans without joins of candidates only: those are kept and shown anew after each stage."""
+    plans, write = {}, linededup.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+    monkeypatch.setattr(linededup, "written", seen)
+    monkeypatch.setattr(linededup, "NAMED", named)
+    linededup.dedup(docs.select("doc_id", "text")).collect()
+    assert all("xxhash64" not in p and len(p) < 1 << 14 for p in plans["lines-hit"])
+    # each candidate's set is made once, whether it stands on one side or on both
+    assert len(plans["lines-held"]) == len(plans["lines-hit"]) == 2

@@ -38,6 +38,7 @@ that stays keeps its bytes. Empty table: no rows. Codes have 57 bits of hash."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,24 +72,30 @@ def _fixed(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def _hash(word: Column | str) -> Column:
+    """57 bits of a word's hash."""
+    return F.shiftrightunsigned(F.xxhash64(word), 7)
+
+
 def _rarity(lines: DataFrame) -> Column:
     """Class of every bucket of word hashes: by the words that fall in it over all lines for the FREQUENT fullest
     buckets, 0 for the rest. At most BUCKETS counts reach the driver, whatever the vocabulary."""
-    rows = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b"))
+    rows = (lines.select(F.explode(_words("line")).alias("w")).groupBy(_hash("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b"))
             .agg(F.count("*").alias("n")).collect())
     out = [0] * BUCKETS
     for r in sorted(rows, key=lambda r: (-r.n, r.b))[:FREQUENT]:
         out[r.b] = min(63, 1 + int(1.5 * math.log2(r.n)))
+    release(lines.sparkSession)
     return _fixed(out, "int")
 
 
 def _codes(line: str, classes: Column) -> Column:
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         # never null: arrays of codes are then sorted as plain numbers
-        c = F.coalesce(F.element_at(classes, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int")).cast("long"), F.lit(0).cast("long"))
-        return F.shiftleft(c, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
+        c = F.coalesce(F.get(classes, h.bitwiseAND(BUCKETS - 1)), F.lit(0))
+        return F.shiftleft(c.cast("long"), 57).bitwiseOR(h)
+    # a word is hashed once, and only distinct hashes are looked up
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), _hash)), code))
 
 
 def _few(count: int, total: int) -> bool:
@@ -109,9 +116,9 @@ def _maybe(frame: DataFrame, rows: DataFrame, count: int, *cols: str) -> DataFra
     return met.withColumn("maybe", F.coalesce(has, F.lit(False))).drop("_word", "_bits")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): the folded lines of every document with an id."""
-    return (docs.select("doc_id", F.posexplode(F.split(_folded(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
+def _lines(docs: DataFrame, fold: Callable[[Column], Column] = _folded) -> DataFrame:
+    """(doc_id, line_no, line): the lines, folded unless told else, of every document with an id."""
+    return (docs.select("doc_id", F.posexplode(F.split(fold(F.coalesce("text", F.lit(""))), "\n")).alias("line_no", "line"))
             .where("doc_id is not null"))
 
 
@@ -133,19 +140,24 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
             .select((-F.col("p.d")).alias("x_doc"), (-F.col("p.l")).alias("x_line"), "y_doc", "y_line"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, total: int, classes: Column, num: int, den: int) -> DataFrame:
-    """(y_doc, y_line) of the lines whose earlier candidate x links with them; ``total`` lines are compared in all."""
+def _verified(pairs: DataFrame, docs: DataFrame, total: int, classes: Column, num: int, den: int) -> DataFrame:
+    """(y_doc, y_line) of the lines whose earlier candidate x links with them; ``total`` lines are compared in all.
+
+    Texts are cut as they are, and only the lines of candidates folded. Their sets are written once for both sides, by a
+    plan of its own: the joins' plans, kept and shown anew after each of their stages, then hold no classes."""
     pairs = written(pairs, "lines-pairs")
     ends = written(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line")).distinct(), "lines-ends")
-    release(lines.sparkSession)
-    at, count = ["doc_id", "line_no"], ends.count()
+    release(docs.sparkSession)
+    at, count, lines = ["doc_id", "line_no"], ends.count(), _lines(docs, lambda text: text)
     named = _maybe(lines, ends, count, *at).where("maybe") if _few(count, total) else lines.join(ends, at)
-    held = named.select(*at, _codes("line", classes).alias("s"))
+    held = written(named.select(*at, _folded(F.col("line")).alias("line")).select(*at, _codes("line", classes).alias("s")), "lines-held")
+    release(docs.sparkSession)
     side = lambda s: held.toDF(f"{s}_doc", f"{s}_line", f"{s}_set")
     both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
     over = F.size(F.array_intersect("x_set", "y_set"))
     hit = written(both.where(over * (num + den) >= (F.size("x_set") + F.size("y_set")) * num).select("y_doc", "y_line").distinct(), "lines-hit")
-    forget(pairs, ends)
+    release(docs.sparkSession)
+    forget(pairs, ends, held)
     return hit
 
 
@@ -190,14 +202,14 @@ def removed(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> Data
     first = (common.groupBy("token").agg(F.min(F.struct(*own)).alias("p"), F.count("*").alias("k")).where(F.col("k") > HOT)
              .select("token", *[F.col(f"p.{c}").alias(f"x_{c}") for c in own]))
     star = side("y", common).join(first, "token").where(may)
-    hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), lines, total, classes, num, den)
+    hit = _verified(_likeliest(star.groupBy(*XY).agg(F.count("*").alias("c"))), docs, total, classes, num, den)
     release(spark)
     # a line that is out already only serves as the earlier one: its size turns negative, which no y passes (as
     # a filter of one side it would part the two sides' exchange, which is now written once and read twice)
     out = hit.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(-1).alias("sign"))
     still = posts(reps.join(out, ["doc", "line"], "left").withColumn("n", F.col("n") * F.coalesce("sign", F.lit(1))))
     rest = side("x", still).join(side("y", still), "token").where(met(F.abs("x_n"), F.col("y_n"))).select(*XY).distinct()
-    more = _verified(rest, lines, total, classes, num, den)
+    more = _verified(rest, docs, total, classes, num, den)
     found = hit.union(more).select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
     # a removed representative takes its class along; else its later copies go
     gone = reps.join(found.withColumn("hit", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", "doc", "line", F.coalesce("hit", F.lit(False)).alias("hit"))
