@@ -199,6 +199,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = written(both.mapInArrow(bound, "a long, b long").distinct(), "jaccard-near")
+    release(docs.sparkSession)
     bits = _filter(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
 
     def load(batches):
@@ -223,6 +224,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = written(full.mapInArrow(exact, "a long, b long").distinct(), "jaccard-links")
+    release(docs.sparkSession)
     forget(near)
     return links
 
@@ -251,6 +253,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     links = verified(star, reps, docs, k, num, den)
     release(spark)
     so_far = components(links, "jaccard-cc1")
+    release(spark)
     rooted = (tiles.join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .select("token", "band", "rep", "n", F.coalesce("component", "rep").alias("root")))
     across, shared = _crossing(rooted, reps, num, den)
@@ -258,6 +261,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     forget(shared, tiles)
     release(spark)
     comp = components(links.union(more), "jaccard-cc2")
+    release(spark)
     named = (reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left")
              .select("key", F.coalesce("component", "rep").alias("component_id")))
     out = written(card.select("doc_id", "n", "key").join(named, "key", "left")
