@@ -71,18 +71,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those whose key stands in ``gone``. Where these are few, only rows that a bit set names meet them: whole
+    texts are not dealt out to lose a few rows."""
+    gone = written(gone, "near-gone")
+    count = gone.count()
+    if not linededup._few(count, rows.count()):
+        return rows.join(gone, key, "left_anti")
+    rows = linededup._maybe(rows, gone, count, key)
+    return rows.where("not maybe").unionByName(rows.where("maybe").join(gone, key, "left_anti"))
+
+
 @_extra_columns_kept
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not odd_ids(docs):
         found = jaccard.join(docs.select("doc_id", "text"), k=5, num=4, den=5)
         gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return _without(docs, gone, "doc_id").select(*docs.columns)
     # every row is compared under a number of its own, fixed by writing it
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     found = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=4, den=5).select(F.col("doc_id").alias("_row"), "component_id")
     order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("at"))
     first = found.join(order, "_row").groupBy("component_id").agg(F.min("at").alias("at")).select("at._row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    return _without(rows, rows.select("_row").join(first, "_row", "left_anti"), "_row").select(*docs.columns)
 
 
 @_extra_columns_kept

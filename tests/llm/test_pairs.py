@@ -210,6 +210,25 @@ def test_links_are_confirmed_by_merge_joins_at_every_size(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plans["jaccard-links"]
 
 
+def test_jaccard_posts_are_dealt_out_once_and_cards_go_before(spark, monkeypatch):
+    plans, there, write = {}, {}, jaccard.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        there[name] = write(df, name)
+        if name == "jaccard-tiles":
+            path = spark._jvm.org.apache.hadoop.fs.Path(there["jaccard-cards"].written_to)
+            assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return there[name]
+    monkeypatch.setattr(jaccard, "written", seen)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["z"])), (2, "q r s"), (4, "q r s"), (None, "q r s"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, 3, 4, 5).collect()), key=str)
+    assert got == sorted([(1, 28, 1), (2, 29, 1), (2, 1, 1), (4, 1, 1), (None, 1, None), (5, 0, 5)], key=str)
+    assert plans["jaccard-tiles"].count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("named", [1 << 19, 0])
 def test_joins_of_candidate_lines_hold_no_classes(spark, docs, named, monkeypatch):
     """The classes of all word buckets stand in plans without joins of candidates only: those are kept and shown anew after each stage."""

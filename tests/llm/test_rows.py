@@ -279,6 +279,20 @@ def test_pipeline_keeps_one_row_of_each_and_every_clean_text(spark):
     assert sorted((r.doc_id, r.text) for r in left) == [(3, a), (5, b), (7, c + "\nmore")]
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_near_copies_deal_out_no_whole_texts_to_lose_few(spark, monkeypatch, odd):
+    """With few copies only rows named by a bit set meet the rows to lose; with many, or where none may be named, a join does it."""
+    text = lambda i: " ".join(f"{i}w{j}" for j in range(20))
+    rows = [(i, text(i), "en") for i in range(60)] + [(60, text(7), "fr")] + [(None, text(90), "en")] * odd
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_copies(spark, table, SF)
+    assert "_bits" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((r for r in rows if r[0] != 60), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    monkeypatch.setattr(corpus_pipeline.linededup, "NAMED", 0)
+    assert sorted((tuple(r) for r in corpus_pipeline.near_copies(spark, table, SF).collect()), key=str) == want
+
+
 def test_words_over_a_line_break_are_not_kept():
     # they seldom come again and would fill the worker's bounded table of words
     pieces, _, _ = bpe.coder(JSON)

@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from upshelf.llm import shingles
@@ -238,13 +238,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     reps = written(card.where("doc_id is not null and n > 0").groupBy("key")
                    .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
                         F.first("prefix").alias("prefix")), "jaccard-reps")
+    # prefixes and bitmaps of all rows are not needed again: of the cards only sizes and keys stay
+    keys = written(card.select("doc_id", "n", "key"), "jaccard-keys")
+    forget(card)
     release(spark)
-    post = _posts(reps, num, den)
-    pivot = (post.groupBy("token", "band").agg(F.min("rep").alias("a"), F.count("*").alias("c"))
-             .where("c > 1").select("token", "band", "a"))
-    # tiles of one member hold no pair: only the others are written, for both passes. A merge join at every size: its
-    # hot tiles are split at run time, and pivots grow with the documents
-    tiles = written(post.join(pivot.hint("merge"), ["token", "band"]), "jaccard-tiles")
+    # tiles of one member hold no pair: only the others are written, for both passes. Posts are dealt out once, for
+    # the tile's size and its pivot alike
+    tile = Window.partitionBy("token", "band")
+    tiles = written(_posts(reps, num, den).select("*", F.min("rep").over(tile).alias("a"), F.count("*").over(tile).alias("c"))
+                    .where("c > 1").drop("c"), "jaccard-tiles")
     release(spark)
     star = (tiles.where("rep <> a").groupBy("rep", "n", "a").agg(F.count("*").alias("c"))
             .join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").where(_sizes("n", "na", num, den))
@@ -264,8 +266,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     release(spark)
     named = (reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left")
              .select("key", F.coalesce("component", "rep").alias("component_id")))
-    out = written(card.select("doc_id", "n", "key").join(named, "key", "left")
+    out = written(keys.join(named, "key", "left")
                   .select("doc_id", F.col("n").alias("n_shingles"),
                           F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-out")
-    forget(card, reps, links, more)
+    forget(keys, reps, links, more)
+    release(spark)
     return out
