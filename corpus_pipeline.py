@@ -32,7 +32,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import public_tokenizers  # noqa: E402
 
 from upshelf.llm import bpe, jaccard, langid, linededup, mixing  # noqa: E402
-from upshelf.llm.common import odd_ids, written  # noqa: E402
+from upshelf.llm.common import odd_ids, release, written  # noqa: E402
 
 
 #: The columns of documents; a stage sees all others under numbered names that clash with nothing.
@@ -76,6 +76,7 @@ def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     texts are not dealt out to lose a few rows."""
     gone = written(gone, "near-gone")
     count = gone.count()
+    release(rows.sparkSession)
     if not linededup._few(count, rows.count()):
         return rows.join(gone, key, "left_anti")
     rows = linededup._maybe(rows, gone, count, key)

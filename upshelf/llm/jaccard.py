@@ -60,6 +60,8 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     out = np.zeros(BUCKETS, dtype=np.int64)
     for r in rows:
         out[r.bucket] = r.n
+    del rows
+    release(docs.sparkSession)
     return out
 
 
@@ -235,13 +237,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     small_batches(spark)
     docs = pick(docs, doc_id="long", text="string")
     card = written(cards(docs, k, num, den, bucket_counts(docs, k)), "jaccard-cards")
+    release(spark)
     reps = written(card.where("doc_id is not null and n > 0").groupBy("key")
                    .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
                         F.first("prefix").alias("prefix")), "jaccard-reps")
+    release(spark)
     # prefixes and bitmaps of all rows are not needed again: of the cards only sizes and keys stay
     keys = written(card.select("doc_id", "n", "key"), "jaccard-keys")
     forget(card)
-    release(spark)
     # tiles of one member hold no pair: only the others are written, for both passes. Posts are dealt out once, for
     # the tile's size and its pivot alike
     tile = Window.partitionBy("token", "band")
