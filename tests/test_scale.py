@@ -1,13 +1,17 @@
 """Steps that must not grow faster than their input: written tables, dealt-out rows, one pass over price rows."""
 
 import datetime as dt
+import uuid
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from upshelf.operators import base as B
 from upshelf.operators import cohort as CO
 from upshelf.operators import scope as S
 from upshelf.plans import inputs as I
 from upshelf.plans.pipeline import campaigns
+from upshelf.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 W = dt.date(2001, 1, 3)
@@ -65,3 +69,16 @@ def test_scoped_slices_are_joined_from_written_parts(spark):
     for variant in ("lag", "first", "lag_brand_subcat"):
         plan = _plan(c.scoped_slice(variant))
         assert "Aggregate" not in plan and "BroadcastHashJoin" not in plan, variant
+
+
+def test_plans_of_written_tables_are_released(spark):
+    kept = []
+
+    def table():
+        df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        kept.append(spark._jvm.java.lang.ref.WeakReference(df._jdf.queryExecution()))
+        return df
+
+    for bucket_by in (None, ["k"]):
+        assert sinks.materialise(spark, table, "released", (uuid.uuid4().hex,), bucket_by=bucket_by).count() == 7
+    assert [ref.get() for ref in kept] == [None, None]
