@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from upshelf.operators import base as B
 from upshelf.operators import cohort as CO
+from upshelf.operators import customers as C
 from upshelf.operators import scope as S
 from upshelf.plans import inputs as I
 from upshelf.plans.pipeline import campaigns
@@ -82,3 +83,25 @@ def test_plans_of_written_tables_are_released(spark):
     for bucket_by in (None, ["k"]):
         assert sinks.materialise(spark, table, "released", (uuid.uuid4().hex,), bucket_by=bucket_by).count() == 7
     assert [ref.get() for ref in kept] == [None, None]
+
+
+def test_customer_plane_deals_out_one_key_at_a_time(spark, tmp_path):
+    d = dt.date(2001, 1, 5)
+    lines = spark.createDataFrame([
+        (c, d + dt.timedelta(days=7 * i % 40), W + dt.timedelta(days=7 * (7 * i % 40 // 7)), s, "F", p, f"A{p}", b, "c", "c/0", Decimal(i))
+        for i in range(12) for c in ("100", "101", None) for s, p, b in (("s1", 1, "b"), ("s2", 2, None))],
+        "customer_id string, d date, week_start date, store_id string, price_family string, product_number long, article_id string,"
+        " brand string, category string, subcategory string, sales_amount decimal(18,4)")
+    plans = []
+
+    def once(name, table):
+        plans.append(_plan(table))
+        table.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    keys = {"days": ("sku", "brand"), "weeks": ("brand_subcat",)}
+    whole = C.customer_plane(lines, **keys)
+    plans.append(_plan(got := C.customer_plane(lines, **keys, once=once)))
+    assert sorted(map(str, got.select(whole.columns).collect())) == sorted(map(str, whole.collect())) and got.count() > 0
+    # the rows and, for every key, its days or weeks and the rows with them: two exchanges at most each
+    assert len(plans) == 8 and max(p.count("Exchange ") for p in plans) <= 2 < _plan(whole).count("Exchange ")
